@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlight.llm import simhash
+from tarnlight.llm import secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash_near_dedup": simhash.query}
+    return {
+        "op1_simhash_near_dedup": simhash.query,
+        "op2_secret_scan": secrets.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
