@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlight.llm import secrets, simhash
+from tarnlight.llm import decontaminate, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": simhash.query,
         "op2_secret_scan": secrets.query,
+        "op5_decontamination": decontaminate.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontamination": decontaminate.SQL}
