@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlight.llm import decontaminate, secrets, simhash
+from tarnlight.llm import chat, decontaminate, secrets, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash_near_dedup": simhash.query,
         "op2_secret_scan": secrets.query,
         "op5_decontamination": decontaminate.query,
+        "op7_toxicity": toxicity.query,
+        "op8_chat_format": chat.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontaminate.SQL}
+    return {"op5_decontamination": decontaminate.SQL, "op8_chat_format": chat.SQL}

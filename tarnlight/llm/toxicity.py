@@ -9,9 +9,10 @@ in numpy on the driver from a bounded sample of labelled documents: a toxic docu
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -23,21 +24,25 @@ from tarnlight.llm.text import lower_words, utf8
 WINDOW, STRIDE = 48, 36
 WORD_DIM, CHAR_DIM, HIDDEN = 10, 10, 8
 #: Bounds of the training sample, of the training windows of one document, and of both vocabularies.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WINDOWS = 1600, 2400, 30
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WINDOWS = 1600, 5000, 20
 MAX_WORDS, MAX_GRAMS, MIN_DOCS = 20_000, 40_000, 4
 EPOCHS, BATCH, RATE, SEED = 6, 128, 0.01, 20240131
 #: Of every FOLDS documents, by crc32 of doc_id as text, one is held out and never learned from.
 FOLDS = 5
-_MAX_WORD = 64
+SLOT_BITS = 18
 _CHUNK = 1024
 
 
-def grams(word: bytes) -> list[bytes]:
-    """The word's runs of three to five bytes, with marked ends. Of a very long word, those of its first and last bytes."""
-    if len(word) > _MAX_WORD:
-        word = word[: _MAX_WORD // 2] + word[-_MAX_WORD // 2 :]
-    w = b"<" + word + b">"
-    return [w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)]
+def grams(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All runs of four bytes of all words with marked ends, as 32-bit codes in order, and the word that each belongs to."""
+    if not found:
+        return np.empty(0, np.uint32), np.empty(0, np.int64)
+    data = np.frombuffer(b"<" + b"><".join(found) + b">\0\0\0", np.uint8).astype(np.uint32)
+    codes = data[:-3] | data[1:-2] << np.uint32(8) | data[2:-1] << np.uint32(16) | data[3:] << np.uint32(24)
+    lengths = np.fromiter(map(len, found), np.int64, len(found)) + 2
+    owner = np.repeat(np.arange(len(found)), lengths)
+    inside = np.arange(len(owner)) + 4 <= np.cumsum(lengths)[owner]
+    return codes[inside], owner[inside]
 
 
 def windows(n: int) -> list[int]:
@@ -47,31 +52,55 @@ def windows(n: int) -> list[int]:
     return [*range(0, n - WINDOW, STRIDE), n - WINDOW]
 
 
+@dataclass
+class Inputs:
+    numbers: np.ndarray
+    flat: np.ndarray
+    ends: np.ndarray
+
+    def of(self, rows: np.ndarray) -> Inputs:
+        counts = np.diff(self.ends)[rows]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        at = np.arange(ends[-1]) + np.repeat(self.ends[rows] - ends[:-1], counts)
+        return Inputs(self.numbers[rows], self.flat[at], ends)
+
+
 @dataclass
 class Network:
     """Weights, and the numbers of known words and character n-grams (from 1; 0 is unknown and has a zero vector)."""
 
     words: dict[bytes, int]
-    grams: dict[bytes, int]
+    gram_codes: np.ndarray  # by slot: the one known n-gram of that slot, and its number
+    gram_numbers: np.ndarray
     weights: dict[str, np.ndarray]
 
-    def word_inputs(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word numbers, and the known n-grams of all words with the ends of each word's."""
-        numbers = np.fromiter((self.words.get(w, 0) for w in found), np.int64, len(found))
-        get = self.grams.get
-        flat: list[int] = []
-        ends = np.empty(len(found), np.int64)
-        for k, w in enumerate(found):
-            flat += [g for g in map(get, grams(w)) if g]
-            ends[k] = len(flat)
-        return numbers, np.array(flat, np.int64), ends
-
-    def vectors(self, found: list[bytes]) -> np.ndarray:
-        numbers, flat, ends = self.word_inputs(found)
-        sums = np.concatenate([np.zeros((1, CHAR_DIM), np.float64), np.cumsum(self.weights["C"][flat], axis=0, dtype=np.float64)])
-        counts = np.diff(ends, prepend=0)
-        chars = (sums[ends] - sums[ends - counts]) / np.maximum(1, counts)[:, None]
-        return np.concatenate([self.weights["E"][numbers], chars.astype(np.float32)], axis=1)
+    def inputs(self, found: list[bytes]) -> Inputs:
+        """What the words enter as: their numbers, and the known n-grams of all words with the ends of each word's."""
+        known = self.words.get
+        codes, owner = grams(found)
+        slots = _slots(codes)
+        numbers = np.where(self.gram_codes[slots] == codes, self.gram_numbers[slots], 0)
+        kept = numbers > 0
+        ends = np.concatenate([[0], np.cumsum(np.bincount(owner[kept], minlength=len(found)))])
+        return Inputs(np.fromiter((known(w, 0) for w in found), np.int64, len(found)), numbers[kept], ends)
+
+    def vectors(self, x: Inputs) -> np.ndarray:
+        chars = np.zeros((len(x.numbers), CHAR_DIM), np.float32)
+        counts = np.diff(x.ends)
+        some = counts > 0
+        if len(x.flat):
+            chars[some] = np.add.reduceat(self.weights["C"][x.flat], x.ends[:-1][some], axis=0) / counts[some, None]
+        return np.concatenate([self.weights["E"][x.numbers], chars], axis=1)
+
+    def table(self, x: Inputs) -> np.ndarray:
+        """Each word's input gates of both passes."""
+        if not len(x.numbers):
+            return np.zeros((1, 6 * HIDDEN), np.float32)
+        return (self.vectors(x) @ self.weights["W"] + self.weights["g"]).astype(np.float32)
+
+
+def _slots(codes: np.ndarray) -> np.ndarray:
+    return (codes * np.uint32(2654435761)) >> np.uint32(32 - SLOT_BITS)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -162,19 +191,18 @@ def _index(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _numbered(texts: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
     """Distinct words, and each text as numbers of them."""
-    seen: dict[bytes, int] = {}
-    put = seen.setdefault
-    out = [np.array([put(w, len(seen)) for w in lower_words(t)], np.int64) for t in texts]
+    seen: dict[bytes, int] = defaultdict(count().__next__)
+    number = seen.__getitem__
+    out = [np.fromiter(map(number, lower_words(t)), np.int64) for t in texts]
     return list(seen), out
 
 
 def logits(net: Network, texts: list[bytes]) -> np.ndarray:
     """The worst window's logit of each text, over all its windows."""
     found, documents = _numbered(texts)
-    table = net.vectors(found) @ net.weights["W"] + net.weights["g"] if found else np.zeros((1, 6 * HIDDEN), np.float32)
     index, owners = _index(documents)
     out = np.full(len(texts), -np.inf, np.float32)
-    np.maximum.at(out, owners, _logits(net, table.astype(np.float32), index))
+    np.maximum.at(out, owners, _logits(net, net.table(net.inputs(found)), index))
     return out
 
 
@@ -185,25 +213,32 @@ def scores(net: Network, texts: list[bytes]) -> np.ndarray:
 
 def _start(texts: list[bytes], rng: np.random.Generator) -> Network:
     """Vocabularies of what stands in MIN_DOCS training documents, and random weights."""
-    in_docs, in_words = Counter(), Counter()
+    in_docs: Counter[bytes] = Counter()
     for t in texts:
         in_docs.update(set(lower_words(t)))
-    for word, n in in_docs.items():
-        for g in set(grams(word)):
-            in_words[g] += n
-    top = lambda counts, most: {k: i + 1 for i, (k, n) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most]) if n >= MIN_DOCS}
-    words, chars = top(in_docs, MAX_WORDS), top(in_words, MAX_GRAMS)
+    best = sorted(((n, w) for w, n in in_docs.items() if n >= MIN_DOCS), key=lambda x: (-x[0], x[1]))[:MAX_WORDS]
+    words = {w: k + 1 for k, (_, w) in enumerate(best)}
+    found = sorted(in_docs)
+    codes, owner = grams(found)
+    distinct, at = np.unique(codes, return_inverse=True)
+    counts = np.bincount(at, weights=np.array([in_docs[w] for w in found], np.float64)[owner] if found else None, minlength=len(distinct))
+    order = np.lexsort((distinct, -counts))
+    order = order[counts[order] >= MIN_DOCS]
+    _, first = np.unique(_slots(distinct[order]), return_index=True)  # a slot goes to its most frequent n-gram
+    known = distinct[order[np.sort(first)[:MAX_GRAMS]]]
+    gram_codes, gram_numbers = np.zeros(1 << SLOT_BITS, np.uint32), np.zeros(1 << SLOT_BITS, np.int64)
+    gram_codes[_slots(known)], gram_numbers[_slots(known)] = known, np.arange(1, len(known) + 1)
     draw = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
     size = WORD_DIM + CHAR_DIM
     w = {
-        "E": draw(len(words) + 1, WORD_DIM, scale=0.1), "C": draw(len(chars) + 1, CHAR_DIM, scale=0.1),
+        "E": draw(len(words) + 1, WORD_DIM, scale=0.1), "C": draw(len(known) + 1, CHAR_DIM, scale=0.1),
         "W": draw(size, 6 * HIDDEN, scale=size**-0.5), "g": np.zeros(6 * HIDDEN, np.float32),
         "Uf": draw(HIDDEN, 3 * HIDDEN, scale=HIDDEN**-0.5), "Ub": draw(HIDDEN, 3 * HIDDEN, scale=HIDDEN**-0.5),
         "A": draw(2 * HIDDEN, HIDDEN, scale=0.3), "a": draw(HIDDEN, scale=0.3),
         "o": draw(2 * HIDDEN, scale=0.3), "b": np.zeros(1, np.float32), "p": np.array([1.0, 0.0]),
     }
     w["E"][0] = w["C"][0] = 0
-    return Network(words, chars, w)
+    return Network(words, gram_codes, gram_numbers, w)
 
 
 class _Adam:
@@ -224,28 +259,24 @@ class _Adam:
 
 
 def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    distinct, at = np.unique(rows, return_inverse=True)
-    out = np.zeros((len(distinct), values.shape[1]), np.float32)
-    np.add.at(out, at, values)
-    return distinct, out
+    """Distinct rows, and the sum of the values of each."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    first = np.flatnonzero(np.diff(rows, prepend=-1))
+    return rows[first], np.add.reduceat(values[order], first, axis=0) if len(first) else values
 
 
-def gradients(net: Network, found: list[bytes], index: np.ndarray, labels: np.ndarray, weight: np.ndarray, drop: np.ndarray | None = None) -> tuple[float, dict]:
-    """Mean weighted log loss of windows and its gradients. found: words; index: rows of word numbers, -1 past the end."""
+def gradients(net: Network, inputs: Inputs, index: np.ndarray, labels: np.ndarray, weight: np.ndarray, drop: np.ndarray | None = None) -> tuple[float, dict]:
+    """Mean weighted log loss of windows and its gradients. index: rows of word numbers, -1 past the end."""
     w = net.weights
     used, at = np.unique(index[index >= 0], return_inverse=True)
     local = np.full(index.shape, -1, np.int64)
     local[index >= 0] = at
-    part = [found[k] for k in used]
-    numbers, flat, ends = net.word_inputs(part)
+    part = inputs.of(used)
     if drop is not None:
-        numbers = np.where(drop[: len(numbers)], 0, numbers)
-    counts = np.diff(ends, prepend=0)
-    owner = np.repeat(np.arange(len(part)), counts)
-    chars = np.zeros((max(1, len(part)), CHAR_DIM), np.float32)
-    np.add.at(chars, owner, w["C"][flat])
-    chars[: len(part)] /= np.maximum(1, counts)[:, None]
-    x = np.concatenate([w["E"][numbers], chars[: len(part)]], axis=1) if len(part) else np.zeros((1, WORD_DIM + CHAR_DIM), np.float32)
+        part.numbers = np.where(drop[: len(used)], 0, part.numbers)
+    numbers, counts = part.numbers, np.diff(part.ends)
+    x = net.vectors(part) if len(used) else np.zeros((1, WORD_DIM + CHAR_DIM), np.float32)
     table = x @ w["W"] + w["g"]
     fore, back, there = _gates(table, local)
     f, kept_f = _run(fore, there, w["Uf"], True)
@@ -270,14 +301,15 @@ def gradients(net: Network, found: list[bytes], index: np.ndarray, labels: np.nd
     gb, grads["Ub"] = _run_back(d_states[::-1, :, HIDDEN:], kept_b, there[::-1], w["Ub"])
     both = np.concatenate([gf, gb[::-1]], axis=2) * there
     d_table = np.zeros_like(table)
-    np.add.at(d_table, np.maximum(local.T, 0).ravel(), both.reshape(-1, 6 * HIDDEN))
+    rows, values = _summed(np.maximum(local.T, 0).ravel(), both.reshape(-1, 6 * HIDDEN))
+    d_table[rows] = values
     grads["W"], grads["g"] = x.T @ d_table, d_table.sum(axis=0)
     d_x = d_table @ w["W"].T
-    if len(part):
+    if len(used):
         rows, values = _summed(numbers, d_x[:, :WORD_DIM])
         grads["E"] = (rows[rows > 0], values[rows > 0])
-        rows, values = _summed(flat, (d_x[:, WORD_DIM:] / np.maximum(1, counts)[:, None])[owner])
-        grads["C"] = (rows, values)
+        owner = np.repeat(np.arange(len(used)), counts)
+        grads["C"] = _summed(part.flat, (d_x[:, WORD_DIM:] / np.maximum(1, counts)[:, None])[owner])
     return loss, grads
 
 
@@ -312,9 +344,10 @@ def train(texts: list[bytes], labels: list[int], seed: int = SEED, epochs: int =
     starts = np.flatnonzero(np.diff(owners, prepend=-1))
     docs = owners[starts]
     adam = _Adam(net.weights)
+    inputs = net.inputs(found)
     pos = max(1.0, float(y.sum()))
     for epoch in range(epochs):
-        z = _logits(net, (net.vectors(found) @ net.weights["W"] + net.weights["g"]).astype(np.float32), index)
+        z = _logits(net, net.table(inputs), index)
         noise = z + rng.normal(0, 1.0 if epoch == 0 else 0.1, len(z))
         by = np.lexsort((-noise, owners))
         worst = by[starts]
@@ -334,7 +367,7 @@ def train(texts: list[bytes], labels: list[int], seed: int = SEED, epochs: int =
             part = shuffled[at : at + BATCH]
             weight = np.where(target[part] == 1, 1.0, 0.7).astype(np.float32)
             drop = rng.random(BATCH * WINDOW) < 0.15  # words at times by their characters alone
-            _, grads = gradients(net, found, index[chosen[part]], target[part], weight, drop)
+            _, grads = gradients(net, inputs, index[chosen[part]], target[part], weight, drop)
             adam.step(net.weights, grads, rate)
     net.weights["p"] = _calibrated(logits(net, texts).astype(np.float64), y.astype(np.float64))
     return net
