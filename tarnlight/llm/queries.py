@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlight.llm import chat, decontaminate, secrets, simhash, toxicity
+from tarnlight.llm import chat, decontaminate, fingerprints, secrets, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": simhash.query,
         "op2_secret_scan": secrets.query,
+        "op3_imatch_fingerprint": fingerprints.query,
         "op5_decontamination": decontaminate.query,
         "op7_toxicity": toxicity.query,
         "op8_chat_format": chat.query,
