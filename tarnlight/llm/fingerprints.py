@@ -74,7 +74,7 @@ def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = IDF
     rows = kept.groupBy(F.shiftright("bucket", _GROUP).alias("g")).agg(F.collect_list(F.col("bucket").bitwiseAND((1 << _GROUP) - 1)).alias("low"))
     bits = np.zeros(1 << (LEXICON_BITS - 3), np.uint8)
     size = 1 << (_GROUP - 3)
-    for g, part in rows.select("g", packed("low").alias("bits")).toLocalIterator():
+    for g, part in rows.select("g", packed("low").alias("bits")).collect():
         bits[g * size : (g + 1) * size] = np.frombuffer(bytes(part), np.uint8)
     return bits
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlight.llm import chat, decontaminate, fingerprints, secrets, simhash, toxicity
+from tarnlight.llm import chat, decontaminate, fingerprints, kneser_ney, secrets, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secret_scan": secrets.query,
         "op3_imatch_fingerprint": fingerprints.query,
         "op5_decontamination": decontaminate.query,
+        "op6_kneser_ney": kneser_ney.query,
         "op7_toxicity": toxicity.query,
         "op8_chat_format": chat.query,
     }
