@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlight.llm import chat, decontaminate, fingerprints, kneser_ney, secrets, simhash, toxicity
+from tarnlight.llm import chat, decontaminate, fingerprints, kneser_ney, mixing, secrets, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash_near_dedup": simhash.query,
         "op2_secret_scan": secrets.query,
         "op3_imatch_fingerprint": fingerprints.query,
+        "op4_source_mixture": mixing.query,
         "op5_decontamination": decontaminate.query,
         "op6_kneser_ney": kneser_ney.query,
         "op7_toxicity": toxicity.query,
@@ -22,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontaminate.SQL, "op8_chat_format": chat.SQL}
+    return {"op4_source_mixture": mixing.sql(), "op5_decontamination": decontaminate.SQL, "op8_chat_format": chat.SQL}
