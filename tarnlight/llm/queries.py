@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlight.llm import chat, decontaminate, fingerprints, kneser_ney, mixing, secrets, simhash, toxicity
+from tarnlight.llm import chat, decontaminate, fingerprints, importance, kneser_ney, mixing, secrets, simhash, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_kneser_ney": kneser_ney.query,
         "op7_toxicity": toxicity.query,
         "op8_chat_format": chat.query,
+        "op9_token_counts": token_counts.query,
+        "op10_importance_resampling": importance.query,
     }
 
 
