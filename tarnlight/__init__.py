@@ -1 +1,10 @@
-"""Water-quality report analytics on Spark: pure ``DataFrame -> DataFrame`` and ``Column -> Column`` functions."""
+"""Water-quality report analytics on Spark: pure ``DataFrame -> DataFrame`` and ``Column -> Column`` functions.
+
+The few functions that run in Python workers are pickled by value, so a cluster needs no copy of the package on its executors.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from tarnlight.functions import fixed as K
 
 
+def let(x: Column, f) -> Column:
+    """``f(x)`` with x evaluated once, where f names it several times and rules build on rules: else plans grow with 3^n."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """Half up by decimal value: what lies within 1e-9 below a half counts as one, whatever its binary form."""
+    return F.round(x + F.lit(1e-9), digits)
+
+
 def clamp(x: Column) -> Column:
     """to 0..100."""
     return F.least(F.lit(100.0), F.greatest(F.lit(0.0), x))
@@ -29,13 +39,13 @@ def composite(algae: Column, foam: Column, clarity: Column, fu_quality: Column,
     parts = {k: x * F.lit(K.WEIGHTS[k]) for k, x in inputs.items()}
     total = clamp(reduce(lambda a, b: a + b, parts.values()))
     return F.struct(
-        F.round(total, 1).alias("composite_score"), risk_level(total).alias("risk_level"),
-        F.struct(*[F.round(x, 2).alias(f"{k}_component") for k, x in parts.items()]).alias("breakdown"),
+        rounded(total, 1).alias("composite_score"), risk_level(total).alias("risk_level"),
+        F.struct(*[rounded(x, 2).alias(f"{k}_component") for k, x in parts.items()]).alias("breakdown"),
     )
 
 
 def _boost(score: Column, by: Column) -> Column:
-    return F.round(F.least(F.lit(100.0), score + by), 1)
+    return rounded(F.least(F.lit(100.0), score + by), 1)
 
 
 def fuse(score: Column, prediction: Column, confidence: Column, p_bad: Column, second: Column, second_confidence: Column, third_confidence: Column | None = None) -> Column:
@@ -64,7 +74,7 @@ def safety_net(score: Column, foam: Column, debris: Column, algae: Column) -> Co
     """strong visual signals lift a score below 36 to 36 and more."""
     strong = ((foam > 30) | (debris > 30) | (algae > 50)) & (score < 36)
     least = F.lit(36.0) + foam * 0.15 + debris * 0.1
-    return F.when(strong, F.round(F.least(F.lit(100.0), F.greatest(score, least)), 1)).otherwise(score)
+    return F.when(strong, rounded(F.least(F.lit(100.0), F.greatest(score, least)), 1)).otherwise(score)
 
 
 def fu_name(index: Column) -> Column:
@@ -104,7 +114,7 @@ def clarity(laplacian: Column, s_std: Column, v_std: Column, v_mean: Column) ->
     penalty += F.when((laplacian > 150) & (v_mean < 130), 25.0).otherwise(F.lit(0.0))
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), laplacian / 300.0 * 100) - penalty)
     told = F.when(score > 66, "Clear").when(score > 33, "Moderately Turbid").otherwise("Highly Turbid")
-    return F.struct(F.round(score, 1).alias("turbidity_score"), told.alias("clarity_description"))
+    return F.struct(rounded(score, 1).alias("turbidity_score"), told.alias("clarity_description"))
 
 
 def oil_type(slick: Column, rainbow: Column) -> Column:
@@ -122,14 +132,14 @@ def color_abnormality(hue_std: Column, unnatural: Column) -> Column:
     uniform = F.greatest(F.lit(0.0), F.lit(100.0) - hue_std / 60.0 * 100)
     score = clamp((F.lit(100.0) - uniform) * 0.6 + F.least(unnatural * 5, F.lit(100.0)) * 0.4)
     told = F.when(score < 20, "Normal").when(score < 50, "Slightly Abnormal").otherwise("Highly Abnormal")
-    return F.struct(F.round(score, 1).alias("color_abnormality_score"), F.round(uniform, 1).alias("color_uniformity"), told.alias("description"))
+    return F.struct(rounded(score, 1).alias("color_abnormality_score"), rounded(uniform, 1).alias("color_uniformity"), told.alias("description"))
 
 
 def debris(density: Column) -> Column:
     """struct of score, detected and description from the covered share in per cent."""
     score = F.least(F.lit(100.0), density / 30.0 * 100)
     told = F.when(score < 10, "Clean Surface").when(score < 30, "Some Debris").when(score < 60, "Moderate Debris").otherwise("Heavy Debris")
-    return F.struct(F.round(score, 1).alias("contour_density"), (score >= 10).alias("debris_detected"), told.alias("description"))
+    return F.struct(rounded(score, 1).alias("contour_density"), (score >= 10).alias("debris_detected"), told.alias("description"))
 
 
 def corroboration(available: Column, self_anomaly: Column, exceeds: Column) -> Column:

@@ -47,7 +47,7 @@ def candidates(reports: DataFrame, bodies: DataFrame, authorities: DataFrame, le
 
     Ids are hashes of report ids, so that a replay makes the same alerts. Without an authority the note says so.
     """
-    kept = reports.where(R.meets_threshold(F.col("risk_level"), F.lit(least)) & F.lit(enabled))
+    kept = reports.where(R.let(F.col("risk_level"), lambda x: R.meets_threshold(x, F.lit(least))) & F.lit(enabled))
     matched = match_authority(bodies, authorities)
     held = authorities.select(F.col("ord").alias("authority_ord"), F.col("name").alias("authority"))
     place = bodies.select(F.col("id").alias("water_body_id"), F.col("name").alias("body_name"), "city", "state").join(matched.withColumnRenamed("id", "water_body_id"), "water_body_id").join(held, "authority_ord", "left")

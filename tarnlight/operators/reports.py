@@ -41,9 +41,9 @@ def scored(reports: DataFrame) -> DataFrame:
         R.composite(c("algae_percentage"), c("foam_coverage_pct"), c("turbidity_score"), R.fu_quality(c("forel_ule_index")), c("oil_coverage_pct"), c("color_abnormality_score"), c("debris_density")),
     )
     p_bad = F.when(c("eff_prediction") == "bad", c("eff_confidence")).otherwise(1 - c("eff_confidence"))
-    fused = base.withColumn("fused_score", R.fuse(c("base.composite_score"), c("eff_prediction"), c("eff_confidence"), p_bad, c("yolo_prediction"), c("yolo_confidence")))
-    fused = fused.withColumn("composite_score", R.safety_net(c("fused_score"), c("foam_coverage_pct"), c("debris_density"), c("algae_percentage")))
-    return fused.withColumn("risk_level", R.risk_level(c("composite_score")))
+    fused = base.withColumn("fused_score", R.let(c("base.composite_score"), lambda x: R.fuse(x, c("eff_prediction"), c("eff_confidence"), p_bad, c("yolo_prediction"), c("yolo_confidence"))))
+    fused = fused.withColumn("composite_score", R.let(c("fused_score"), lambda x: R.safety_net(x, c("foam_coverage_pct"), c("debris_density"), c("algae_percentage"))))
+    return fused.withColumn("risk_level", R.let(c("composite_score"), R.risk_level))
 
 
 def body_state(reports: DataFrame) -> DataFrame:

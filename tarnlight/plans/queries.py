@@ -11,6 +11,7 @@ from tarnlight.functions import fixed as K
 from tarnlight.functions import rules as R
 from tarnlight.operators import alerts, curation, evaluate, fingerprint, photo, reports, satellite, spatial
 from tarnlight.plans.adapters import AS_OF, Tables, ctes
+from tarnlight.scratch import materialize
 from tarnlight.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,7 +41,7 @@ _PARTS = {
     "color_abnormality": f"{_CLAMP('color_abnormality_score')} * 0.15e0", "debris": f"{_CLAMP('debris_density')} * 0.17e0",
 }
 _LEVEL = "CASE WHEN {0} <= 15 THEN 'low' WHEN {0} <= 35 THEN 'moderate' ELSE 'high' END".format
-_B = "round(least(100e0, {} + {}), 1)".format
+_B = "round(least(100e0, {} + {}) + 1e-9, 1)".format
 _FUSED = f"""CASE WHEN eff_prediction = 'bad' AND eff_confidence > 0.70e0 THEN
   CASE WHEN yolo_prediction = 'polluted' THEN {_B(_B('base', 'eff_confidence * 25'), 'yolo_confidence * 30')} WHEN yolo_prediction = 'turbid' THEN {_B(_B('base', 'eff_confidence * 25'), 'yolo_confidence * 15')} ELSE {_B('base', 'eff_confidence * 25')} END
  WHEN eff_prediction = 'good' AND eff_confidence > 0.85e0 THEN base
@@ -48,10 +49,10 @@ _FUSED = f"""CASE WHEN eff_prediction = 'bad' AND eff_confidence > 0.70e0 THEN
 #: Reports with base, base_level, fused, score and level, as common table expressions.
 SCORED = f"""WITH {ctes('v_reports', 'v_bodies')},
 s0 AS (SELECT *, {_CLAMP(' + '.join(_PARTS.values()))} AS raw FROM v_reports),
-s1 AS (SELECT *, round(raw, 1) AS base, {_LEVEL('raw')} AS base_level FROM s0),
+s1 AS (SELECT *, round(raw + 1e-9, 1) AS base, {_LEVEL('raw')} AS base_level FROM s0),
 s2 AS (SELECT *, {_FUSED} AS fused FROM s1),
 s3 AS (SELECT *, CASE WHEN (foam_coverage_pct > 30 OR debris_density > 30 OR algae_percentage > 50) AND fused < 36
-  THEN round(least(100e0, greatest(fused, 36e0 + foam_coverage_pct * 0.15e0 + debris_density * 0.1e0)), 1) ELSE fused END AS score FROM s2),
+  THEN round(least(100e0, greatest(fused, 36e0 + foam_coverage_pct * 0.15e0 + debris_density * 0.1e0)) + 1e-9, 1) ELSE fused END AS score FROM s2),
 scored AS (SELECT *, {_LEVEL('score')} AS level FROM s3)
 """
 _AS_OF = f"TIMESTAMP '{AS_OF}'"
@@ -77,7 +78,7 @@ def top_risk_bodies(t: Tables) -> DataFrame:
     return out.select("id", "name", "city", "state", "current_risk_score", "current_risk_level", "total_reports", "recent_reports")
 
 
-@query(SCORED + "SELECT report_id, base AS base_score, base_level, fused AS fused_score, score AS composite_score, level AS risk_level, " + ", ".join(f"round({x}, 2) AS {k}_component" for k, x in _PARTS.items()) + " FROM scored")
+@query(SCORED + "SELECT report_id, base AS base_score, base_level, fused AS fused_score, score AS composite_score, level AS risk_level, " + ", ".join(f"round({x} + 1e-9, 2) AS {k}_component" for k, x in _PARTS.items()) + " FROM scored")
 def composite_scores(t: Tables) -> DataFrame:
     """F1-F4, F6, F8"""
     parts = [F.col(f"base.breakdown.{k}_component").alias(f"{k}_component") for k in K.WEIGHTS]
@@ -99,7 +100,7 @@ def baseline_fusion(t: Tables) -> DataFrame:
  CASE WHEN algae_percentage < 5 THEN 'none' WHEN algae_percentage < 20 THEN 'low' WHEN algae_percentage < 50 THEN 'moderate' ELSE 'heavy' END AS algae_severity,
  CASE WHEN debris_density > oil_coverage_pct AND debris_density > 2 THEN 'thick slick' WHEN oil_coverage_pct > 1 THEN 'rainbow sheen' ELSE 'none' END AS oil_type,
  CASE WHEN oil_coverage_pct < 1 THEN 'none' WHEN oil_coverage_pct < 5 THEN 'possible' ELSE 'likely' END AS oil_confidence,
- round(least(100e0, debris_density / 30e0 * 100), 1) AS debris_score, least(100e0, debris_density / 30e0 * 100) >= 10 AS debris_detected,
+ round(least(100e0, debris_density / 30e0 * 100) + 1e-9, 1) AS debris_score, least(100e0, debris_density / 30e0 * 100) >= 10 AS debris_detected,
  CASE WHEN least(100e0, debris_density / 30e0 * 100) < 10 THEN 'Clean Surface' WHEN least(100e0, debris_density / 30e0 * 100) < 30 THEN 'Some Debris' WHEN least(100e0, debris_density / 30e0 * 100) < 60 THEN 'Moderate Debris' ELSE 'Heavy Debris' END AS debris_description,
  upper(substr(replace(contamination_type, '_', ' '), 1, 1)) || substr(replace(contamination_type, '_', ' '), 2) AS title,
  CASE WHEN contamination_type LIKE '%e%' THEN 'Anonymous' ELSE contamination_type END AS reporter
@@ -120,8 +121,8 @@ def factor_rules(t: Tables) -> DataFrame:
 y AS (SELECT *, greatest(0e0, least(100e0, lap / 300e0 * 100) - (CASE WHEN ss > 40 THEN least(50e0, (ss - 40) * 1.5e0) ELSE 0e0 END + CASE WHEN vs > 50 THEN least(30e0, vs - 50) ELSE 0e0 END
  + CASE WHEN vm < 100 THEN least(40e0, (100e0 - vm) * 0.8e0) ELSE 0e0 END + CASE WHEN lap > 150 AND vm < 130 THEN 25e0 ELSE 0e0 END)) AS cl, greatest(0e0, 100e0 - hs / 60e0 * 100) AS uni FROM x),
 z AS (SELECT *, least(100e0, greatest(0e0, (100e0 - uni) * 0.6e0 + least(un * 5, 100e0) * 0.4e0)) AS ab FROM y)
-SELECT report_id, round(cl, 1) AS turbidity_score, CASE WHEN cl > 66 THEN 'Clear' WHEN cl > 33 THEN 'Moderately Turbid' ELSE 'Highly Turbid' END AS clarity_description,
- round(ab, 1) AS color_abnormality_score, round(uni, 1) AS color_uniformity, CASE WHEN ab < 20 THEN 'Normal' WHEN ab < 50 THEN 'Slightly Abnormal' ELSE 'Highly Abnormal' END AS description FROM z""")
+SELECT report_id, round(cl + 1e-9, 1) AS turbidity_score, CASE WHEN cl > 66 THEN 'Clear' WHEN cl > 33 THEN 'Moderately Turbid' ELSE 'Highly Turbid' END AS clarity_description,
+ round(ab + 1e-9, 1) AS color_abnormality_score, round(uni + 1e-9, 1) AS color_uniformity, CASE WHEN ab < 20 THEN 'Normal' WHEN ab < 50 THEN 'Slightly Abnormal' ELSE 'Highly Abnormal' END AS description FROM z""")
 def clarity_and_colour(t: Tables) -> DataFrame:
     """F11, F13"""
     c = F.col
@@ -601,7 +602,7 @@ def sanity_flags(t: Tables) -> DataFrame:
 
 
 def _hashed(t: Tables) -> DataFrame:
-    return t["documents"].select("doc_id", "source", fingerprint.simhash_words(F.col("text")).alias("code"))
+    return materialize(t["documents"].select("doc_id", "source", fingerprint.simhash_words(F.col("text")).alias("code")), "codes")
 
 
 HASHED = """WITH RECURSIVE tk AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents) x WHERE w <> ''),
@@ -852,7 +853,7 @@ def rolling_counts(t: Tables) -> DataFrame:
 
 
 @query(SCORED + """, w AS (SELECT *, time_bucket(INTERVAL 7 DAY, created_at, TIMESTAMP '1970-01-01 00:00:00') AS window_start FROM scored)
-SELECT water_body_id, window_start, window_start + INTERVAL 7 DAY AS window_end, count(*) AS report_count, round(avg(score), 4) AS risk_score, round(avg(algae_percentage), 4) AS avg_algae_pct, round(avg(foam_coverage_pct), 4) AS avg_foam_coverage, round(avg(turbidity_score), 4) AS avg_turbidity FROM w GROUP BY 1, 2""")
+SELECT water_body_id, window_start, window_start + INTERVAL 7 DAY AS window_end, count(*) AS report_count, round(avg(score) + 1e-9, 4) AS risk_score, round(avg(algae_percentage) + 1e-9, 4) AS avg_algae_pct, round(avg(foam_coverage_pct) + 1e-9, 4) AS avg_foam_coverage, round(avg(turbidity_score) + 1e-9, 4) AS avg_turbidity FROM w GROUP BY 1, 2""")
 def weekly_snapshots(t: Tables) -> DataFrame:
     """H6"""
     return streams.weekly_snapshots(_scored(t))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tarnlight.functions import rules as R
 from tarnlight.operators.reports import body_state, scored, validate
 from tarnlight.operators.spatial import resolve_bodies
 
@@ -29,7 +30,7 @@ def weekly_snapshots(reports: DataFrame, late: str = LATE) -> DataFrame:
         F.avg("foam_coverage_pct").alias("c"), F.avg("turbidity_score").alias("d"),
     )
     names = {"risk_score": "a", "avg_algae_pct": "b", "avg_foam_coverage": "c", "avg_turbidity": "d"}
-    return out.select("water_body_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "report_count", *[F.round(c, 4).alias(n) for n, c in names.items()])
+    return out.select("water_body_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "report_count", *[R.rounded(F.col(c), 4).alias(n) for n, c in names.items()])
 
 
 def ingest_batch(bodies: DataFrame, out: str) -> Callable[[DataFrame, int], None]:
