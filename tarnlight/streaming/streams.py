@@ -15,16 +15,23 @@ from tarnlight.operators.spatial import resolve_bodies
 LATE = "1 day"
 
 
+def _marked(reports: DataFrame, late: str) -> DataFrame:
+    """A stream with its watermark, which needs times of a zone; a table as it is."""
+    if not reports.isStreaming:
+        return reports
+    return reports.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", late)
+
+
 def rolling_counts(reports: DataFrame, late: str = LATE) -> DataFrame:
     """H5: reports of each body in every 7-day window that starts on a day. As a stream, later rows are dropped."""
-    marked = reports.withWatermark("created_at", late) if reports.isStreaming else reports
+    marked = _marked(reports, late)
     n = marked.groupBy(F.window("created_at", "7 days", "1 day").alias("w"), "water_body_id").agg(F.count("*").alias("n"))
     return n.select("water_body_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n")
 
 
 def weekly_snapshots(reports: DataFrame, late: str = LATE) -> DataFrame:
     """H6: averages, maximum score and count of each body in tumbling weeks."""
-    marked = reports.withWatermark("created_at", late) if reports.isStreaming else reports
+    marked = _marked(reports, late)
     out = marked.groupBy(F.window("created_at", "7 days").alias("w"), "water_body_id").agg(
         F.count("*").alias("report_count"), F.avg("composite_score").alias("a"), F.avg("algae_percentage").alias("b"),
         F.avg("foam_coverage_pct").alias("c"), F.avg("turbidity_score").alias("d"),
