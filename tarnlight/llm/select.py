@@ -35,10 +35,11 @@ def cutoffs(rows: DataFrame, budgets: DataFrame) -> DataFrame:
         upto = F.sum("w").over(Window.partitionBy("grp").orderBy("range"))
         sums = sums.withColumn("upto", upto).join(here.select("grp", "left"), "grp")
         over = sums.where("upto > left").groupBy("grp").agg(F.min(F.struct("range", (F.col("left") - F.col("upto") + F.col("w")).alias("left"))).alias("x"))
-        top = (1 << (_BITS * level)) - 1  # all fits: the prefix ends in the last range
-        whole = sums.groupBy("grp").agg(F.max("upto").alias("all"))
-        here = here.join(over, "grp", "left").join(whole, "grp", "left").select(
-            "grp", F.coalesce("x.left", F.col("left") - F.coalesce("all", F.lit(0))).alias("left"), F.coalesce("x.range", F.lit(top)).alias("range"), F.col("x").isNull().alias("whole")
+        # all fits: the prefix ends in the last range that has rows
+        last = sums.groupBy("grp").agg(F.max(F.struct("range", (F.col("left") - F.col("upto") + F.col("w")).alias("left"))).alias("y"))
+        ends = F.coalesce("x", "y")
+        here = here.join(over, "grp", "left").join(last, "grp", "left").select(
+            "grp", F.coalesce(ends["left"], "left").alias("left"), F.coalesce(ends["range"], "range").alias("range"), F.col("x").isNull().alias("whole")
         )
         if level < LEVELS:
             here = here.drop("whole")
