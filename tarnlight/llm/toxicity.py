@@ -95,10 +95,14 @@ class Network:
         return np.concatenate([self.weights["E"][x.numbers], chars], axis=1)
 
     def table(self, x: Inputs) -> np.ndarray:
-        """Each word's input gates of both passes."""
-        if not len(x.numbers):
-            return np.zeros((1, 6 * HIDDEN), np.float32)
-        return (self.vectors(x) @ self.weights["W"] + self.weights["g"]).astype(np.float32)
+        """Each word's input gates of both passes, made for some words at a time."""
+        n = len(x.numbers)
+        out = np.zeros((max(1, n), 6 * HIDDEN), np.float32)
+        for at in range(0, n, _CHUNK * 32):
+            ends = x.ends[at : at + _CHUNK * 32 + 1]
+            part = Inputs(x.numbers[at : at + _CHUNK * 32], x.flat[ends[0] : ends[-1]], ends - ends[0])
+            out[at : at + len(part.numbers)] = self.vectors(part) @ self.weights["W"] + self.weights["g"]
+        return out
 
 
 def _slots(codes: np.ndarray) -> np.ndarray:
@@ -180,15 +184,16 @@ def _logits(net: Network, table: np.ndarray, index: np.ndarray) -> np.ndarray:
 
 def _index(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """All windows of documents of word numbers, and the document of each window."""
-    rows, owners = [], []
-    for k, numbers in enumerate(documents):
-        for a in windows(len(numbers)):
-            row = np.full(WINDOW, -1, np.int64)
+    starts = [windows(len(numbers)) for numbers in documents]
+    owners = np.repeat(np.arange(len(documents)), [len(s) for s in starts])
+    out = np.full((len(owners), WINDOW), -1, np.int32)
+    row = 0
+    for numbers, firsts in zip(documents, starts, strict=True):
+        for a in firsts:
             part = numbers[a : a + WINDOW]
-            row[: len(part)] = part
-            rows.append(row)
-            owners.append(k)
-    return np.array(rows).reshape(-1, WINDOW), np.array(owners, np.int64)
+            out[row, : len(part)] = part
+            row += 1
+    return out, owners
 
 
 def _numbered(texts: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
