@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlight.functions import rules as R
+from tarnlight.operators.prefix import sums_before
 
 
 def join_truth(predictions: DataFrame, truth: DataFrame, key: str) -> DataFrame:
@@ -72,17 +73,16 @@ def _by_score(df: DataFrame, by: tuple[str, ...], y: str, p: str) -> DataFrame:
 
 def roc_auc(df: DataFrame, *by: str, y: str = "y", p: str = "p") -> DataFrame:
     """The Mann-Whitney form; tied scores count half. One class only: null."""
-    below = Window.partitionBy(*by).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
-    s = _by_score(df, by, y, p).withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0.0)))
-    return s.groupBy(*by).agg(F.round(F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")), 6).alias("auc"))
+    s = sums_before(_by_score(df, by, y, p), by, F.col(p), ("neg",))
+    return s.groupBy(*by).agg(F.round(F.try_divide(F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")), 6).alias("auc"))
 
 
 def roc_curve(df: DataFrame, *by: str, y: str = "y", p: str = "p") -> DataFrame:
     """(threshold, fpr, tpr) with thresholds falling, after a first point (0, 0) at infinity."""
-    upto = Window.partitionBy(*by).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    s = _by_score(df, by, y, p)
-    share = lambda c: F.sum(c).over(upto) / F.greatest(F.lit(1.0), F.sum(c).over(whole))
+    s = sums_before(_by_score(df, by, y, p), by, F.desc(p), ("pos", "neg"))
+    whole = s.groupBy(*by).agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    s = s.join(whole, list(by)) if by else s.crossJoin(F.broadcast(whole))  # one row
+    share = lambda c: (F.col(f"before_{c}") + F.col(c)) / F.greatest(F.lit(1.0), F.col(f"_{c}"))
     points = s.select(*by, F.col(p).cast("double").alias("threshold"), share("neg").alias("fpr"), share("pos").alias("tpr"))
     start = s.select(*by, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")).distinct()
     return start.unionByName(points)
@@ -157,9 +157,8 @@ def pearson(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def average_rank(df: DataFrame, c: str, out: str) -> DataFrame:
     """Ranks of column c with ties averaged, from counts of distinct values."""
-    n = df.groupBy(c).agg(F.count("*").alias("_n"))
-    upto = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = n.select(c, (F.coalesce(F.sum("_n").over(upto), F.lit(0)) + (F.col("_n") + 1) / 2).alias(out))
+    n = sums_before(df.groupBy(c).agg(F.count("*").alias("_n")), (), F.col(c), ("_n",))
+    ranks = n.select(c, (F.col("before__n") + (F.col("_n") + 1) / 2).alias(out))
     return df.join(ranks, c)
 
 
