@@ -61,14 +61,13 @@ def require_rows(df: DataFrame, least: int) -> DataFrame:
 
 
 def balanced_sample(df: DataFrame, target: int, by: str, *order: str) -> DataFrame:
-    """An equal quota of each category, then what is missing from the rest in the order of all."""
+    """An equal quota of each category, then what is missing from the rest in the order of all. The order has no ties."""
     kinds = df.select(by).distinct().count()
     each = target // max(1, kinds)
-    place = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    ranked = df.withColumn("_r", place)
-    first = ranked.where(F.col("_r") <= each).drop("_r")
+    first = quota(df, by, each, *order)
     missing = target - first.count()
-    rest = ranked.where(F.col("_r") > each).drop("_r").orderBy(*order).limit(max(0, missing))
+    # the first of all in number twice the target hold as many as can be missing, whatever the quotas took of them
+    rest = df.orderBy(*order).limit(2 * target).join(first.select(*order), list(order), "left_anti").orderBy(*order).limit(max(0, missing))
     return first.unionByName(rest)
 
 

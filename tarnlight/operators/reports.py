@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnlight.functions import fixed as K
 from tarnlight.functions import rules as R
+from tarnlight.operators.prefix import sums_before
 
 
 def as_of_column(as_of: str) -> Column:
@@ -170,11 +171,11 @@ def last_k(reports: DataFrame, k: int = 5) -> DataFrame:
 
 def snapshots(reports: DataFrame) -> DataFrame:
     """For each report the body's running count, and the report's own values under the names of averages."""
-    order = Window.partitionBy("water_body_id").orderBy("created_at", "report_id")
-    return reports.select(
+    counted = sums_before(reports.withColumn("_one", F.lit(1)), ("water_body_id",), F.struct("created_at", "report_id"), ("_one",))
+    return counted.select(
         "report_id", "water_body_id", F.col("composite_score").alias("risk_score"), "risk_level", F.col("algae_percentage").alias("avg_algae_pct"),
         F.col("foam_coverage_pct").alias("avg_foam_coverage"), F.col("turbidity_score").alias("avg_turbidity"),
-        F.row_number().over(order).alias("report_count"), F.col("created_at").alias("window_start"), F.col("created_at").alias("window_end"),
+        (F.col("before__one") + 1).alias("report_count"), F.col("created_at").alias("window_start"), F.col("created_at").alias("window_end"),
     )
 
 
