@@ -17,10 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlight.llm.text import utf8
+from tarnlight.scratch import materialize
 
 WINDOW = 10
 #: Words of one broadcast block: about 40 MB as Python objects.
 BLOCK_WORDS = 200_000
+#: Blocks that a task holds at once. A larger benchmark takes more passes, each written before the next.
+PASS_BLOCKS = 4
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _MULTIPLIER = 0x9E3779B97F4A7C15
 RESULT = "struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:array<struct<first:int,last:int>>>"
@@ -110,27 +113,32 @@ def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", w
     yield Windows(part, window)
 
 
-def matches(text: Column, windows: list) -> Column:
-    """RESULT for each text, against all broadcast blocks."""
+def matches(text: Column, windows: list, before: Column | None = None) -> Column:
+    """RESULT for each text against some broadcast blocks, together with what ``before`` found against others."""
+    span = pa.struct([("first", pa.int32()), ("last", pa.int32())])
+    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(span))])
+
+    def found(t: bytes, had: dict | None) -> dict:
+        n, hit, items = 0, None, set(had["items"] if had else ())
+        for block in windows:
+            n, more, of = _scan(t, block.value)
+            hit = more if hit is None else hit | more
+            items |= of
+        for s in had["spans"] if had else ():
+            hit[s["first"] : s["last"] + 1] = True
+        return {"n_words": n, "n_hit": int(hit.sum()), "items": sorted(items), "spans": [{"first": a, "last": b} for a, b in _runs(hit)] if items else []}
 
     @F.arrow_udf(RESULT)
-    def match(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def first(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows = []
-            for t in utf8(texts):
-                n, hit, items = 0, None, set()
-                for block in windows:
-                    n, more, of = _scan(t, block.value)
-                    hit = more if hit is None else hit | more
-                    items |= of
-                rows.append({
-                    "n_words": n, "n_hit": int(hit.sum()), "items": sorted(items),
-                    "spans": [{"first": a, "last": b} for a, b in _runs(hit)] if items else [],
-                })
-            kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))])
-            yield pa.array(rows, kind)
-
-    return match.asNondeterministic()(text)
+            yield pa.array([found(t, None) for t in utf8(texts)], kind)
+
+    @F.arrow_udf(RESULT)
+    def further(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, had in batches:
+            yield pa.array([found(t, h) for t, h in zip(utf8(texts), had.to_pylist(), strict=True)], kind)
+
+    return first.asNondeterministic()(text) if before is None else further.asNondeterministic()(text, before)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, out: str = "match") -> DataFrame:
@@ -138,11 +146,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
 
     A word is hit if it lies inside any occurrence of a window. Null and empty texts have no words; an empty benchmark hits
     nothing. Items without words or without id have no windows; items that repeat an id count once. Rows stay as they are,
-    and no text is shuffled.
+    and no text is shuffled. PASS_BLOCKS blocks are broadcast for a pass.
     """
     context = docs.sparkSession.sparkContext
-    held = [context.broadcast(b) for b in blocks(benchmark, window=window)]
-    return docs.withColumn(out, matches(F.col(text), held))
+    found, held = None, []
+    for block in blocks(benchmark, window=window):
+        if len(held) == PASS_BLOCKS:
+            done = docs.withColumn(out, matches(F.col(text), held)) if found is None else found.withColumn(out, matches(F.col(text), held, F.col(out)))
+            found, held = materialize(done, "pass"), []
+        held.append(context.broadcast(block))
+    if found is None:
+        return docs.withColumn(out, matches(F.col(text), held))
+    return found.withColumn(out, matches(F.col(text), held, F.col(out)))
 
 
 _SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"

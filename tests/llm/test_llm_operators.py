@@ -272,7 +272,8 @@ def test_contamination_matches_brute_force(spark, monkeypatch):
     want = slow_contamination(docs, items)
     bench = spark.createDataFrame(items, "item_id long, text string")
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("match", F.lit("clash"))
-    for size in (decontaminate.BLOCK_WORDS, 12):
+    monkeypatch.setattr(decontaminate, "PASS_BLOCKS", 2)
+    for size in (decontaminate.BLOCK_WORDS, 60):
         monkeypatch.setattr(decontaminate, "BLOCK_WORDS", size)
         got = decontaminate.contamination(df, bench, out="found").select("doc_id", "found.*").collect()
         assert sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got) == want
