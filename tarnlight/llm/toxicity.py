@@ -42,11 +42,17 @@ def grams(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"<" + b"><".join(found) + b">\0\0\0", np.uint8).astype(np.uint32)
     codes = data[:-3] | data[1:-2] << np.uint32(8) | data[2:-1] << np.uint32(16) | data[3:] << np.uint32(24)
     lengths = np.fromiter(map(len, found), np.int64, len(found)) + 2
-    owner = np.repeat(np.arange(len(found)), lengths)
+    owner = np.repeat(np.arange(len(found), dtype=np.int32), lengths)
     inside = np.arange(len(owner)) + 4 <= np.cumsum(lengths)[owner]
     return codes[inside], owner[inside]
 
 
+def _parts(found: list[bytes]) -> Iterator[list[bytes]]:
+    """Some words at a time, so that their n-grams take bounded memory."""
+    for at in range(0, len(found), _CHUNK * 32):
+        yield found[at : at + _CHUNK * 32]
+
+
 def windows(n: int) -> list[int]:
     """First words of the windows over ``n`` words; the last window ends with the text. No words: one empty window."""
     if n <= WINDOW:
@@ -79,12 +85,15 @@ class Network:
     def inputs(self, found: list[bytes]) -> Inputs:
         """What the words enter as: their numbers, and the known n-grams of all words with the ends of each word's."""
         known = self.words.get
-        codes, owner = grams(found)
-        slots = _slots(codes)
-        numbers = np.where(self.gram_codes[slots] == codes, self.gram_numbers[slots], 0)
-        kept = numbers > 0
-        ends = np.concatenate([[0], np.cumsum(np.bincount(owner[kept], minlength=len(found)))])
-        return Inputs(np.fromiter((known(w, 0) for w in found), np.int64, len(found)), numbers[kept], ends)
+        flat, counts = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
+        for part in _parts(found):
+            codes, owner = grams(part)
+            slots = _slots(codes)
+            numbers = np.where(self.gram_codes[slots] == codes, self.gram_numbers[slots], 0)
+            flat.append(numbers[numbers > 0])
+            counts.append(np.bincount(owner[numbers > 0], minlength=len(part)))
+        words = np.fromiter((known(w, 0) for w in found), np.int32, len(found))
+        return Inputs(words, np.concatenate(flat), np.cumsum(np.concatenate(counts)))
 
     def vectors(self, x: Inputs) -> np.ndarray:
         chars = np.zeros((len(x.numbers), CHAR_DIM), np.float32)
@@ -200,7 +209,7 @@ def _numbered(texts: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
     """Distinct words, and each text as numbers of them."""
     seen: dict[bytes, int] = defaultdict(count().__next__)
     number = seen.__getitem__
-    out = [np.fromiter(map(number, lower_words(t)), np.int64) for t in texts]
+    out = [np.fromiter(map(number, lower_words(t)), np.int32) for t in texts]
     return list(seen), out
 
 
@@ -225,15 +234,17 @@ def _start(texts: list[bytes], rng: np.random.Generator) -> Network:
         in_docs.update(set(lower_words(t)))
     best = sorted(((n, w) for w, n in in_docs.items() if n >= MIN_DOCS), key=lambda x: (-x[0], x[1]))[:MAX_WORDS]
     words = {w: k + 1 for k, (_, w) in enumerate(best)}
-    found = sorted(in_docs)
-    codes, owner = grams(found)
-    distinct, at = np.unique(codes, return_inverse=True)
-    counts = np.bincount(at, weights=np.array([in_docs[w] for w in found], np.float64)[owner] if found else None, minlength=len(distinct))
+    distinct, counts = np.empty(0, np.uint32), np.empty(0, np.float64)
+    for part in _parts(sorted(in_docs)):
+        codes, owner = grams(part)
+        weights = np.array([in_docs[w] for w in part], np.float64)[owner]
+        distinct, at = np.unique(np.concatenate([distinct, codes]), return_inverse=True)
+        counts = np.bincount(at, weights=np.concatenate([counts, weights]), minlength=len(distinct))
     order = np.lexsort((distinct, -counts))
     order = order[counts[order] >= MIN_DOCS]
     _, first = np.unique(_slots(distinct[order]), return_index=True)  # a slot goes to its most frequent n-gram
     known = distinct[order[np.sort(first)[:MAX_GRAMS]]]
-    gram_codes, gram_numbers = np.zeros(1 << SLOT_BITS, np.uint32), np.zeros(1 << SLOT_BITS, np.int64)
+    gram_codes, gram_numbers = np.zeros(1 << SLOT_BITS, np.uint32), np.zeros(1 << SLOT_BITS, np.int32)
     gram_codes[_slots(known)], gram_numbers[_slots(known)] = known, np.arange(1, len(known) + 1)
     draw = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
     size = WORD_DIM + CHAR_DIM
