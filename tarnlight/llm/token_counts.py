@@ -10,7 +10,6 @@ node. The vocabulary is read from a file by its path and never copied or trained
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +24,8 @@ MARK = "▁"
 UNIT = 1_000_000
 #: A trie is given up for a new one when it has so many nodes, which bounds a task's memory whatever the texts.
 MAX_NODES = 400_000
+#: So many pre-tokens keep their counts in a task.
+MAX_KNOWN = 500_000
 Vocabulary = dict[str, int]
 
 
@@ -43,21 +44,26 @@ def vocabulary(path: str = VOCABULARY) -> tuple[Vocabulary, int]:
     return {model.id_to_piece(i): score(r) for r, i in enumerate(ids, 1)}, score(len(ids) + 1)
 
 
+def endings(pieces: Vocabulary) -> dict[str, tuple[int, ...]]:
+    """By the last three characters of pieces (or all that they have) the lengths that end so."""
+    lengths: dict[str, set[int]] = {}
+    for p in pieces:
+        lengths.setdefault(p[-3:], set()).add(len(p))
+    return {k: tuple(sorted(v)) for k, v in lengths.items()}
+
+
 class Trie:
     """Forward scores by node. Node 0 is the empty prefix; ``count`` is the token count of a node's own prefix."""
 
     def __init__(self, pieces: Vocabulary, byte_score: int):
         self.pieces, self.byte_score = pieces, byte_score
-        lengths: dict[str, set[int]] = {}
-        for p in pieces:
-            lengths.setdefault(p[-2:], set()).add(len(p))
-        self.lengths = {k: tuple(sorted(v)) for k, v in lengths.items()}
+        self.lengths = endings(pieces)
         self.children: dict[tuple[int, str], int] = {}
         self.score, self.count = [0], [0]
 
     def insert(self, word: str) -> int:
         """The token count of ``word``. Of equally good segmentations, one of the fewest tokens."""
-        children, score, count = self.children, self.score, self.count
+        children, score, count, lengths = self.children, self.score, self.count, self.lengths
         path = [0]
         for end, c in enumerate(word, 1):
             here = path[-1]
@@ -66,9 +72,10 @@ class Trie:
                 node = children[here, c] = len(score)
                 size = len(c.encode("utf-8", "surrogatepass"))
                 best, least = score[here] + size * self.byte_score, count[here] + size
-                for n in (*self.lengths.get(c, ()), *self.lengths.get(word[end - 2 : end], ())) if end > 1 else self.lengths.get(c, ()):
+                one, two, more = lengths.get(c, ()), lengths.get(word[end - 2 : end], ()) if end > 1 else (), lengths.get(word[end - 3 : end], ()) if end > 2 else ()
+                for n in one + two + more:
                     if n > end:
-                        continue
+                        break
                     of = self.pieces.get(word[end - n : end])
                     if of is not None:
                         before = path[end - n]
@@ -81,6 +88,23 @@ class Trie:
         return count[path[-1]]
 
 
+class Counts(dict):
+    """Token counts by pre-token, from a trie when they are first asked for."""
+
+    def __init__(self, pieces: Vocabulary, byte_score: int):
+        super().__init__()
+        self.of = pieces, byte_score
+        self.trie = Trie(*self.of)
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self.trie.score) > MAX_NODES:
+            self.trie = Trie(*self.of)
+        if len(self) >= MAX_KNOWN:
+            self.clear()
+        n = self[word] = self.trie.insert(MARK + word.decode("utf-8", "replace"))
+        return n
+
+
 def token_counts(text: Column | str, path: str = VOCABULARY) -> Column:
     """``struct<n_words, n_tokens>`` of each whole text; null and empty texts have none.
 
@@ -91,20 +115,12 @@ def token_counts(text: Column | str, path: str = VOCABULARY) -> Column:
 
     @F.arrow_udf("struct<n_words:bigint,n_tokens:bigint>")
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        trie, known = Trie(*held.value), {}
+        counts = Counts(*held.value)
         for texts in batches:
             out = []
             for t in utf8(texts):
-                found = t.split()
-                total = 0
-                for word, times in Counter(found).items() if len(found) > 1000 else ((w, 1) for w in found):
-                    n = known.get(word)
-                    if n is None:
-                        if len(trie.score) > MAX_NODES:
-                            trie, known = Trie(*held.value), {}
-                        n = known[word] = trie.insert(MARK + word.decode("utf-8", "replace"))
-                    total += n * times
-                out.append({"n_words": len(found), "n_tokens": total})
+                words = t.split()
+                out.append({"n_words": len(words), "n_tokens": sum(map(counts.__getitem__, words))})
             yield pa.array(out, kind)
 
     return counted.asNondeterministic()(text)
