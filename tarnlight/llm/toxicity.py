@@ -3,12 +3,13 @@
 Each word enters as a vector of its own and the mean vector of its character n-grams, so that unseen spellings of a word
 still have a meaning. Two recurrent passes read a window of ``WINDOW`` words; attention weighs the states; a logistic unit
 scores the window. Windows overlap and cover the whole text; a document scores as its worst window. The network is trained
-in numpy on the driver from a bounded sample of labelled documents: a toxic document teaches through its worst window
+in numpy, by one task, from a bounded sample of labelled documents: a toxic document teaches through its worst window
 (multiple-instance learning), a clean one through its worst and a random one. Only the text is an input.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlight.llm.text import lower_words, utf8
+from tarnlight.llm.text import columns, lower_words, utf8
 
 WINDOW, STRIDE = 48, 36
 WORD_DIM, CHAR_DIM, HIDDEN = 10, 10, 8
@@ -396,8 +397,8 @@ def remainder(doc_id: Column, folds: int = FOLDS) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], list[int]]:
-    """Texts and labels of at most SAMPLE_TOXIC and SAMPLE_CLEAN labelled documents, first by a hash of doc_id.
+def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(h, doc_id, toxic, text)`` of at most SAMPLE_TOXIC and SAMPLE_CLEAN labelled documents, first by a hash of doc_id.
 
     Held-out documents, null labels and null texts are left out; of repeated labels the highest counts.
     """
@@ -406,8 +407,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], li
     pick = lambda toxic, n: known.where(F.col("toxic") == toxic).orderBy("h", "doc_id").limit(n)
     some = pick(1, SAMPLE_TOXIC).unionByName(pick(0, SAMPLE_CLEAN)).select("doc_id", "toxic", "h")
     texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id")
-    rows = sorted(texts.select("h", "doc_id", "toxic", "text").collect())
-    return [r.text.encode() for r in rows], [int(r.toxic) for r in rows]
+    return texts.select("h", "doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
 
 
 def toxicity(text: Column | str, net: Network) -> Column:
@@ -432,7 +432,19 @@ def toxicity(text: Column | str, net: Network) -> Column:
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Network:
-    return train(*labelled_sample(docs, labels))
+    """The network, trained by one task on the bounded sample; the weights alone come to the driver."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for h, ids, toxic, texts in columns(batches, "h", "doc_id", "toxic", "text"):
+            rows += zip(h.to_pylist(), ids.to_pylist(), toxic.to_pylist(), utf8(texts), strict=True)
+        rows.sort()
+        net = train([r[3] for r in rows], [r[2] for r in rows])
+        data = pickle.dumps((net.words, net.gram_codes, net.gram_numbers, net.weights))
+        yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["net"])
+
+    made = labelled_sample(docs, labels).repartition(1).mapInArrow(fit, "net binary").collect()
+    return Network(*pickle.loads(bytes(made[0].net))) if made else train([], [])
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
