@@ -8,6 +8,9 @@ verified by the number of differing bits.
 A key under which more than ``crowd`` different fingerprints meet is not joined with itself. There each fingerprint is
 linked to itself and to the codes one bit away among the key's free bits: fingerprints at most two bits apart share such a
 code, and whatever shares one is at most two bits apart, so the components are the same and no pairs are made.
+
+That radius is the contract of the query. Elsewhere near-duplicates are texts whose sets of five-word shingles have a Jaccard
+similarity of 0.8 or more, which lie up to 14 bits apart, too far for blocks (see ``shingles.py``).
 """
 
 from __future__ import annotations
@@ -20,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlight.llm.text import hash64, lower_words, utf8
+from tarnlight.llm import shingles
+from tarnlight.llm.text import utf8
 from tarnlight.operators.graph import connected_components
 from tarnlight.scratch import materialize
 
@@ -28,21 +32,12 @@ WIDTH = 3
 MAX_BITS = 2
 BLOCKS = (13, 13, 13, 13, 12)
 CROWD = 64
-_STEP = 1 << 18
 
 
 def _fingerprint(text: bytes, width: int) -> int:
-    words = lower_words(text)
-    n = max(1, len(words) - width + 1)
-    if not words:
-        return 0
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
-    stops = ends[min(width, len(words)) - 1 :].tolist()
-    joined = b" ".join(words)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, _STEP):
-        hashes = hash64([joined[a:b] for a, b in zip(starts[at : at + _STEP], stops[at : at + _STEP], strict=True)])
+    n, ones = 0, np.zeros(64, np.int64)
+    for hashes in shingles.hashes(text, width):
+        n += len(hashes)
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.uint32)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
@@ -99,23 +94,39 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     return pairs.distinct().unionByName(around)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
-    """``(doc_id, fp, component_id)`` for each row of ``docs``: the smallest doc_id reachable over links of at most two bits.
+def near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD, width: int = shingles.WIDTH,
+    similarity: float = shingles.SIMILARITY, max_bits: int | None = None,
+) -> DataFrame:
+    """``(doc_id, fp, component_id)`` for each row of ``docs``: the smallest doc_id reachable over links.
+
+    Linked are texts whose sets of shingles of ``width`` words have a Jaccard similarity of ``similarity`` or more; ``fp`` is
+    a hash of the set. With ``max_bits`` (MAX_BITS, the only radius that the blocks reach) linked are instead those whose
+    SimHash, then ``fp``, differs in at most so many bits. Either is 0 for texts without words.
 
     Other columns of ``docs`` are not read. Repeated rows each give a row. A row without doc_id takes part and gets the
     smallest doc_id of its component, null if there is none. An empty table gives no rows.
     """
-    prints = materialize(docs.select(F.col(doc_id).alias("doc_id"), simhash(F.col(text)).alias("fp")), "simhash")
+    if max_bits not in (None, MAX_BITS):
+        raise ValueError(f"max_bits: {MAX_BITS} or none")
+    if max_bits is None:
+        docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+        prints = materialize(shingles.sketches(docs, width), "shingles")
+        edges = shingles.links(docs, prints, width, similarity, crowd)
+        prints = prints.select("doc_id", "fp")
+    else:
+        prints = materialize(docs.select(F.col(doc_id).alias("doc_id"), simhash(F.col(text), width).alias("fp")), "simhash")
+        edges = links(prints.select("fp").distinct(), crowd)
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    comps = connected_components(links(classes.select("fp"), crowd), "a", "b")
+    comps = connected_components(edges, "a", "b")
     named = classes.join(comps.withColumnRenamed("node", "fp"), "fp", "left")
     named = named.select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return prints.join(named.join(least, "component").select("fp", "component_id"), "fp")
+    return prints.join(named.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each group of near-duplicates the document with the smallest doc_id.
+    """The rows of ``docs`` that stay: of each group of near-duplicates, by shingles, the document with the smallest doc_id.
 
     Of repeated doc_ids one row stays. Rows without doc_id stay only where their whole group has none, one of each text.
     """
@@ -123,6 +134,7 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stays = materialize(stays.select(F.col("doc_id").alias("_kept")), "kept")
     n, ids = stays.agg(F.count("*"), F.count_distinct("_kept")).first()
+    stays = stays.hint("merge")  # at any size as at the full one: the rows cross the network once
     if n == ids:
         return docs.join(stays, F.col(doc_id) == F.col("_kept"), "left_semi")
     kept = docs.join(stays, F.col(doc_id).eqNullSafe(F.col("_kept")), "left_semi")
@@ -132,5 +144,5 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = near_duplicates(docs)
+    found = near_duplicates(docs, width=WIDTH, max_bits=MAX_BITS)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -107,6 +107,51 @@ def test_simhash_odd_rows(odd, empty):
     assert simhash.keep_first(odd.withColumn("fp", F.lit(1)).withColumn("component", F.lit(2))).columns[-2:] == ["fp", "component"]
 
 
+def slow_shingles(text, width=5):
+    w = text.encode().lower().split()
+    return frozenset(b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset()
+
+
+def slow_jaccard_components(rows):
+    sets = {i: slow_shingles(t) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations(sorted(sets), 2):
+        x, y = sets[i], sets[j]
+        if x == y or (min(len(x), len(y)) >= 0.79 * max(len(x), len(y)) and len(x & y) / len(x | y) >= 0.8):
+            a, b = sorted((find(i), find(j)))
+            parent[b] = a
+    return {i: find(i) for i in sets}
+
+
+def edits(rng, words, n):
+    """The words with n of them replaced, far enough apart or not."""
+    out = list(words)
+    for k in rng.sample(range(len(out)), n):
+        out[k] = f"w{rng.randrange(10**9)}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("crowd", [0, 3, 64])
+def test_stage_finds_all_pairs_of_similar_shingles(spark, texts, crowd):
+    rng = random.Random(6)
+    rows = [(i, t) for i, t in texts]
+    for g in range(6):  # groups about the threshold: 1 to 8 of 300 words changed
+        base = [f"b{rng.randrange(10**6)}" for _ in range(300)]
+        rows += [(100_000 + 100 * g + k, edits(rng, base, rng.randrange(1, 9))) for k in range(25)]
+    rows += [(200_000 + k, f"short text {k % 3}") for k in range(9)] + [(300_000, ""), (300_001, " \n")]
+    want = slow_jaccard_components(rows)
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), crowd=crowd).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+    prints = {i: slow_simhash(t) for i, t in rows}
+    assert any((prints[i] ^ prints[k]).bit_count() > 2 for i, k in want.items())  # a radius of two bits loses these
+
+
 # op2
 
 
