@@ -4,7 +4,8 @@ Terms whose inverse document frequency lies in a band form the lexicon. A text k
 lexicon, sorted; of these, each of FAMILIES random families of nested subsets keeps a half, a quarter, ... 2^-LEVELS; each
 subset's kept terms are hashed. Texts of any length so have subsets that keep about one of their terms, which survive an
 edit elsewhere. Two fingerprints are compared through the number of subsets that differ and that are not empty: both counts
-grow with the logarithm of the number of terms behind them, and give the share of common terms.
+grow with the logarithm of the number of terms behind them, and give the share of common terms. With 24 levels that holds
+up to some millions of distinct terms.
 
 The document frequencies of all terms are counted in Spark by hash bucket, 2^LEXICON_BITS in number. The lexicon then is a
 bit for each bucket, 2 MB whatever the corpus, and terms that share a bucket share its frequency.
@@ -27,7 +28,7 @@ from tarnlight.llm.text import columns, hash64, mixed, utf8
 LEXICON_BITS = 24
 #: The band, in nats: terms of more than 22% of all texts are out, and terms of fewer than one in 160,000.
 IDF_BAND = (1.5, 12.0)
-FAMILIES, LEVELS = 6, 12
+FAMILIES, LEVELS = 6, 24
 #: A text of whose terms a smaller share lies in the band keeps all its terms.
 MIN_SHARE = 0.5
 _GROUP = 13
@@ -100,7 +101,11 @@ def fingerprint(text: bytes, bits: np.ndarray) -> np.ndarray:
 
 
 def _behind(counts: np.ndarray) -> np.ndarray:
-    """The number of terms of which as many subsets as ``counts`` keep one at least, on average."""
+    """The number of terms of which as many subsets as ``counts`` keep one at least, on average.
+
+    That all do tells only that there are many; it counts as half a subset less, which the last level can resolve.
+    """
+    counts = np.minimum(counts, FAMILIES * LEVELS - 0.5)
     sizes = np.concatenate([[0.0], np.exp2(np.arange(-6, LEVELS + 8, 0.125))])
     expected = FAMILIES * (1 - np.exp(-sizes[:, None] * 2.0**-_LEVELS)).sum(axis=1)
     return np.interp(counts, expected, sizes)

@@ -237,6 +237,21 @@ def test_document_frequencies_and_band(spark, texts):
     assert set(np.flatnonzero(np.unpackbits(bits)).tolist()) == inside
 
 
+@pytest.mark.parametrize("n", [1000, 10_000, 30_000, 100_000])
+def test_likeness_on_long_texts(n):
+    bits = np.full(1 << (fingerprints.LEXICON_BITS - 3), 255, np.uint8)
+    for share in (0.6, 0.1):
+        got = []
+        for k in range(12):
+            common = [f"c{k}x{j}" for j in range(round(n * share))]
+            a, b = (" ".join(common + [f"{side}{k}x{j}" for j in range(round(n * (1 - share) / 2))]).encode() for side in "ab")
+            got.append(fingerprints.likeness(fingerprints.fingerprint(a, bits), fingerprints.fingerprint(b, bits)))
+        assert abs(np.median(got) - share) < 0.2
+        assert all(0 <= x < 0.95 for x in got)
+    table = fingerprints._TABLE
+    assert table[-1] < 4 * table[-2]
+
+
 def test_fingerprints_odd_rows(odd, empty):
     got = fingerprints.edited_pairs(odd).collect()
     assert len(got) == len(ODD)
