@@ -12,8 +12,7 @@ The files lie in the shared folder. Scoring tasks map them into memory and look
 of text at a time, in sorted order, so a task holds no model, and the model may be larger than memory. The number of ranges
 grows with the corpus, so that a range's size doesn't.
 
-The order is two: with a third, each text position would bring a third hash to the shuffle and the files, which then pass
-four times the input on disk (see README).
+The order is two: context of more than one word is not used. Order three has not been built or measured (see README).
 """
 
 from __future__ import annotations
