@@ -1,4 +1,4 @@
-"""Exact prefixes of ordered groups by weight, without sorting a group."""
+"""Exact prefixes of ordered groups by weight, without sorting a group; rows with listed ids, without shuffling the others."""
 
 from __future__ import annotations
 
@@ -59,3 +59,49 @@ def cutoffs(rows: DataFrame, budgets: DataFrame) -> DataFrame:
 def within(key, tie, last_key, last_tie):
     """Whether a row belongs to the prefix that ``cutoffs`` found. A null last_tie takes every tie."""
     return F.coalesce((key < last_key) | ((key == last_key) & (last_tie.isNull() | (tie <= last_tie))), F.lit(False))
+
+
+#: Bits of a listed set: so many for each id, up to a bound that makes 16 MB.
+_BITS_PER_ID, _LEAST_BITS, MAX_BITS = 16, 1 << 18, 1 << 27
+_PIECE = 1 << 15
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def _split(df: DataFrame, column: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: rows whose value is surely not in ``ids``, and the rest. A Bloom filter of one hash, of at most 16 MB."""
+    bits = _LEAST_BITS
+    n = ids.count()
+    while bits < min(MAX_BITS, _BITS_PER_ID * n):
+        bits *= 2
+    piece, held = unused(df, "_piece"), unused(df, "_bits")
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    pieces = ids.select(slot(F.col(ids.columns[0])).alias("s")).groupBy(F.floor(F.col("s") / _PIECE).alias(piece))
+    pieces = pieces.agg(F.bitmap_construct_agg(F.col("s") % _PIECE).alias(held))
+    at = slot(F.col(column))
+    tested = df.withColumn(piece, F.floor(at / _PIECE)).join(F.broadcast(pieces), piece, "left")
+    byte = F.conv(F.hex(F.substring(held, (F.floor((at % _PIECE) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    power = F.pow(F.lit(2), at % 8).cast("int")
+    hit = F.coalesce(byte.bitwiseAND(power) != 0, F.lit(False))
+    return tested.where(~hit).drop(piece, held), tested.where(hit).drop(piece, held)
+
+
+def among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose value stands in the one column of ``ids``, null among them. ``ids`` is read three times.
+
+    Only rows that a filter of bounded size lets through cross the network, for an exact join.
+    """
+    listed = ids.toDF(unused(df, "_listed"))
+    return _split(df, column, ids)[1].join(listed.hint("merge"), F.col(column).eqNullSafe(F.col(listed.columns[0])), "left_semi")
+
+
+def without(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose value doesn't stand in the one column of ``ids``; the counterpart of ``among``."""
+    listed = ids.toDF(unused(df, "_listed"))
+    clear, maybe = _split(df, column, ids)
+    return clear.unionByName(maybe.join(listed.hint("merge"), F.col(column).eqNullSafe(F.col(listed.columns[0])), "left_anti"))

@@ -1,13 +1,18 @@
 """Near-duplicates by the Jaccard similarity of sets of word shingles: MinHash bands (Broder 1997) and exact verification.
 
 Each text has BANDS keys of ROWS minima over its set of shingle hashes. Sets of similarity 0.8 share none of the keys with
-probability (1 - 0.8^5)^40 = 1.3e-7, more similar ones less. Sets that share a key are candidates; those whose sizes allow it
+probability (1 - 0.8^4)^32 = 4.8e-8, more similar ones less. Sets that share a key are candidates; those whose sizes allow it
 are verified on the sets themselves, which are made anew for the texts that have a candidate. Equal sets are one class and
-meet once.
-
-Under a key that more than ``crowd`` classes share, each is first verified against a few of them, picked by hash. Then the
-components that are linked so far are found, and all pairs under the key that lie in different ones are verified too. Pairs
-within one component can't change it, so the components are those of all pairs, and a large group of copies is not squared.
+meet once. What crosses the network is a number and a key for each band; of the texts only those with a candidate do
+(``select.among``).
+
+Under a key that more than ``crowd`` classes share, each is first verified against two of them, the one with the most company
+and one picked by hash, which joins large groups of copies. Keys whose classes then still stand in several components mostly
+come of a passage that unlike texts share. Their classes are joined exactly by their rarest shingles (prefix filtering,
+Chaudhuri et al. 2006; positions, Xiao et al. 2008): with n shingles in one global order from rare to frequent, sets of
+similarity 0.8 share one among the first n - ceil(0.8 n) + 1. Shingles that no other class has come first, so texts with enough of their own
+have no candidates. Pairs within one component can't change it and are left out, and so are those known already: the
+components are those of all pairs, and neither a large group of copies nor a frequent passage is squared.
 """
 
 from __future__ import annotations
@@ -17,20 +22,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnlight.llm.select import among
 from tarnlight.llm.text import columns, hash64, lower_words, mixed, utf8
 from tarnlight.operators.graph import connected_components
 from tarnlight.scratch import materialize
 
 WIDTH, SIMILARITY = 5, 0.8
-BANDS, ROWS = 40, 5
-#: Classes of a crowded key with which all the others are compared first.
-PIVOTS = 6
+BANDS, ROWS = 32, 4
+#: Classes under a key beyond which it is crowded.
+CROWD = 16
 _STEP = 1 << 18
 _PART = 512
 _FACTORS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+_BAND_NUMBERS = mixed(np.arange(BANDS, dtype=np.uint64) + np.uint64(1 << 32))
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,7 +72,7 @@ def _bands(found: np.ndarray) -> np.ndarray:
     for at in range(0, len(found), _PART):
         least = np.minimum(least, (found[None, at : at + _PART] * _FACTORS[:, None]).min(axis=1))
     least = least.reshape(BANDS, ROWS)
-    keys = least[:, 0]
+    keys = least[:, 0] ^ _BAND_NUMBERS
     for k in range(1, ROWS):
         keys = mixed(keys * _FOLD + least[:, k])
     return keys.view(np.int64)
@@ -85,23 +92,20 @@ def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return found.select("doc_id", "s.fp", "s.n", "s.bands")
 
 
-def _sets(docs: DataFrame, prints: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """``(fp, shingles)`` once for each end of ``pairs``."""
-    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    ends = materialize(prints.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "ends")
-    ids = ends.select(F.col("doc_id").alias("_id")).distinct()
+def _sets(docs: DataFrame, classes: DataFrame, some: DataFrame, width: int) -> DataFrame:
+    """``(fp, shingles)`` once for each ``fp`` of ``some``."""
+    ends = materialize(classes.select("fp", "doc_id").join(some, "fp", "left_semi"), "ends")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (texts,) in columns(batches, "text"):
             sets = [shingle_set(t, width) for t in utf8(texts)]
             yield pa.RecordBatch.from_arrays([pa.array([_named(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["fp", "shingles"])
 
-    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    found = texts.mapInArrow(made, "fp long, shingles binary")
+    found = among(docs, "doc_id", ends.select("doc_id")).select("text").mapInArrow(made, "fp long, shingles binary")
     return materialize(found.join(ends, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
 
 
-def _verified(docs: DataFrame, prints: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets are similar."""
 
     @F.arrow_udf("boolean")
@@ -113,45 +117,85 @@ def _verified(docs: DataFrame, prints: DataFrame, pairs: DataFrame, width: int,
             out.append(both / (len(x) + len(y) - both) >= similarity)
         return pa.array(out, pa.bool_())
 
-    sets = _sets(docs, prints, pairs, width)
+    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    sets = _sets(docs, classes, ends, width)
     one, other = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("fp").alias("b"), F.col("shingles").alias("sb"))
     return materialize(pairs.join(one, "a").join(other, "b").where(alike("sa", "sb")).select("a", "b"), "alike")
 
 
-def _met(left: DataFrame, right: DataFrame, similarity: float, *more: Column) -> DataFrame:
-    """Distinct pairs a < b of (k, block, fp, n) that share a key and whose sizes allow the similarity."""
+def _met(left: DataFrame, right: DataFrame, key: str, similarity: float, *more: Column) -> DataFrame:
+    """Distinct pairs a < b of rows (key, fp, n) that share a key and whose sizes allow the similarity."""
     x, y = left.alias("x"), right.alias("y")
-    on = (F.col("x.k") == F.col("y.k")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.fp") != F.col("y.fp"))
+    on = (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.fp") != F.col("y.fp"))
     on &= F.least("x.n", "y.n") >= F.lit(similarity) * F.greatest("x.n", "y.n") - F.lit(1e-6)
     for c in more:
         on &= c
     return x.join(y, on).select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
 
 
+def _across(rows: DataFrame, key: str, similarity: float, *more: Column) -> DataFrame:
+    """Pairs of rows (key, fp, n, component) under one key in different components: each from the side that isn't in the largest."""
+    parts = rows.groupBy(key, "component").agg(F.count("*").alias("size"))
+    main = parts.groupBy(key).agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    rows = rows.join(main, key)
+    # Both in small components: each pair once by the order of fp. One in the main one: always from the small side.
+    once = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.fp") < F.col("y.fp")))
+    return _met(rows.where("component <> main"), rows, key, similarity, once, *more)
+
+
+def _shingle_rows(sets: DataFrame) -> DataFrame:
+    """``(fp, shingle)`` for each shingle of each set."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for fps, found in columns(batches, "fp", "shingles"):
+            for fp, x in zip(fps.to_numpy(), found.to_pylist(), strict=True):
+                values = np.frombuffer(x, np.int64)
+                for at in range(0, len(values), _STEP):
+                    part = values[at : at + _STEP]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), fp)), pa.array(part)], ["fp", "shingle"])
+
+    return sets.mapInArrow(each, "fp long, shingle long")
+
+
+def _rarest_first(docs: DataFrame, classes: DataFrame, members: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Pairs of ``members`` (fp, n, component) in different components that share one of their rarest shingles."""
+    rows = _shingle_rows(_sets(docs, classes, members.select("fp"), width))
+    known = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    shared = materialize(rows.join(known, "shingle"), "shared")
+    own = Window.partitionBy("fp")
+    # The shingles of no other class come before these.
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "shingle")) - 1
+    prefix = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-6)) + 1
+    shared = shared.join(members, "fp").withColumn("place", place).where(F.col("place") < prefix)
+    shared = materialize(shared.select("shingle", "fp", "n", "component", "place"), "prefixes")
+    rest = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))  # from the shared shingle on
+    enough = rest >= F.lit(similarity / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) - F.lit(1e-6)
+    return _across(shared, "shingle", similarity, enough)
+
+
 def links(docs: DataFrame, prints: DataFrame, width: int, similarity: float, crowd: int) -> DataFrame:
     """Edges ``(a, b)`` between the sets ``fp`` of ``prints`` whose components are those of ``similarity`` or more.
 
     ``prints`` are the materialized ``sketches`` of ``docs``.
     """
-    rows = prints.where("n > 0").select("fp", "n", "bands").dropDuplicates(["fp"])
-    rows = rows.select("fp", "n", F.posexplode("bands").alias("k", "block"))
-    met = rows.groupBy("k", "block").agg(F.count("*").alias("size")).where("size > 1")
-    rows = materialize(rows.join(met, ["k", "block"]), "bands")
+    classes = materialize(prints.where("n > 0").dropDuplicates(["fp"]), "classes")
+    rows = classes.select("fp", "n", F.explode("bands").alias("block"))
+    met = rows.groupBy("block").agg(F.count("*").alias("size")).where("size > 1")
+    rows = materialize(rows.join(met, "block"), "bands")
     few, many = rows.where(F.col("size") <= crowd), rows.where(F.col("size") > crowd)
-    picked = many.groupBy("k", "block").agg(*[F.min_by(F.struct("fp", "n"), F.xxhash64("fp", F.lit(j))).alias(f"p{j}") for j in range(PIVOTS)])
-    picked = picked.select("k", "block", F.explode(F.array_distinct(F.array(*[f"p{j}" for j in range(PIVOTS)]))).alias("p")).select("k", "block", "p.fp", "p.n")
-    pairs = _met(few, few, similarity, F.col("x.fp") < F.col("y.fp")).unionByName(_met(many, picked, similarity)).distinct()
+    company = many.groupBy("fp").agg(F.sum("size").alias("company"))
+    who = F.struct("fp", "n")
+    picked = many.join(company, "fp").groupBy("block").agg(F.max_by(who, F.struct("company", "fp")).alias("p"), F.min_by(who, F.xxhash64("fp")).alias("q"))
+    picked = picked.select("block", F.explode(F.array_distinct(F.array("p", "q"))).alias("p")).select("block", "p.fp", "p.n")
+    pairs = _met(few, few, "block", similarity, F.col("x.fp") < F.col("y.fp")).unionByName(_met(many, picked, "block", similarity)).distinct()
     pairs = materialize(pairs, "candidates")
-    edges = _verified(docs, prints, pairs, width, similarity)
+    edges = _verified(docs, classes, pairs, width, similarity)
     if many.limit(1).count() == 0:
         return edges
-    comps = materialize(connected_components(edges, "a", "b"), "linked")
+    comps = connected_components(edges, "a", "b")
     many = many.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    many = materialize(many.select("k", "block", "fp", "n", "component"), "crowded")
-    parts = many.groupBy("k", "block", "component").agg(F.count("*").alias("size"))
-    main = parts.groupBy("k", "block").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = many.join(main, ["k", "block"])
-    # Both in small components: each pair once by the order of fp. One in the main one: always from the small side.
-    once = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.fp") < F.col("y.fp")))
-    rest = _met(open_.where("component <> main"), open_, similarity, once).join(pairs, ["a", "b"], "left_anti")
-    return edges.unionByName(_verified(docs, prints, materialize(rest, "rest"), width, similarity))
+    many = materialize(many.select("block", "fp", "n", "component"), "crowded")
+    open_ = many.groupBy("block").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other")
+    members = materialize(many.join(open_, "block", "left_semi").select("fp", "n", "component").distinct(), "open")
+    rest = _rarest_first(docs, classes, members, width, similarity).join(pairs, ["a", "b"], "left_anti")
+    return edges.unionByName(_verified(docs, classes, materialize(rest, "rest"), width, similarity))

@@ -24,9 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlight.llm import shingles
+from tarnlight.llm.select import unused, without
+from tarnlight.llm.shingles import hashes
 from tarnlight.llm.text import utf8
 from tarnlight.operators.graph import connected_components
-from tarnlight.scratch import materialize
+from tarnlight.scratch import materialize, temporary
 
 WIDTH = 3
 MAX_BITS = 2
@@ -36,9 +38,9 @@ CROWD = 64
 
 def _fingerprint(text: bytes, width: int) -> int:
     n, ones = 0, np.zeros(64, np.int64)
-    for hashes in shingles.hashes(text, width):
-        n += len(hashes)
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for found in hashes(text, width):
+        n += len(found)
+        bits = np.unpackbits(found.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.uint32)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
@@ -95,7 +97,7 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD, width: int = shingles.WIDTH,
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowd: int | None = None, width: int = shingles.WIDTH,
     similarity: float = shingles.SIMILARITY, max_bits: int | None = None,
 ) -> DataFrame:
     """``(doc_id, fp, component_id)`` for each row of ``docs``: the smallest doc_id reachable over links.
@@ -109,20 +111,22 @@ def near_duplicates(
     """
     if max_bits not in (None, MAX_BITS):
         raise ValueError(f"max_bits: {MAX_BITS} or none")
-    if max_bits is None:
-        docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-        prints = materialize(shingles.sketches(docs, width), "shingles")
-        edges = shingles.links(docs, prints, width, similarity, crowd)
-        prints = prints.select("doc_id", "fp")
-    else:
-        prints = materialize(docs.select(F.col(doc_id).alias("doc_id"), simhash(F.col(text), width).alias("fp")), "simhash")
-        edges = links(prints.select("fp").distinct(), crowd)
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    comps = connected_components(edges, "a", "b")
-    named = classes.join(comps.withColumnRenamed("node", "fp"), "fp", "left")
-    named = named.select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return prints.join(named.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    with temporary(docs.sparkSession):
+        if max_bits is None:
+            docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+            prints = materialize(shingles.sketches(docs, width), "shingles")
+            edges = shingles.links(docs, prints, width, similarity, shingles.CROWD if crowd is None else crowd)
+            prints = prints.select("doc_id", "fp")
+        else:
+            prints = materialize(docs.select(F.col(doc_id).alias("doc_id"), simhash(F.col(text), width).alias("fp")), "simhash")
+            edges = links(prints.select("fp").distinct(), CROWD if crowd is None else crowd)
+        classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+        comps = connected_components(edges, "a", "b")
+        named = classes.join(comps.withColumnRenamed("node", "fp"), "fp", "left")
+        named = named.select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+        least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+        named = named.join(least, "component").select("fp", "component_id")
+        return materialize(prints.join(named, "fp").select("doc_id", "fp", "component_id"), "groups", keep=True)
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -131,15 +135,13 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     Of repeated doc_ids one row stays. Rows without doc_id stay only where their whole group has none, one of each text.
     """
     found = near_duplicates(docs, doc_id, text)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = materialize(stays.select(F.col("doc_id").alias("_kept")), "kept")
-    n, ids = stays.agg(F.count("*"), F.count_distinct("_kept")).first()
-    stays = stays.hint("merge")  # at any size as at the full one: the rows cross the network once
-    if n == ids:
-        return docs.join(stays, F.col(doc_id) == F.col("_kept"), "left_semi")
-    kept = docs.join(stays, F.col(doc_id).eqNullSafe(F.col("_kept")), "left_semi")
-    named = kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
-    return named.unionByName(kept.where(F.col(doc_id).isNull()).dropDuplicates([text]))
+    n, named, ids = found.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
+    if n == named == ids:
+        return without(docs, doc_id, found.where("doc_id <> component_id").select("doc_id"))
+    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(unused(docs, "_kept")))
+    kept = docs.join(stays.hint("merge"), F.col(doc_id).eqNullSafe(F.col(stays.columns[0])), "left_semi")
+    some = kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
+    return some.unionByName(kept.where(F.col(doc_id).isNull()).dropDuplicates([text]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
