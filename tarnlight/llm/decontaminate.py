@@ -45,18 +45,27 @@ def _rolling(numbers: np.ndarray, width: int) -> np.ndarray:
 class Windows:
     """The windows of some items: vocabulary, hashes by width, and for each hash the windows with their items."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
-        self.vocabulary: dict[bytes, int] = {}
-        self.by_width: dict[int, dict[int, dict[tuple[int, ...], set[str]]]] = {}
+    def __init__(self, vocabulary: dict[bytes, int], by_width: dict[int, dict[int, dict[tuple[int, ...], set[str]]]]):
+        self.vocabulary, self.by_width = vocabulary, by_width
+        self.hashes = {w: np.array(sorted(x), np.uint64) for w, x in by_width.items()}
+
+    @classmethod
+    def of(cls, items: list[tuple[str, list[bytes]]], window: int) -> Windows:
+        vocabulary: dict[bytes, int] = {}
+        by_width: dict[int, dict[int, dict[tuple[int, ...], set[str]]]] = {}
         for item, found in items:
-            numbers = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in found]
+            numbers = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in found]
             width = min(window, len(numbers))
             if not width:
                 continue
-            at = self.by_width.setdefault(width, {})
+            at = by_width.setdefault(width, {})
             for i, h in enumerate(_rolling(np.array(numbers, np.uint64), width).tolist()):
                 at.setdefault(h, {}).setdefault(tuple(numbers[i : i + width]), set()).add(item)
-        self.hashes = {w: np.array(sorted(x), np.uint64) for w, x in self.by_width.items()}
+        return cls(vocabulary, by_width)
+
+    def parts(self) -> tuple[dict, dict]:
+        """Plain values that make the block again, so that they can be sent where this package isn't installed."""
+        return self.vocabulary, self.by_width
 
     def hits(self, found: list[bytes]) -> Iterator[tuple[int, int, set[str]]]:
         """(first word, width, items) of every occurrence of a window."""
@@ -106,11 +115,11 @@ def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", w
             if at and len(piece) < window:
                 continue
             if part and size + len(piece) > BLOCK_WORDS:
-                yield Windows(part, window)
+                yield Windows.of(part, window)
                 part, size = [], 0
             part.append((item, piece))
             size += len(piece)
-    yield Windows(part, window)
+    yield Windows.of(part, window)
 
 
 def matches(text: Column, windows: list, before: Column | None = None) -> Column:
@@ -118,10 +127,10 @@ def matches(text: Column, windows: list, before: Column | None = None) -> Column
     span = pa.struct([("first", pa.int32()), ("last", pa.int32())])
     kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(span))])
 
-    def found(t: bytes, had: dict | None) -> dict:
+    def found(t: bytes, had: dict | None, blocks: list[Windows]) -> dict:
         n, hit, items = 0, None, set(had["items"] if had else ())
-        for block in windows:
-            n, more, of = _scan(t, block.value)
+        for block in blocks:
+            n, more, of = _scan(t, block)
             hit = more if hit is None else hit | more
             items |= of
         for s in had["spans"] if had else ():
@@ -130,13 +139,15 @@ def matches(text: Column, windows: list, before: Column | None = None) -> Column
 
     @F.arrow_udf(RESULT)
     def first(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        blocks = [Windows(*b.value) for b in windows]
         for texts in batches:
-            yield pa.array([found(t, None) for t in utf8(texts)], kind)
+            yield pa.array([found(t, None, blocks) for t in utf8(texts)], kind)
 
     @F.arrow_udf(RESULT)
     def further(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        blocks = [Windows(*b.value) for b in windows]
         for texts, had in batches:
-            yield pa.array([found(t, h) for t, h in zip(utf8(texts), had.to_pylist(), strict=True)], kind)
+            yield pa.array([found(t, h, blocks) for t, h in zip(utf8(texts), had.to_pylist(), strict=True)], kind)
 
     return first.asNondeterministic()(text) if before is None else further.asNondeterministic()(text, before)
 
@@ -154,7 +165,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
         if len(held) == PASS_BLOCKS:
             done = docs.withColumn(out, matches(F.col(text), held)) if found is None else found.withColumn(out, matches(F.col(text), held, F.col(out)))
             found, held = materialize(done, "pass"), []
-        held.append(context.broadcast(block))
+        held.append(context.broadcast(block.parts()))
     if found is None:
         return docs.withColumn(out, matches(F.col(text), held))
     return found.withColumn(out, matches(F.col(text), held, F.col(out)))

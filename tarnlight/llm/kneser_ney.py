@@ -22,7 +22,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -357,12 +357,12 @@ def scored(text: Column | str, model: Model) -> Column:
     Tokens are runs of other characters than ASCII white space, A-Z lower-cased, and one end. Null is the empty text, of
     one token. ``base_score`` is that of add-one smoothed single tokens. The perplexity is 10 ** (-score / n_tokens).
     """
-    held = SparkSession.active().sparkContext.broadcast(model)
+    held = SparkSession.active().sparkContext.broadcast(astuple(model))
     kind = pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     @F.arrow_udf(RESULT)
     def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        look = Lookup(held.value)
+        look = Lookup(Model(*held.value))
         for column in batches:
             every, out, at = utf8(column), [], 0
             while at < len(every):
