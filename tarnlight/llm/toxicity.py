@@ -24,12 +24,11 @@ from tarnlight.llm.text import columns, lower_words, utf8
 
 WINDOW, STRIDE = 48, 36
 WORD_DIM, CHAR_DIM, HIDDEN = 10, 10, 8
-#: Bounds of the training sample, of the training windows of one document, and of both vocabularies.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WINDOWS = 1600, 5000, 20
+#: Bounds of the training sample in labelled documents, and of both vocabularies.
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1600, 5000
 MAX_WORDS, MAX_GRAMS, MIN_DOCS = 20_000, 40_000, 4
-EPOCHS, BATCH, RATE, SEED = 6, 128, 0.01, 20240131
-#: Smaller samples are gone through more often, up to four times as often.
-MIN_DOCUMENTS_SEEN = 6000
+#: Rounds, and steps of BATCH windows in each, whatever the sample's size.
+ROUNDS, STEPS, BATCH, RATE, SEED = 6, 90, 128, 0.01, 20240131
 #: Of every FOLDS documents, by crc32 of doc_id as text, one is held out and never learned from.
 FOLDS = 5
 SLOT_BITS = 18
@@ -83,6 +82,10 @@ class Network:
     gram_numbers: np.ndarray
     weights: dict[str, np.ndarray]
 
+    def parts(self) -> tuple:
+        """Plain values that make the network again, so that they can be sent where this package isn't installed."""
+        return self.words, self.gram_codes, self.gram_numbers, self.weights
+
     def inputs(self, found: list[bytes]) -> Inputs:
         """What the words enter as: their numbers, and the known n-grams of all words with the ends of each word's."""
         known = self.words.get
@@ -178,12 +181,37 @@ def _gates(table: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return both[:, :, : 3 * HIDDEN], both[::-1, :, 3 * HIDDEN :], there
 
 
-def _logits(net: Network, table: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """Logits of windows given as rows of word numbers; table: each word's input gates of both passes."""
-    out = np.empty(len(index), np.float32)
+@dataclass
+class Layout:
+    """All windows of documents of word numbers: where each begins and ends in ``words``, and the document of each."""
+
+    words: np.ndarray
+    first: np.ndarray
+    stop: np.ndarray
+    owners: np.ndarray
+
+    @classmethod
+    def of(cls, documents: list[np.ndarray]) -> Layout:
+        starts = [windows(len(numbers)) for numbers in documents]
+        counts = [len(s) for s in starts]
+        ends = np.cumsum([len(numbers) for numbers in documents], dtype=np.int64)
+        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        first = np.concatenate([np.empty(0, np.int64), *starts]).astype(np.int64) + np.repeat(begins, counts)
+        stop = np.minimum(first + WINDOW, np.repeat(ends, counts))
+        return cls(np.concatenate([*documents, [0]]).astype(np.int32), first, stop, np.repeat(np.arange(len(documents)), counts))
+
+    def rows(self, which: np.ndarray | slice) -> np.ndarray:
+        """These windows as rows of word numbers, -1 past a window's end."""
+        at = self.first[which][:, None] + np.arange(WINDOW)
+        return np.where(at < self.stop[which][:, None], self.words[np.minimum(at, len(self.words) - 1)], -1)
+
+
+def _logits(net: Network, table: np.ndarray, layout: Layout) -> np.ndarray:
+    """Logits of all windows; table: each word's input gates of both passes."""
+    out = np.empty(len(layout.first), np.float32)
     w = net.weights
-    for at in range(0, len(index), _CHUNK):
-        part = index[at : at + _CHUNK]
+    for at in range(0, len(out), _CHUNK):
+        part = layout.rows(slice(at, at + _CHUNK))
         part = part[:, : max(1, int((part >= 0).sum(axis=1).max()))]
         fore, back, there = _gates(table, part)
         f, _ = _run(fore, there, w["Uf"], False)
@@ -192,20 +220,6 @@ def _logits(net: Network, table: np.ndarray, index: np.ndarray) -> np.ndarray:
     return out
 
 
-def _index(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All windows of documents of word numbers, and the document of each window."""
-    starts = [windows(len(numbers)) for numbers in documents]
-    owners = np.repeat(np.arange(len(documents)), [len(s) for s in starts])
-    out = np.full((len(owners), WINDOW), -1, np.int32)
-    row = 0
-    for numbers, firsts in zip(documents, starts, strict=True):
-        for a in firsts:
-            part = numbers[a : a + WINDOW]
-            out[row, : len(part)] = part
-            row += 1
-    return out, owners
-
-
 def _numbered(texts: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
     """Distinct words, and each text as numbers of them."""
     seen: dict[bytes, int] = defaultdict(count().__next__)
@@ -217,9 +231,9 @@ def _numbered(texts: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
 def logits(net: Network, texts: list[bytes]) -> np.ndarray:
     """The worst window's logit of each text, over all its windows."""
     found, documents = _numbered(texts)
-    index, owners = _index(documents)
+    layout = Layout.of(documents)
     out = np.full(len(texts), -np.inf, np.float32)
-    np.maximum.at(out, owners, _logits(net, net.table(net.inputs(found)), index))
+    np.maximum.at(out, layout.owners, _logits(net, net.table(net.inputs(found)), layout))
     return out
 
 
@@ -343,10 +357,12 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return ab if ab[0] > 0 else np.array([1.0, 0.0])
 
 
-def train(texts: list[bytes], labels: list[int], seed: int = SEED, epochs: int | None = None) -> Network:
-    """Fit the network. No texts, or one class only: a network that scores all texts by the share of toxic labels."""
+def train(texts: list[bytes], labels: list[int], seed: int = SEED) -> Network:
+    """Fit the network. No texts, or one class only: a network that scores all texts by the share of toxic labels.
+
+    Each round scores all windows of all texts and then learns from the worst of each text, and one more of each clean one.
+    """
     rng = np.random.default_rng(seed)
-    epochs = epochs or max(EPOCHS, min(4 * EPOCHS, 2 * MIN_DOCUMENTS_SEEN // max(1, len(texts))))
     y = np.array(labels, np.float32)
     net = _start(texts, rng)
     if len(set(labels)) < 2:
@@ -354,40 +370,34 @@ def train(texts: list[bytes], labels: list[int], seed: int = SEED, epochs: int |
         net.weights["p"] = np.array([1.0, 4.0 if labels and labels[0] else -4.0])
         return net
     found, documents = _numbered(texts)
-    index, owners = _index(documents)
-    order = rng.permutation(len(index))  # of a document with very many windows, a random part
-    first = np.argsort(owners[order], kind="stable")
-    order = order[first]
-    rank = np.arange(len(order)) - np.searchsorted(owners[order], owners[order])
-    order = order[rank < SAMPLE_WINDOWS]
-    index, owners = index[order], owners[order]
+    layout = Layout.of(documents)
+    owners = layout.owners
     starts = np.flatnonzero(np.diff(owners, prepend=-1))
-    docs = owners[starts]
+    stops = np.append(starts[1:], len(owners))
     adam = _Adam(net.weights)
     inputs = net.inputs(found)
     pos = max(1.0, float(y.sum()))
-    for epoch in range(epochs):
-        z = _logits(net, net.table(inputs), index)
-        noise = z + rng.normal(0, 1.0 if epoch == 0 else 0.1, len(z))
-        by = np.lexsort((-noise, owners))
-        worst = by[starts]
-        chosen, target = [worst], [y[docs]]
-        clean = np.flatnonzero(y[docs] == 0)
-        stops = np.append(starts[1:], len(owners))
+    for round_ in range(ROUNDS):
+        z = _logits(net, net.table(inputs), layout)
+        noise = z + rng.normal(0, 1.0 if round_ == 0 else 0.1, len(z))
+        worst = np.lexsort((-noise, owners))[starts]
+        chosen, target = [worst], [y]
+        clean = np.flatnonzero(y == 0)
         chosen.append(rng.integers(starts[clean], stops[clean]))
         target.append(np.zeros(len(clean), np.float32))
-        if epoch == 0:  # before the network knows anything, more of each toxic document's windows
+        if round_ == 0:  # before the network knows anything, more of each toxic document's windows
             toxic = np.flatnonzero(y[owners] == 1)
             chosen.append(rng.choice(toxic, min(len(toxic), int(2 * pos)), replace=False))
             target.append(np.ones(len(chosen[-1]), np.float32))
         chosen, target = np.concatenate(chosen), np.concatenate(target)
-        shuffled = rng.permutation(len(chosen))
-        rate = RATE * (1.0 if epoch < epochs - 2 else 0.3)
-        for at in range(0, len(shuffled), BATCH):
-            part = shuffled[at : at + BATCH]
+        times = -(-STEPS * BATCH // len(chosen))
+        dealt = np.concatenate([rng.permutation(len(chosen)) for _ in range(times)])
+        rate = RATE * (1.0 if round_ < ROUNDS - 2 else 0.3)
+        for at in range(0, STEPS * BATCH, BATCH):
+            part = dealt[at : at + BATCH]
             weight = np.where(target[part] == 1, 1.0, 0.7).astype(np.float32)
             drop = rng.random(BATCH * WINDOW) < 0.5  # words at times by their characters alone
-            _, grads = gradients(net, inputs, index[chosen[part]], target[part], weight, drop)
+            _, grads = gradients(net, inputs, layout.rows(chosen[part]), target[part], weight, drop)
             adam.step(net.weights, grads, rate)
     net.weights["p"] = _calibrated(logits(net, texts).astype(np.float64), y.astype(np.float64))
     return net
@@ -412,10 +422,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def toxicity(text: Column | str, net: Network) -> Column:
     """The score of each whole text, 0 to 1. Null and empty texts get the score of a window without words."""
-    held = SparkSession.active().sparkContext.broadcast(net)
+    held = SparkSession.active().sparkContext.broadcast(net.parts())
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        here = Network(*held.value)
         for texts in batches:
             every = utf8(texts)
             out, at = [], 0
@@ -424,7 +435,7 @@ def toxicity(text: Column | str, net: Network) -> Column:
                 while stop < len(every) and (stop == at or size + len(every[stop]) < 4_000_000):
                     size += len(every[stop])
                     stop += 1
-                out.append(scores(held.value, every[at:stop]))
+                out.append(scores(here, every[at:stop]))
                 at = stop
             yield pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())
 
@@ -440,8 +451,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Network:
             rows += zip(h.to_pylist(), ids.to_pylist(), toxic.to_pylist(), utf8(texts), strict=True)
         rows.sort()
         net = train([r[3] for r in rows], [r[2] for r in rows])
-        data = pickle.dumps((net.words, net.gram_codes, net.gram_numbers, net.weights))
-        yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["net"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net.parts())], pa.binary())], ["net"])
 
     made = labelled_sample(docs, labels).repartition(1).mapInArrow(fit, "net binary").collect()
     return Network(*pickle.loads(bytes(made[0].net))) if made else train([], [])
@@ -456,5 +466,5 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFr
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     net = fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = docs.select("doc_id", (remainder(F.col("doc_id")) == 0).alias("held_out"), toxicity("text", net).alias("score"))
+    scored = docs.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), toxicity("text", net).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -410,7 +410,8 @@ def test_gradients_are_derivatives():
     for k in net.weights:
         net.weights[k] = net.weights[k].astype(np.float64)
     found, documents = toxicity._numbered(texts)
-    index, owners = toxicity._index(documents)
+    layout = toxicity.Layout.of(documents)
+    index, owners = layout.rows(slice(None)), layout.owners
     y, weight, inputs = np.array([1, 0, 1] * 4, np.float64)[owners], np.ones(len(owners)), net.inputs(found)
     _, grads = toxicity.gradients(net, inputs, index, y, weight)
     for k in ("W", "Uf", "Ub", "A", "a", "o", "b", "g", "E", "C"):
