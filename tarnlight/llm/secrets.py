@@ -3,7 +3,8 @@
 Two first-order Markov models over characters, one of random strings and one of ordinary identifiers, are trained from
 labelled samples. A run of key characters is a secret if the log-likelihood ratio of the two is at least ``min_llr`` nats.
 DataFrame functions only. Where a Java pattern matches, the pieces between its matches (``split``) and the matches
-themselves (``regexp_extract_all``) give every position in code points.
+themselves (``regexp_extract_all``) give every position in code points. The models see what the patterns leave: their spans
+are blanked out first, so what stands beside a span in one run of key characters is judged on its own.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ MIN_LLR = 18.0
 #: At most so many documents give the labelled samples, those first by a hash of doc_id; and so many digests are made.
 SAMPLE_DOCS, SAMPLE_DIGESTS = 2000, 3000
 MASK = "[SECRET]"
+_CHUNK = 512
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
 
 
@@ -123,12 +125,22 @@ def llr(run: Column, model: list[float]) -> Column:
     return F.aggregate(_steps(run), F.lit(0.0), lambda total, step: total + F.element_at(table, step + 1))
 
 
+def _blanked(text: Column) -> Column:
+    """The text with blanks for the characters of assignments, and then of the other two patterns in what is left."""
+    matches = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(0))
+    gaps = F.split(text, ASSIGN, -1)
+    blank = lambda m: F.when(F.length(F.regexp_extract(m, ASSIGN, 2)) >= MIN_ASSIGN, F.repeat(F.lit(" "), F.length(m))).otherwise(m)
+    text = F.array_join(F.zip_with(gaps, matches, lambda g, m: F.concat(g, F.coalesce(blank(m), F.lit("")))), "")
+    # one character after the other, from where the pattern begins
+    text = F.regexp_replace(text, f"(?:(?={ACCESS})|(?!^)\\G)[A-Z0-9]", " ")
+    return F.regexp_replace(text, f"(?:(?<![0-9a-f])(?={HEX})|(?!^)\\G)[0-9a-f]", " ")
+
+
 def all_spans(text: Column, base: Column, model: list[float], min_llr: float = MIN_LLR) -> Column:
-    """``base`` and the runs that the models take for random and that touch no base span, by start, then kind."""
+    """``base`` and the runs that the models take for random in what the patterns leave, by start, then kind."""
     text = F.coalesce(text, F.lit(""))
-    runs = _found(text, RUN + f"{{{MIN_RUN},}}", "random")
-    free = F.filter(runs, lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (b["end"] > r["start"])))
-    return F.array_sort(F.concat(base, F.filter(free, lambda r: llr(r["value"], model) >= min_llr)))
+    runs = _found(F.when(F.size(base) > 0, _blanked(text)).otherwise(text), RUN + f"{{{MIN_RUN},}}", "random")
+    return F.array_sort(F.concat(base, F.filter(runs, lambda r: llr(r["value"], model) >= min_llr)))
 
 
 def _joined(spans: Column) -> Column:
@@ -143,18 +155,32 @@ def scan(docs: DataFrame, model: list[float], text: str = "text", min_llr: float
 
 
 def redacted(text: Column, spans: Column, mask: str = MASK) -> Column:
-    """The text with each stretch of overlapping spans replaced by ``mask``. Null stays null."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
+    """The text with each stretch of overlapping spans replaced by ``mask``. Null stays null.
+
+    Spans are gone through in chunks, each with its own piece of the text, so that the cost stays in proportion to the text.
+    """
+
+    def inside(piece: Column, base: Column, part: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            gap = F.substring(piece, acc["at"] - base + 1, s["start"] - acc["at"])
+            parts = F.when(s["start"] >= acc["at"], F.concat(acc["parts"], F.array(gap, F.lit(mask)))).otherwise(acc["parts"])
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), parts.alias("parts"))
+
+        start = F.struct(base.alias("at"), F.array().cast("array<string>").alias("parts"))
+        return F.array_join(F.aggregate(part, start, step)["parts"], "")
 
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["at"]
-        parts = F.concat(acc["parts"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)))
+    def chunk(acc: Column, number: Column) -> Column:
+        part = F.slice(spans, number * _CHUNK + 1, _CHUNK)
+        stop = F.greatest(acc["at"], F.array_max(F.transform(part, lambda s: s["end"])))
+        piece = F.substring(acc["rest"], F.lit(1), stop - acc["at"])
         return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, parts).otherwise(acc["parts"]).alias("parts")
+            stop.alias("at"), F.concat(acc["out"], inside(piece, acc["at"], part)).alias("out"),
+            F.substring(acc["rest"], stop - acc["at"] + 1, F.length(acc["rest"])).alias("rest"),
         )
 
-    rest = lambda acc: F.array_join(F.concat(acc["parts"], F.array(F.substring(text, acc["at"] + 1, F.length(text)))), "")
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, rest))
+    numbers = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(spans) - 1) / _CHUNK).cast("int")))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"), text.alias("rest"))
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(numbers, start, chunk, lambda acc: F.concat(acc["out"], acc["rest"])))
 
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
