@@ -98,13 +98,14 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
         share = 1.0 if share is None else share
     weighed = docs.select("doc_id", log_weight("text", log_ratios(docs, labels)).alias("log_weight"))
     weighed = weighed.withColumn("gumbel_weight", F.col("log_weight") + gumbel(F.col("doc_id"), seed))
-    weighed = materialize(weighed.withColumn("key", _descending_key(F.col("gumbel_weight"))), "weights")
+    # the one group is a column of the table: as a literal it would be folded away, and joins on it with it
+    weighed = weighed.withColumns({"key": _descending_key(F.col("gumbel_weight")), "grp": F.lit("all"), "weight": F.lit(1).cast("bigint")})
+    weighed = materialize(weighed, "weights", keep=True)
     k = round(share * weighed.count())
-    rows = weighed.select(F.lit("all").alias("grp"), "key", F.col("doc_id").alias("tie"), F.lit(1).cast("bigint").alias("weight"))
-    ends = cutoffs(rows, docs.sparkSession.createDataFrame([("all", k)], "grp string, budget bigint"))
-    row = ends.first()
+    rows = weighed.select("grp", "key", F.col("doc_id").alias("tie"), "weight")
+    row = cutoffs(rows, docs.sparkSession.createDataFrame([("all", k)], "grp string, budget bigint")).first()
     drawn = within(F.col("key"), F.col("doc_id"), F.lit(row.last_key).cast("bigint"), F.lit(row.last_tie).cast("bigint"))
-    return weighed.where(drawn).drop("key")
+    return weighed.where(drawn).drop("key", "grp", "weight")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

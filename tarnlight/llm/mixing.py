@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnlight.llm.select import cutoffs, small, within
-from tarnlight.scratch import materialize
+from tarnlight.scratch import materialize, temporary
 
 TREE = ("domain", "lang", "source")
 DOMAINS = 4
@@ -110,11 +110,13 @@ def mixture(docs: DataFrame, mix: Mix = PRODUCTION, doc_id: str = "doc_id", text
     leaves = rows.groupBy(*TREE).agg(F.sum("n_tokens").alias("available"))
     plan = leaf_budgets(leaves, mix).withColumn("grp", F.sha2(F.to_json(F.struct(*TREE)), 256))
     plan = plan.withColumn("epochs", F.when(F.col("available") > 0, F.floor(F.col("budget") / F.col("available"))).otherwise(F.lit(0)).cast("int"))
-    plan = materialize(plan.select("grp", "epochs", (F.col("budget") - F.col("epochs") * F.col("available")).alias("budget")), "mix")
     named = rows.withColumn("grp", F.sha2(F.to_json(F.struct(*TREE)), 256))
-    slim = named.select("grp", F.col(doc_id).alias("tie"), F.col("n_tokens").alias("weight")).join(small(plan.select("grp", "epochs")), "grp")
-    slim = materialize(slim.select("grp", _key(F.col("tie"), F.col("epochs"), mix.seed).alias("key"), F.coalesce("tie", F.lit(-1)).alias("tie"), "weight"), "keys")
-    ends = materialize(plan.select("grp", "epochs").join(cutoffs(slim, plan.select("grp", "budget")), "grp"), "cutoffs")
+    with temporary(docs.sparkSession):
+        plan = materialize(plan.select("grp", "epochs", (F.col("budget") - F.col("epochs") * F.col("available")).alias("budget")), "mix")
+        slim = named.select("grp", F.col(doc_id).alias("tie"), F.col("n_tokens").alias("weight")).join(small(plan.select("grp", "epochs")), "grp")
+        slim = slim.select("grp", _key(F.col("tie"), F.col("epochs"), mix.seed).alias("key"), F.coalesce("tie", F.lit(-1)).alias("tie"), "weight")
+        slim = materialize(slim, "keys")
+        ends = materialize(plan.select("grp", "epochs").join(cutoffs(slim, plan.select("grp", "budget")), "grp"), "ends", keep=True)
     taken = named.join(small(ends), "grp")
     part = within(_key(F.col(doc_id), F.col("epochs"), mix.seed), F.coalesce(doc_id, F.lit(-1)), F.col("last_key"), F.col("last_tie"))
     times = F.col("epochs") + part.cast("int")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarnlight.scratch import materialize, temporary
+
 #: Groups up to which their table is broadcast; beyond it is joined like any table.
 BROADCAST_GROUPS = 100_000
 _BITS = 12
@@ -24,36 +26,39 @@ def cutoffs(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     (grp, budget), a row for each group. The prefix holds the rows whose running weight is at most the budget; weights are
     longs of 0 or more. Rows equal in key and tie stand or fall together.
 
-    A group is cut down by the sums of 4096 ranges of keys, twice; only the rows of the one range in 16 million that the
+    ``rows`` and ``budgets`` are read several times and should be tables. A group is cut down by the sums of 4096 ranges of keys, twice; only the rows of the one range in 16 million that the
     prefix ends in are put in order.
     """
-    here = budgets.select("grp", F.col("budget").cast("bigint").alias("left"), F.lit(0).cast("bigint").alias("range"))
-    for level in range(1, LEVELS + 1):
-        shift = 60 - _BITS * level
-        inside = rows.join(small(here), "grp").where(F.shiftright("key", shift + _BITS) == F.col("range"))
-        sums = inside.groupBy("grp", F.shiftright("key", shift).alias("range")).agg(F.sum("weight").alias("w"))
-        upto = F.sum("w").over(Window.partitionBy("grp").orderBy("range"))
-        sums = sums.withColumn("upto", upto).join(here.select("grp", "left"), "grp")
-        over = sums.where("upto > left").groupBy("grp").agg(F.min(F.struct("range", (F.col("left") - F.col("upto") + F.col("w")).alias("left"))).alias("x"))
-        # all fits: the prefix ends in the last range that has rows
-        last = sums.groupBy("grp").agg(F.max(F.struct("range", (F.col("left") - F.col("upto") + F.col("w")).alias("left"))).alias("y"))
-        ends = F.coalesce("x", "y")
-        here = here.join(over, "grp", "left").join(last, "grp", "left").select(
-            "grp", F.coalesce(ends["left"], "left").alias("left"), F.coalesce(ends["range"], "range").alias("range"), F.col("x").isNull().alias("whole")
+    with temporary(rows.sparkSession):
+        here = budgets.select("grp", F.col("budget").cast("bigint").alias("left"), F.lit(0).cast("bigint").alias("range"))
+        for level in range(1, LEVELS + 1):
+            shift = 60 - _BITS * level
+            here = materialize(here, "ranges")
+            inside = rows.join(small(here), "grp").where(F.shiftright("key", shift + _BITS) == F.col("range"))
+            sums = inside.groupBy("grp", "left", F.shiftright("key", shift).alias("range")).agg(F.sum("weight").alias("w"))
+            sums = sums.withColumn("upto", F.sum("w").over(Window.partitionBy("grp").orderBy("range")))
+            at = F.struct("range", (F.col("left") - F.col("upto") + F.col("w")).alias("left"))
+            # the range that the budget ends in; if all fits, the last that has rows
+            found = sums.groupBy("grp").agg(F.min(F.when(F.col("upto") > F.col("left"), at)).alias("x"), F.max(at).alias("y"))
+            end = F.coalesce("x", "y")
+            here = here.join(found, "grp", "left").select(
+                "grp", F.coalesce(end["left"], "left").alias("left"), F.coalesce(end["range"], "range").alias("range"), F.col("x").isNull().alias("whole")
+            )
+            if level < LEVELS:
+                here = here.drop("whole")
+        here = materialize(here, "ranges")
+        shift = 60 - _BITS * LEVELS
+        ends = rows.join(small(here.where("not whole")), "grp").where(F.shiftright("key", shift) == F.col("range"))
+        order = Window.partitionBy("grp", "range").orderBy("key", "tie")
+        inside = ends.withColumn("upto", F.sum("weight").over(order)).where("upto <= left")
+        last = inside.groupBy("grp").agg(F.max(F.struct("key", "tie")).alias("last"))
+        # no row of the last range fits: the prefix holds all rows of the ranges before it
+        before = F.shiftleft("range", shift) - 1
+        found = here.join(last, "grp", "left").select(
+            "grp", F.when(F.col("whole"), F.lit((1 << 60) - 1)).otherwise(F.coalesce("last.key", before)).alias("last_key"),
+            F.when(~F.col("whole"), F.col("last.tie")).alias("last_tie"),
         )
-        if level < LEVELS:
-            here = here.drop("whole")
-    shift = 60 - _BITS * LEVELS
-    ends = rows.join(small(here.where("not whole")), "grp").where(F.shiftright("key", shift) == F.col("range"))
-    order = Window.partitionBy("grp", "range").orderBy("key", "tie")
-    inside = ends.withColumn("upto", F.sum("weight").over(order)).where("upto <= left")
-    last = inside.groupBy("grp").agg(F.max(F.struct("key", "tie")).alias("last"))
-    # no row of the last range fits: the prefix holds all rows of the ranges before it
-    before = F.shiftleft("range", shift) - 1
-    return here.join(last, "grp", "left").select(
-        "grp", F.when(F.col("whole"), F.lit((1 << 60) - 1)).otherwise(F.coalesce("last.key", before)).alias("last_key"),
-        F.when(~F.col("whole"), F.col("last.tie")).alias("last_tie"),
-    )
+        return materialize(found, "cutoffs", keep=True)
 
 
 def within(key, tie, last_key, last_tie):
