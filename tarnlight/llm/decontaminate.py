@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlight.llm.text import utf8
-from tarnlight.scratch import materialize
+from tarnlight.scratch import drop, materialize
 
 WINDOW = 10
 #: Words of one broadcast block: about 40 MB as Python objects.
@@ -157,14 +157,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
 
     A word is hit if it lies inside any occurrence of a window. Null and empty texts have no words; an empty benchmark hits
     nothing. Items without words or without id have no windows; items that repeat an id count once. Rows stay as they are,
-    and no text is shuffled. PASS_BLOCKS blocks are broadcast for a pass.
+    and no text is shuffled. PASS_BLOCKS blocks are broadcast for a pass; a pass beyond the first reads what the one before it
+    wrote, which is deleted then.
     """
     context = docs.sparkSession.sparkContext
     found, held = None, []
     for block in blocks(benchmark, window=window):
         if len(held) == PASS_BLOCKS:
             done = docs.withColumn(out, matches(F.col(text), held)) if found is None else found.withColumn(out, matches(F.col(text), held, F.col(out)))
-            found, held = materialize(done, "pass"), []
+            before, found = found, materialize(done, "pass", keep=True)
+            if before is not None:
+                drop(before)
+            for sent in held:
+                sent.destroy()
+            held = []
         held.append(context.broadcast(block.parts()))
     if found is None:
         return docs.withColumn(out, matches(F.col(text), held))
