@@ -126,6 +126,16 @@ def min_hamming(val: DataFrame, train: DataFrame, key: str = "doc_id", sample: i
     return val.crossJoin(F.broadcast(held)).select(key, near["d"].alias("distance"), near["k"].alias("nearest"))  # one row
 
 
+def nearest_code(val: DataFrame, train: DataFrame, key: str = "doc_id", t: int = 10, sample: int = 2000, seed: int = 42) -> DataFrame:
+    """As ``min_hamming``, but no leak is lost: up to t bits the nearest of all train rows, beyond that the sample's."""
+    codes = near_codes(val.select("code").distinct(), train.select("code").distinct(), t)
+    first = train.groupBy(F.col("code").alias("b")).agg(F.min(key).alias("k"))
+    exact = codes.join(first, "b").groupBy(F.col("a").alias("code")).agg(F.min(F.struct("d", "k")).alias("m"))
+    rest = min_hamming(val, train, key, sample, seed).withColumnsRenamed({"distance": "_d", "nearest": "_k"})
+    out = val.select(key, "code").join(exact, "code", "left").join(rest, key)
+    return out.select(key, F.coalesce("m.d", "_d").alias("distance"), F.coalesce("m.k", "_k").alias("nearest"))
+
+
 def distance_profile(distances: DataFrame) -> DataFrame:
     """How many distances are 0 to 19, all bins filled, with the shares below 5 and 10 and of F34's suspicious ones."""
     bins = distances.sparkSession.range(20).select(F.col("id").cast("int").alias("bin"))

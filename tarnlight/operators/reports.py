@@ -28,8 +28,12 @@ def rejected(lat: Column, lon: Column, kind: Column, mime: Column | None = None,
 
 
 def validate(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The accepted reports, and the rejected ones with reject_code and reject_reason."""
-    marked = reports.withColumn("_r", rejected(F.col("latitude"), F.col("longitude"), F.col("contamination_type")))
+    """The accepted reports, and the rejected ones with reject_code and reject_reason.
+
+    The image is judged by the columns mime_type and size_bytes where the table has them.
+    """
+    mime, size = (F.col(c) if c in reports.columns else None for c in ("mime_type", "size_bytes"))
+    marked = reports.withColumn("_r", rejected(F.col("latitude"), F.col("longitude"), F.col("contamination_type"), mime, size))
     bad = marked.where("_r is not null").withColumns({"reject_code": F.col("_r.code"), "reject_reason": F.col("_r.reason")}).drop("_r")
     return marked.where("_r is null").drop("_r"), bad
 

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlight.functions import fixed as K
 from tarnlight.functions import rules as R
-from tarnlight.operators.graph import connected_components
+from tarnlight.scratch import materialize, temporary
 
 _METRES = math.pi * K.EARTH_RADIUS / 180
 
@@ -61,50 +60,73 @@ def nearest_within(reports: DataFrame, bodies: DataFrame, radius: float = K.MATC
     return best.select(key, F.col("m.id").alias("body_id"), F.col("m.distance").alias("distance"))
 
 
-def _assign(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one group of misses, in order: the nearest body made before within the radius, else a new one."""
-    made: list[tuple] = []
-    out = []
-    for r in pdf.sort_values(["created_at", "report_id"]).itertuples():
-        near = []
-        for rid, lat, lon in made:
-            p, q = math.radians(lat), math.radians(r.latitude)
-            a = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(r.longitude - lon) / 2) ** 2
-            near.append((2 * K.EARTH_RADIUS * math.asin(min(1.0, math.sqrt(a))), rid))
-        best = min(near, default=None)
-        if best is None or best[0] > K.MATCH_RADIUS:
-            made.append((r.report_id, r.latitude, r.longitude))
-            best = (0.0, r.report_id)
-        out.append((r.report_id, best[1], best[0]))
-    return pd.DataFrame(out, columns=["report_id", "founder", "distance"])
-
-
-def create_on_miss(misses: DataFrame) -> DataFrame:
+def _founders(places: DataFrame, near: DataFrame) -> DataFrame:
+    """Of ``places`` (report_id) those that no earlier founder lies near, given ``near`` (report_id, o_report_id, the earlier).
+
+    In rounds: places without an earlier undecided one near are founders, what lies near them and after them follows, and both
+    leave. The earliest place left is always one of them, so the rounds end; no task holds a group of places.
+    """
+    undecided, edges, found = places, near.select("report_id", "o_report_id"), []
+    while True:
+        free = materialize(undecided.join(edges.select("report_id"), "report_id", "left_anti"), "founders")
+        found.append(free)
+        if free.limit(1).count() == 0:
+            break
+        followers = edges.join(free.select(F.col("report_id").alias("o_report_id")), "o_report_id", "left_semi").select("report_id").distinct()
+        gone = materialize(free.unionByName(followers), "decided")
+        undecided = materialize(undecided.join(gone, "report_id", "left_anti"), "undecided")
+        edges = edges.join(gone, "report_id", "left_anti").join(gone.select(F.col("report_id").alias("o_report_id")), "o_report_id", "left_anti")
+        edges = materialize(edges, "open")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def create_on_miss(misses: DataFrame, made: DataFrame | None = None) -> DataFrame:
     """(report_id, founder, distance): the miss whose report made the body that each miss belongs to.
 
-    Misses at one place are one row here, led by the earliest. What follows depends on order only within connected groups of
-    places up to the radius apart, so each group goes through in order on its own.
+    In the order of created_at and report_id, each miss joins the nearest body made before it within the radius, or makes
+    one. ``made`` (founder, latitude, longitude) are bodies that were made before all of these. Misses at one place are one
+    row here, led by the earliest.
+    """
+    with temporary(misses.sparkSession):
+        led = misses.groupBy("latitude", "longitude").agg(F.min(F.struct("created_at", "report_id")).alias("first"))
+        places = materialize(led.select("latitude", "longitude", "first.created_at", "first.report_id"), "places")
+        near = within_radius(places, places, K.MATCH_RADIUS).where(F.struct("o_created_at", "o_report_id") < F.struct("created_at", "report_id"))
+        near = materialize(near.select("report_id", "o_report_id", "distance"), "near")
+        open_, edges = places.select("report_id"), near
+        if made is not None:
+            known = within_radius(places, made.select(F.col("founder").alias("report_id"), "latitude", "longitude"), K.MATCH_RADIUS)
+            known = materialize(known.select("report_id", "o_report_id", "distance"), "known")
+            open_ = open_.join(known, "report_id", "left_anti")
+            # a place near a body made before is no founder, so it keeps nobody from being one
+            edges = edges.join(open_, "report_id", "left_semi").join(open_.select(F.col("report_id").alias("o_report_id")), "o_report_id", "left_semi")
+        founders = _founders(open_, edges)
+        choices = near.join(founders.select(F.col("report_id").alias("o_report_id")), "o_report_id", "left_semi").select("report_id", "o_report_id", "distance")
+        choices = choices if made is None else choices.unionByName(known)
+        best = choices.groupBy("report_id").agg(F.min(F.struct("distance", "o_report_id")).alias("m"))
+        done = places.join(best, "report_id", "left").select(
+            "latitude", "longitude", F.coalesce("m.o_report_id", "report_id").alias("founder"), F.coalesce("m.distance", F.lit(0.0)).alias("distance")
+        )
+        return materialize(misses.join(done, ["latitude", "longitude"]).select("report_id", "founder", "distance"), "made", keep=True)
+
+
+def resolve_bodies(reports: DataFrame, bodies: DataFrame, made: DataFrame | None = None) -> DataFrame:
+    """J1 then J2: (report_id, body_id, body_name, distance); new bodies have the id ``new-`` and their founder's report id.
+
+    ``made`` (founder, latitude, longitude, body_name) are bodies made from earlier reports.
     """
-    order = Window.partitionBy("latitude", "longitude").orderBy("created_at", "report_id")
-    led = misses.withColumn("leader", F.first("report_id").over(order))
-    places = led.where("leader = report_id").select("report_id", "latitude", "longitude", "created_at")
-    near = within_radius(places, places.select("report_id", "latitude", "longitude"), K.MATCH_RADIUS).where("report_id <> o_report_id")
-    comps = connected_components(near.select("report_id", "o_report_id"), "report_id", "o_report_id")
-    grouped = places.join(comps.withColumnRenamed("node", "report_id"), "report_id", "left").withColumn("component", F.coalesce("component", "report_id"))
-    done = grouped.groupBy("component").applyInPandas(_assign, "report_id long, founder long, distance double")
-    return led.select("report_id", "leader").join(done.withColumnRenamed("report_id", "leader"), "leader").select("report_id", "founder", "distance")
-
-
-def resolve_bodies(reports: DataFrame, bodies: DataFrame) -> DataFrame:
-    """J1 then J2: (report_id, body_id, body_name, distance); new bodies have the id ``new-`` and their founder's report id."""
     hit = nearest_within(reports, bodies).join(bodies.select(F.col("id").alias("body_id"), F.col("name").alias("body_name")), "body_id")
     misses = reports.join(hit.select("report_id"), "report_id", "left_anti")
-    made = create_on_miss(misses.select("report_id", "latitude", "longitude", "created_at"))
+    found = create_on_miss(misses.select("report_id", "latitude", "longitude", "created_at"), made)
     at = misses.select(F.col("report_id").alias("founder"), R.unnamed(F.col("latitude"), F.col("longitude")).alias("body_name"))
-    new = made.join(at, "founder").select("report_id", F.concat(F.lit("new-"), F.col("founder").cast("string")).alias("body_id"), "body_name", "distance")
+    at = at if made is None else at.unionByName(made.select("founder", "body_name"))
+    new = found.join(at, "founder").select("report_id", F.concat(F.lit("new-"), F.col("founder").cast("string")).alias("body_id"), "body_name", "distance")
     return hit.select("report_id", F.col("body_id").cast("string").alias("body_id"), "body_name", "distance").unionByName(new)
 
 
+
 def point_metrics(points: DataFrame, pixels: DataFrame, as_of: str, lookback: int = K.LOOKBACK_DAYS, max_cloud: float = 80) -> DataFrame:
     """For each point (id, latitude, longitude) the water index around it at the first radius with enough water.
 

@@ -131,10 +131,24 @@ def clarity_and_colour(t: Tables) -> DataFrame:
     return t["v_reports"].select("report_id", cl.alias("cl"), ab.alias("ab")).select("report_id", "cl.*", "ab.*")
 
 
-@query(f"""WITH {ctes('v_reports')} SELECT CASE WHEN contamination_type IN {K.CONTAMINATION_TYPES} THEN 'ok' ELSE 'unknown contamination type' END AS reason, count(*) AS n FROM v_reports GROUP BY 1""")
+#: What the views don't have: images, and places off the map.
+_SENT = """SELECT * REPLACE (latitude + CASE WHEN report_id % 83 = 0 THEN 90e0 ELSE 0e0 END AS latitude, longitude - CASE WHEN report_id % 89 = 0 THEN 270e0 ELSE 0e0 END AS longitude),
+ CASE WHEN report_id % 23 = 0 THEN 'image/gif' WHEN report_id % 29 = 0 THEN NULL ELSE 'image/jpeg' END AS mime_type,
+ CASE WHEN report_id % 31 = 0 THEN 0 WHEN report_id % 37 = 0 THEN NULL ELSE 1000 + (report_id % 41) * 500000 END AS size_bytes FROM v_reports"""
+
+
+@query(f"""WITH {ctes('v_reports')}, s AS ({_SENT}) SELECT CASE WHEN latitude > 90 THEN 'latitude out of range' WHEN longitude < -180 THEN 'longitude out of range'
+ WHEN contamination_type NOT IN {K.CONTAMINATION_TYPES} THEN 'unknown contamination type' WHEN mime_type IS NULL OR mime_type NOT IN {tuple(K.MIME_TYPES)} THEN 'unsupported image type'
+ WHEN size_bytes > {K.MAX_BYTES} THEN 'image too large' WHEN coalesce(size_bytes, 0) = 0 THEN 'empty image' ELSE 'ok' END AS reason, count(*) AS n FROM s GROUP BY 1""")
 def validation(t: Tables) -> DataFrame:
-    """P1"""
-    good, bad = reports.validate(t["v_reports"])
+    """P1, all six reasons"""
+    i, c = F.col("report_id"), F.col
+    sent = t["v_reports"].withColumns({
+        "latitude": c("latitude") + F.when(i % 83 == 0, 90.0).otherwise(0.0), "longitude": c("longitude") - F.when(i % 89 == 0, 270.0).otherwise(0.0),
+        "mime_type": F.when(i % 23 == 0, "image/gif").when(i % 29 != 0, "image/jpeg"),
+        "size_bytes": F.when(i % 31 == 0, 0).when(i % 37 != 0, 1000 + (i % 41) * 500000),
+    })
+    good, bad = reports.validate(sent)
     return good.select(F.lit("ok").alias("reason")).unionByName(bad.select(F.col("reject_reason").alias("reason"))).groupBy("reason").agg(F.count("*").alias("n"))
 
 
@@ -273,7 +287,7 @@ _LOCATED = "SELECT *, 12.9e0 + (lake_id % 40) * 0.01e0 + (pixel_id % 7 - 3) * 0.
 _POINT_END = "1997-06-01"
 
 
-@query(f"""WITH {ctes('v_bodies', 'v_pixels')}, px AS ({_LOCATED}),
+POINTS = f"""px AS ({_LOCATED}),
 s AS (SELECT r.*, b.id, {_D} AS distance FROM px r JOIN v_bodies b ON abs(r.latitude - b.latitude) < 0.01e0 AND {_D} <= 500
  WHERE cloudy_pct < 80 AND sensed_date >= DATE '{_POINT_END}' - INTERVAL 180 DAY AND sensed_date < DATE '{_POINT_END}'),
 e AS (SELECT s.*, buf FROM s, (VALUES (150), (300), (500)) v(buf) WHERE buf >= distance),
@@ -284,7 +298,10 @@ g AS (SELECT id, buf, ndci, px, n_scenes, row_number() OVER (PARTITION BY id ORD
 SELECT b.id, g.id IS NOT NULL AS available, round(g.ndci, 4) AS live_ndci, g.px AS water_pixel_count, g.buf AS buffer_m,
  CASE WHEN g.buf <= 150 THEN 'high' WHEN g.buf <= 300 THEN 'medium' WHEN g.buf IS NOT NULL THEN 'low' END AS spatial_confidence, g.n_scenes AS scenes_used,
  CASE WHEN g.id IS NULL THEN CASE WHEN EXISTS (SELECT 1 FROM n WHERE n.id = b.id) THEN 'sub_pixel_or_no_water' ELSE 'cloud_cover_or_timeout' END END AS reason
-FROM v_bodies b LEFT JOIN g ON g.id = b.id AND k = 1""")
+FROM v_bodies b LEFT JOIN g ON g.id = b.id AND k = 1"""
+
+
+@query(f"WITH {ctes('v_bodies', 'v_pixels')}, {POINTS}")
 def point_metrics(t: Tables) -> DataFrame:
     """J6, A11, F18, F19"""
     return spatial.point_metrics(t["v_bodies"], _located_pixels(t), f"{_POINT_END} 00:00:00")
@@ -356,11 +373,11 @@ def lake_table(t: Tables) -> DataFrame:
 def _lakes(t: Tables) -> DataFrame:
     """Tracked lakes: suppliers under names that match some bodies' names exactly, some only when normalised."""
     s = t["supplier"]
-    return s.where("s_suppkey % 2 = 0 OR s_suppkey % 7 = 0").select(F.col("s_suppkey").alias("lake_id"), F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.upper("s_name"), F.lit(" Reservoir"))).otherwise(F.col("s_name")).alias("lake"), F.col("s_suppkey").alias("ord"))
+    return s.select(F.col("s_suppkey").alias("lake_id"), F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.upper("s_name"), F.lit(" Reservoir"))).otherwise(F.col("s_name")).alias("lake"), F.col("s_suppkey").alias("ord"))
 
 
 _KEY = "trim(regexp_replace(replace(replace(lower(trim(coalesce({0}, ''))), 'reservoir', ''), 'lake', ''), '\\s+', ' ', 'g'))".format
-MATCHED = f"""lk AS (SELECT s_suppkey AS lake_id, CASE WHEN s_suppkey % 4 = 0 THEN upper(s_name) || ' Reservoir' ELSE s_name END AS lake FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 7 = 0),
+MATCHED = f"""lk AS (SELECT s_suppkey AS lake_id, CASE WHEN s_suppkey % 4 = 0 THEN upper(s_name) || ' Reservoir' ELSE s_name END AS lake FROM supplier),
 matched AS (SELECT b.id, b.name, coalesce((SELECT min(lake_id) FROM lk WHERE lake = b.name), CASE WHEN b.name IS NOT NULL THEN (SELECT min(lake_id) FROM lk WHERE {_KEY('lake')} = {_KEY('b.name')}) END) AS lake_id FROM v_bodies b)"""
 
 
@@ -370,24 +387,30 @@ def matched_lakes(t: Tables) -> DataFrame:
     return satellite.match_lake(t["v_bodies"], _lakes(t))
 
 
-@query(MONTHLY + f", {ctes('v_bodies')}, {MATCHED} SELECT m.id, n_months IS NOT NULL AS available, CASE WHEN n_months IS NULL THEN 'unknown' ELSE 'water_detected' END AS water_surface_status, coalesce(n_months, 0) AS n_months FROM matched m LEFT JOIN summary USING (lake_id)")
+@query(MONTHLY + f", {ctes('v_bodies')}, {MATCHED} SELECT m.id, n_months IS NOT NULL AS available, CASE WHEN n_months IS NULL THEN 'unknown' ELSE 'water_detected' END AS water_surface_status, coalesce(n_months, 0) AS n_months,"
+       " CASE WHEN n_months IS NULL THEN '''' || coalesce(m.name, '') || ''' is not tracked. Tracked lakes (' || (SELECT count(DISTINCT lake) FROM lk) || '): ' || (SELECT string_agg(DISTINCT lake, ', ' ORDER BY lake) FROM lk) END AS note FROM matched m LEFT JOIN summary USING (lake_id)")
 def lake_availability(t: Tables) -> DataFrame:
-    """F48; the note is text for people and isn't compared"""
+    """F48"""
     lakes = _lakes(t)
-    return satellite.availability(satellite.match_lake(t["v_bodies"], lakes), t["v_bodies"], _verdicts(t), lakes).drop("note")
+    return satellite.availability(satellite.match_lake(t["v_bodies"], lakes), t["v_bodies"], _verdicts(t), lakes)
 
 
 @query(MONTHLY + f""", {ctes('v_bodies', 'v_reports')}, {MATCHED},
-tier AS (SELECT m.id, CASE WHEN v.lake_id IS NOT NULL THEN 'cached_lake' ELSE 'on_demand_point' END AS mode, v.lake_id IS NOT NULL AS available, v.ndci_latest, coalesce(v.corroboration, 'unavailable') AS corroboration, v.exceeds_clean_baseline
- FROM matched m LEFT JOIN verdict v USING (lake_id))
-SELECT r.report_id, t.mode, CASE WHEN t.id IS NULL THEN 'pending' WHEN t.available THEN 'done' ELSE 'unavailable' END AS satellite_status, t.ndci_latest AS satellite_ndci, t.corroboration,
- CASE WHEN t.id IS NULL THEN 'processing' WHEN NOT t.available THEN 'unavailable' WHEN t.exceeds_clean_baseline THEN CASE WHEN t.corroboration = 'elevated' THEN 'elevated' ELSE 'watch' END ELSE 'nominal' END AS badge
+pt AS (WITH {POINTS}),
+tier AS (SELECT m.id, CASE WHEN v.lake_id IS NOT NULL THEN 'cached_lake' ELSE 'on_demand_point' END AS mode, v.lake_id IS NOT NULL OR pt.available AS available, CASE WHEN v.lake_id IS NULL THEN pt.live_ndci ELSE v.ndci_latest END AS ndci,
+ CASE WHEN v.lake_id IS NOT NULL THEN v.corroboration WHEN NOT pt.available THEN 'unavailable' WHEN pt.live_ndci > base.clean_baseline THEN 'watch' ELSE 'nominal' END AS corroboration,
+ CASE WHEN v.lake_id IS NOT NULL THEN v.exceeds_clean_baseline ELSE coalesce(pt.live_ndci > base.clean_baseline, false) END AS exceeds, m.id % 29 = 0 AS failed
+ FROM matched m CROSS JOIN base LEFT JOIN verdict v USING (lake_id) LEFT JOIN pt ON pt.id = m.id)
+SELECT r.report_id, t.mode, CASE WHEN t.id IS NULL THEN 'pending' WHEN t.failed THEN 'error' WHEN t.available THEN 'done' ELSE 'unavailable' END AS satellite_status, t.ndci AS satellite_ndci, t.corroboration,
+ CASE WHEN t.id IS NULL THEN 'processing' WHEN t.failed OR NOT t.available THEN 'unavailable' WHEN t.exceeds THEN CASE WHEN t.corroboration = 'elevated' THEN 'elevated' ELSE 'watch' END ELSE 'nominal' END AS badge
 FROM v_reports r LEFT JOIN tier t ON t.id = r.water_body_id""")
 def enriched_reports(t: Tables) -> DataFrame:
-    """J5, H1, F17, F19, F21; without point results, whose own query is point_metrics"""
-    none = t.spark.createDataFrame([], "id bigint, available boolean, live_ndci double, exceeds_clean_baseline boolean")
-    status = satellite.satellite_status(satellite.match_lake(t["v_bodies"], _lakes(t)), _verdicts(t), none)
-    verdicts = status.select(F.col("id").alias("water_body_id"), "mode", "available", "live_ndci", F.col("ndci_latest").alias("latest_ndci"), "exceeds_clean_baseline", "corroboration", F.lit(False).alias("failed"))
+    """J5, H1, F17, F19, F21; both tiers, and bodies whose look-up failed"""
+    points = spatial.point_metrics(t["v_bodies"], _located_pixels(t), f"{_POINT_END} 00:00:00")
+    base = _verdicts(t).agg(F.max("clean_baseline").alias("base"))  # one value for all lakes
+    points = points.crossJoin(base).select("id", "available", "live_ndci", (F.col("live_ndci") > F.col("base")).alias("exceeds_clean_baseline"))
+    status = satellite.satellite_status(satellite.match_lake(t["v_bodies"], _lakes(t)), _verdicts(t), points)
+    verdicts = status.select(F.col("id").alias("water_body_id"), "mode", "available", "live_ndci", F.col("ndci_latest").alias("latest_ndci"), "exceeds_clean_baseline", "corroboration", (F.col("id") % 29 == 0).alias("failed"))
     out = reports.enrich(t["v_reports"], verdicts)
     shown = R.badge(F.col("satellite_status"), F.lit(None).cast("string"), F.col("exceeds_clean_baseline"), F.col("corroboration"))
     return out.select("report_id", "mode", "satellite_status", "satellite_ndci", "corroboration", shown.alias("badge"))
@@ -665,12 +688,14 @@ def split_overlap(t: Tables) -> DataFrame:
 
 
 _NEAREST = """tr AS (SELECT * FROM hs WHERE doc_id % 5 <> 0 ORDER BY md5('42:' || doc_id), doc_id LIMIT 2000),
-nn AS (SELECT v.doc_id, min(bit_count(xor(v.code, tr.code))) AS distance FROM hs v, tr WHERE v.doc_id % 5 = 0 GROUP BY 1)"""
+near AS (SELECT v.doc_id, min(bit_count(xor(v.code, h.code))) AS d FROM hs v, hs h WHERE v.doc_id % 5 = 0 AND h.doc_id % 5 <> 0 GROUP BY 1),
+far AS (SELECT v.doc_id, min(bit_count(xor(v.code, tr.code))) AS d FROM hs v, tr WHERE v.doc_id % 5 = 0 GROUP BY 1),
+nn AS (SELECT doc_id, CASE WHEN near.d <= 10 THEN near.d ELSE far.d END AS distance FROM near JOIN far USING (doc_id))"""
 
 
 def _distances(t: Tables) -> DataFrame:
     h = _hashed(t)
-    return fingerprint.min_hamming(h.where("doc_id % 5 = 0"), h.where("doc_id % 5 <> 0"))
+    return fingerprint.nearest_code(h.where("doc_id % 5 = 0"), h.where("doc_id % 5 <> 0"))
 
 
 @query(HASHED + f", {_NEAREST} SELECT doc_id, distance FROM nn")
@@ -692,13 +717,16 @@ def leakage_audit(t: Tables) -> DataFrame:
     return fingerprint.distance_summary(_distances(t))
 
 
-@query(HASHED + f""", {_NEAREST}, q AS (SELECT avg(((d.n_chars % 1000) / 1000e0 >= 0.5)::INT = quality) AS accuracy FROM labels l JOIN documents d USING (doc_id)),
+@query(HASHED + f""", {_NEAREST},
 lv AS (SELECT CASE WHEN avg((distance <= 6)::INT) * 100 > 10 THEN 'SEVERE' WHEN avg((distance <= 6)::INT) * 100 > 2 THEN 'MODERATE' WHEN avg((distance <= 6)::INT) > 0 THEN 'MINIMAL' ELSE 'NONE' END AS level FROM nn)
-SELECT level AS leakage, round(accuracy, 6) AS accuracy, round((0.999e0 - accuracy) * 100, 4) AS drop_pp FROM lv, (SELECT avg((((d.n_chars % 1000) / 1000e0 >= 0.5)::INT = quality)::INT) AS accuracy FROM labels l JOIN documents d USING (doc_id)) a""".replace("q AS (SELECT avg(((d.n_chars % 1000) / 1000e0 >= 0.5)::INT = quality) AS accuracy FROM labels l JOIN documents d USING (doc_id)),\n", ""))
+SELECT level AS leakage, round(accuracy, 6) AS accuracy, round((0.999e0 - accuracy) * 100, 4) AS drop_pp,
+ CASE WHEN (0.999e0 - accuracy) * 100 < 2 THEN printf('Leakage %s; accuracy fell by %.1f points, less than 2: the reported accuracy holds.', level, (0.999e0 - accuracy) * 100)
+ ELSE printf('Leakage %s; accuracy fell by %.1f points: report the group-aware accuracy.', level, (0.999e0 - accuracy) * 100) END AS conclusion
+FROM lv, (SELECT avg((((d.n_chars % 1000) / 1000e0 >= 0.5)::INT = quality)::INT) AS accuracy FROM labels l JOIN documents d USING (doc_id)) a""")
 def audit_summary(t: Tables) -> DataFrame:
-    """A31, F47; the conclusion is text for people and isn't compared"""
+    """A31, F47"""
     bench = _pairs(t).agg(F.avg((F.col("y") == F.col("pred")).cast("double")).alias("accuracy"))
-    return evaluate.audit_summary(fingerprint.distance_summary(_distances(t)).select("level"), bench, 0.999).drop("conclusion").withColumn("accuracy", F.round("accuracy", 6))
+    return evaluate.audit_summary(fingerprint.distance_summary(_distances(t)).select("level"), bench, 0.999).withColumn("accuracy", F.round("accuracy", 6))
 
 
 # curation
@@ -716,12 +744,12 @@ def first_per_label(t: Tables) -> DataFrame:
     return curation.require_rows(curation.quota(t["v_curation"].select("doc_id", "label", "path"), "label", 30, "path"), 1).select("doc_id", "label")
 
 
-@query(f"""WITH {ctes('v_curation')}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY path) AS k FROM v_curation WHERE label <> 'src1' OR doc_id % 10 = 1), e AS (SELECT 205 // count(DISTINCT label) AS e FROM r),
+@query(f"""WITH {ctes('v_curation')}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY path) AS k FROM v_curation), e AS (SELECT 205 // count(DISTINCT label) AS e FROM r),
 o AS (SELECT doc_id, label, path, k <= e AS own, row_number() OVER (PARTITION BY k <= e ORDER BY path) AS j FROM r, e), n AS (SELECT 205 - count(*) AS missing FROM o WHERE own)
 SELECT doc_id, 'image_' || lpad(row_number() OVER (ORDER BY path)::VARCHAR, 3, '0') AS item_id FROM o, n WHERE own OR j <= missing""")
 def balanced_sample(t: Tables) -> DataFrame:
     """W12, W13"""
-    rows = t["v_curation"].select("doc_id", "label", "path").where("label <> 'src1' OR doc_id % 10 = 1")
+    rows = t["v_curation"].select("doc_id", "label", "path")
     return curation.number_rows(curation.balanced_sample(rows, 205, "label", "path"), "image_", 3, "path").select("doc_id", "item_id")
 
 
@@ -766,11 +794,11 @@ def union_and_difference(t: Tables) -> DataFrame:
     return curation.union_all(new.withColumn("kind", F.lit("nation")), t["region"].select(F.col("r_regionkey").alias("key"), F.lit("region").alias("kind")))
 
 
-@query("""SELECT c.c_custkey, coalesce(n.n_name, '') AS nation FROM customer c LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 3 <> 0) n ON n.n_nationkey = c.c_nationkey""")
+@query("""SELECT c.c_custkey, coalesce(r.r_name, '') AS place FROM customer c LEFT JOIN region r ON r.r_regionkey = c.c_nationkey""")
 def enriched_metadata(t: Tables) -> DataFrame:
-    """J10"""
-    meta = t["nation"].where("n_nationkey % 3 <> 0").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("nation"))
-    return evaluate.with_meta(t["customer"].select("c_custkey", "c_nationkey"), meta, "c_nationkey").select("c_custkey", "nation")
+    """J10; four in five keys have no counterpart"""
+    meta = t["region"].select(F.col("r_regionkey").alias("c_nationkey"), F.col("r_name").alias("place"))
+    return evaluate.with_meta(t["customer"].select("c_custkey", "c_nationkey"), meta, "c_nationkey").select("c_custkey", "place")
 
 
 # alerts

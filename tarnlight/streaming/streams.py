@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tarnlight.functions import rules as R
 from tarnlight.operators.reports import body_state, scored, validate
 from tarnlight.operators.spatial import resolve_bodies
+from tarnlight.scratch import drop, materialize
 
 LATE = "1 day"
 
@@ -40,17 +41,29 @@ def weekly_snapshots(reports: DataFrame, late: str = LATE) -> DataFrame:
     return out.select("water_body_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "report_count", *[R.rounded(F.col(c), 4).alias(n) for n, c in names.items()])
 
 
+MADE = "founder long, latitude double, longitude double, body_name string, batch int"
+
+
 def ingest_batch(bodies: DataFrame, out: str) -> Callable[[DataFrame, int], None]:
     """H4: what happens to a micro-batch: validated, scored, matched to bodies, written under its batch id.
 
-    The folder of a batch is overwritten when the batch is replayed, so each report is written once.
+    Bodies that a batch makes on a miss are written too, and later batches match against them, so several batches in the
+    order of time make the bodies that one would. The folders of a batch are overwritten when it is replayed, and a batch reads
+    those of earlier batches only, so each report and each body is written once.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         good, bad = validate(batch)
-        found = resolve_bodies(good, bodies).select("report_id", F.col("body_id").alias("matched_body_id"), "body_name", "distance")
+        made = None
+        if batch_id:
+            made = batch.sparkSession.read.schema(MADE).parquet(f"{out}/bodies").where(F.col("batch") < batch_id).drop("batch")
+        found = resolve_bodies(good, bodies, made).select("report_id", F.col("body_id").alias("matched_body_id"), "body_name", "distance")
+        found = materialize(found, "resolved", keep=True)
         scored(good).drop("base").join(found, "report_id").write.mode("overwrite").parquet(f"{out}/reports/batch={batch_id}")
+        new = good.join(found.where(F.col("matched_body_id") == F.concat(F.lit("new-"), F.col("report_id").cast("string"))), "report_id")
+        new.select(F.col("report_id").cast("long").alias("founder"), "latitude", "longitude", "body_name").write.mode("overwrite").parquet(f"{out}/bodies/batch={batch_id}")
         bad.write.mode("overwrite").parquet(f"{out}/rejected/batch={batch_id}")
+        drop(found)
 
     return write
 

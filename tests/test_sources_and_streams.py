@@ -2,6 +2,8 @@
 
 import json
 import os
+import random
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -84,3 +86,42 @@ def test_ingest_stream_equals_batch_and_replays(spark, tmp_path):
     streams.ingest_batch(bodies, f"{tmp_path}/out")(batch, 0)
     assert spark.read.parquet(f"{tmp_path}/out/reports").count() + spark.read.parquet(f"{tmp_path}/out/rejected").count() == got
     assert streams.ingested_state(spark, f"{tmp_path}/out").count() == before
+
+
+def test_several_batches_make_the_bodies_of_one(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    batch = Tables(spark, SF)["v_reports"].limit(1)
+    rng = random.Random(4)
+    rows = [(i, 20.0 + rng.choice([0, 0.003, 0.006]) + rng.uniform(0, 0.003), 80.0 + rng.uniform(0, 0.012), start + timedelta(minutes=i)) for i in range(90)]
+    places = spark.createDataFrame(rows, "report_id long, latitude double, longitude double, created_at timestamp")
+    kind = batch.select(*[c for c in batch.columns if c not in places.columns]).withColumn("contamination_type", F.lit("sewage"))
+    reports = places.crossJoin(kind).select(batch.columns)
+    bodies = Tables(spark, SF)["v_bodies"]
+    streams.ingest_batch(bodies, f"{tmp_path}/one")(reports, 0)
+    write = streams.ingest_batch(bodies, f"{tmp_path}/three")
+    for k in (0, 1, 1, 2):  # the second one again, as after a failure
+        write(reports.where(F.floor(F.col("report_id") / 30) == k), k)
+    of = lambda name: {r.report_id: (r.matched_body_id, r.body_name) for r in spark.read.parquet(f"{tmp_path}/{name}/reports").collect()}
+    one = of("one")
+    assert of("three") == one
+    assert len(one) == 90
+    made = {r.founder for r in spark.read.parquet(f"{tmp_path}/three/bodies").collect()}
+    assert {f"new-{i}" for i in made} == {b for b, _ in one.values()}
+    assert 1 < len(made) < 40
+
+
+def test_late_rows_and_weeks_as_a_stream(spark, tmp_path):
+    """H5: what comes later than the watermark allows isn't counted. H6: weeks as a stream are those of the table."""
+    rows = [(k, 1, datetime(2024, 1, d), 10.0 * k, 1.0, 2.0, 3.0) for k, d in ((1, 2), (2, 3), (3, 30), (4, 31))] + [(5, 1, datetime(2024, 1, 4), 1.0, 1.0, 1.0, 1.0)]
+    schema = "report_id long, water_body_id long, created_at timestamp, composite_score double, algae_percentage double, foam_coverage_pct double, turbidity_score double"
+    for name, part in (("a", rows[:4]), ("b", rows[4:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+        q = streams.rolling_counts(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = {(r.window_start.day, r.window_start.month): r.n for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got[2, 1] == 2  # two rows in time; the one of the fourth came after the watermark had passed
+    weeks = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+    streams.run_to_table(streams.weekly_snapshots(weeks, "60 days"), "weeks", f"{tmp_path}/cw", "complete")
+    key = lambda df: sorted((r.window_start, r.report_count, r.risk_score) for r in df.collect())
+    assert key(spark.table("weeks")) == key(streams.weekly_snapshots(spark.createDataFrame(rows, schema)))
