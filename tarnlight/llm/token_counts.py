@@ -22,10 +22,12 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Scores are whole millionths of nats, so that sums are exact and ties are ties.
 UNIT = 1_000_000
-#: A trie is given up for a new one when it has so many nodes, which bounds a task's memory whatever the texts.
+#: A trie is given up for a new one when it has so many nodes, which with MAX_LENGTH bounds a task's memory whatever the texts.
 MAX_NODES = 400_000
 #: So many pre-tokens keep their counts in a task.
 MAX_KNOWN = 500_000
+#: Pre-tokens of more bytes get no nodes and aren't kept: each is gone through once with the last few scores alone.
+MAX_LENGTH = 200
 Vocabulary = dict[str, int]
 
 
@@ -58,6 +60,7 @@ class Trie:
     def __init__(self, pieces: Vocabulary, byte_score: int):
         self.pieces, self.byte_score = pieces, byte_score
         self.lengths = endings(pieces)
+        self.longest = max(map(len, pieces), default=1)
         self.children: dict[tuple[int, str], int] = {}
         self.score, self.count = [0], [0]
 
@@ -88,6 +91,23 @@ class Trie:
         return count[path[-1]]
 
 
+    def passed(self, word: str) -> int:
+        """The token count of ``word`` by the same forward pass, keeping only the scores that a piece can still reach back to."""
+        keep = self.longest + 1
+        score, count = [0] * keep, [0] * keep
+        for end in range(1, len(word) + 1):
+            size = len(word[end - 1].encode("utf-8", "surrogatepass"))
+            best, least = score[(end - 1) % keep] + size * self.byte_score, count[(end - 1) % keep] + size
+            for n in range(1, min(self.longest, end) + 1):
+                of = self.pieces.get(word[end - n : end])
+                if of is not None:
+                    s, k = score[(end - n) % keep] + of, count[(end - n) % keep] + 1
+                    if s > best or (s == best and k < least):
+                        best, least = s, k
+            score[end % keep], count[end % keep] = best, least
+        return count[len(word) % keep]
+
+
 class Counts(dict):
     """Token counts by pre-token, from a trie when they are first asked for."""
 
@@ -97,6 +117,8 @@ class Counts(dict):
         self.trie = Trie(*self.of)
 
     def __missing__(self, word: bytes) -> int:
+        if len(word) > MAX_LENGTH:
+            return self.trie.passed(MARK + word.decode("utf-8", "replace"))
         if len(self.trie.score) > MAX_NODES:
             self.trie = Trie(*self.of)
         if len(self) >= MAX_KNOWN:
