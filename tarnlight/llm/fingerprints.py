@@ -8,7 +8,10 @@ grow with the logarithm of the number of terms behind them, and give the share o
 up to some millions of distinct terms.
 
 The document frequencies of all terms are counted in Spark by hash bucket, 2^LEXICON_BITS in number. The lexicon then is a
-bit for each bucket, 2 MB whatever the corpus, and terms that share a bucket share its frequency.
+bit for each bucket, 2 MB whatever the corpus, and terms that share a bucket share the sum of their frequencies. That blurs the
+band little even where many share one: its lower end is a share of all texts (one in 160,000), and so far above what rare terms
+add up to. With 10^9 texts and 10^9 terms, a bucket's 60 terms reach the 6,100 texts only if one of them does nearly alone; with
+10^6 such terms, 6% of the rare ones stand beside one and are taken in with it.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ LEXICON_BITS = 24
 #: The band, in nats: terms of more than 22% of all texts are out, and terms of fewer than one in 160,000.
 IDF_BAND = (1.5, 12.0)
 FAMILIES, LEVELS = 6, 24
+#: Characters of text for each range of doc_ids that is put in order as a whole.
+RANGE_CHARS = 256_000_000
 #: A text of whose terms a smaller share lies in the band keeps all its terms.
 MIN_SHARE = 0.5
 _GROUP = 13
@@ -155,7 +160,8 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     all. Rows without doc_id come last, equal doc_ids go by text. A range is a part of the table, never all of it.
     """
     spark = docs.sparkSession
-    ranges = ranges or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    ranges = ranges or max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // RANGE_CHARS))
     shares = [k / ranges for k in range(1, ranges)]
     row = docs.agg(F.min("doc_id"), F.percentile_approx("doc_id", shares or [0.5], 10 * ranges)).first()
     firsts = np.array(sorted({row[0], *(row[1] or [])} - {None}) or [0], np.int64)
@@ -170,7 +176,7 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.explode(dealt("doc_id")).alias("k"))
     rows = rows.select(F.when(F.col("k") < 0, -1 - F.col("k")).otherwise(F.col("k")).alias("range"), (F.col("k") < 0).alias("after"), "doc_id", "text")
-    return rows.repartition("range").sortWithinPartitions("range", "after", F.col("doc_id").asc_nulls_last(), "text")
+    return rows.repartition(ranges, "range").sortWithinPartitions("range", "after", F.col("doc_id").asc_nulls_last(), "text")
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
