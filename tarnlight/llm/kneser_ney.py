@@ -12,14 +12,13 @@ The files lie in the shared folder. Scoring tasks map them into memory and look
 of text at a time, in sorted order, so a task holds no model, and the model may be larger than memory. The number of ranges
 grows with the corpus, so that a range's size doesn't.
 
-The order is two: context of more than one word is not used. Order three has not been built or measured (see README).
+The order is two: context of more than one word is not used (README has the figures behind that).
 """
 
 from __future__ import annotations
 
 import io
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import astuple, dataclass
@@ -28,11 +27,12 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlight.llm.text import columns, hash64, lower_words, mixed, utf8
-from tarnlight.scratch import new_path
+from tarnlight.scratch import delete, new_path
 
 #: Documents whose crc32(doc_id as text) leaves this remainder are held out and not learned from.
 FOLDS, HELD_OUT = 7, 2
@@ -104,18 +104,23 @@ def _write(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
 
 
 def _mapped(folder: str, name: str) -> dict[str, np.ndarray]:
-    """The arrays of a file, mapped into memory. From a store without files, a local copy is mapped and unlinked at once."""
+    """The arrays of a file, mapped into memory.
+
+    From a store without files, the executor's first task that needs a file copies it to the folder that Spark gives the
+    executor for the application, and deletes with it; the others map that copy.
+    """
     files, path = fs.FileSystem.from_uri(folder)
     path = f"{path}/{name}"
     local = path
     if not isinstance(files, fs.LocalFileSystem):
-        handle, local = tempfile.mkstemp()
-        with os.fdopen(handle, "wb") as out, files.open_input_stream(path) as source:
-            while piece := source.read(1 << 24):
-                out.write(piece)
+        local = os.path.join(SparkFiles.getRootDirectory(), f"{folder.rstrip('/').rsplit('/', 1)[-1]}-{name}")
+        if not os.path.exists(local):
+            part = f"{local}-{uuid.uuid4().hex}"
+            with open(part, "wb") as out, files.open_input_stream(path) as source:
+                while piece := source.read(1 << 24):
+                    out.write(piece)
+            os.replace(part, local)
     whole = np.memmap(local, np.uint8, "r") if os.path.getsize(local) else np.empty(0, np.uint8)
-    if local != path:
-        os.unlink(local)
     found, at = {}, 0
     while at < len(whole):
         key, size = bytes(whole[at : at + 64]).split()
@@ -155,6 +160,11 @@ class Model:
     texts: int
 
 
+def forget(spark: SparkSession, model: Model) -> None:
+    """Delete a model's files, when no scores by it are still to be made."""
+    delete(spark, model.folder)
+
+
 def _discounts(n: list[int]) -> tuple[float, float, float]:
     """D1, D2, D3+ from how many have counts 1 to 4; 0.75 of absolute discounting where these don't give proper ones."""
     n1, n2, n3, n4 = n
@@ -258,7 +268,9 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         _write(folder, f"tokens-{number}", arrays)
         return sizes(5, np.array([len(hashes), count.sum(), preceded.sum(dtype=np.int64), *_of_counts(preceded)], np.int64))
 
-    merged = texts.mapInArrow(gather, _ROWS).groupBy("part").applyInArrow(merge_pairs, _ROWS).groupBy("part").applyInArrow(merge_tokens, "k int, value long")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 << bits)  # as many ranges in each, however large the corpus
+    pairs = texts.mapInArrow(gather, _ROWS).repartition(tasks, "part").groupBy("part").applyInArrow(merge_pairs, _ROWS)
+    merged = pairs.repartition(tasks, "part").groupBy("part").applyInArrow(merge_tokens, "k int, value long")
     total = dict(merged.groupBy("k").agg(F.sum("value")).collect())
     pair_types, *pairs, v, n, preceded, of1, of2, of3, of4 = (total.get(k, 0) for k in range(12))
     of = [of1, of2, of3, of4]
