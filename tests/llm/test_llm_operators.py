@@ -234,6 +234,72 @@ def test_redaction(spark, odd, empty):
 # op3
 
 
+def splitmix(x):
+    m = (1 << 64) - 1
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & m
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & m
+    return x ^ (x >> 31)
+
+
+def slow_terms(t):
+    return {xxhash.xxh64_intdigest(w, 42): w for w in re.findall(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t.encode().lower())}
+
+
+def slow_prints(texts):
+    """Fingerprints by families and levels, with plain integers and dictionaries."""
+    df = Counter(h >> 40 for t in texts.values() for h in slow_terms(t))
+    band = lambda h: h >> 40 in df and 1.5 <= math.log(len(texts) / df[h >> 40]) <= 12.0
+
+    def of(t):
+        terms = sorted(slow_terms(t))
+        kept = [h for h in terms if band(h)]
+        kept = terms if len(kept) < 0.5 * len(terms) else kept
+        out = []
+        for f in range(6):
+            seed = splitmix((f + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            for level in range(1, 25):
+                some = [h for h in kept if splitmix(h ^ seed) < 1 << (64 - level)]
+                out.append(xxhash.xxh64_intdigest(b"".join(h.to_bytes(8, "little") for h in some), f * 24 + level) % 65535 + 1 if some else 0)
+        return out
+
+    return of
+
+
+def slow_likeness(a, b):
+    def behind(c):
+        low, high = 0.0, 2.0**32
+        for _ in range(200):
+            s = (low + high) / 2
+            low, high = (s, high) if sum(6 * (1 - math.exp(-s / 2**k)) for k in range(1, 25)) < c else (low, s)
+        return low
+
+    apart = sum(x != y for x, y in zip(a, b, strict=True))
+    return max(0.0, 1 - behind(apart) / behind(sum(x != 0 or y != 0 for x, y in zip(a, b, strict=True)))) if apart else 1.0
+
+
+def test_fingerprints_and_likeness_match_a_slow_version(spark, texts):
+    got = {r.doc_id: r for r in fingerprints.query(spark, SF).collect()}
+    rows = sorted(texts)
+    of = slow_prints(dict(rows))
+    spelled = lambda p: "".join(f"{x:04x}" for x in p)
+    errors = []
+    for k, (i, t) in enumerate(rows[:120]):
+        after = rows[(k + 1) % len(rows)][1]
+        q = len(t) // 4
+        changed = t[: len(t) - q] + after[:q]
+        mine, theirs = of(t), of(changed)
+        assert got[i].fingerprint == spelled(mine)
+        assert got[i].edited_fingerprint == spelled(theirs)
+        assert got[i].near_edited == pytest.approx(slow_likeness(mine, theirs), abs=0.01)
+        assert got[i].near_next == pytest.approx(slow_likeness(mine, of(after)), abs=0.01)
+        x, y = set(slow_terms(t)), set(slow_terms(changed))
+        if len(x | y) > 20:
+            errors.append(got[i].near_edited - len(x & y) / len(x | y))
+    print("likeness less the true share: mean", np.mean(errors), "mean absolute", np.mean(np.abs(errors)))
+    assert abs(np.mean(errors)) < 0.1
+    assert np.mean(np.abs(errors)) < 0.25
+
+
 def test_edited_pairs_match_brute_force(spark, texts):
     got = {r.doc_id: r for r in fingerprints.query(spark, SF).collect()}
     rows = sorted(texts)
@@ -555,6 +621,22 @@ def test_trie_shares_prefixes_and_is_bounded(monkeypatch):
     assert len(trie.score) == 1 + 4 + 1
 
 
+def test_one_very_long_word(spark):
+    """A word beyond MAX_LENGTH counts as it would in a trie, and leaves no nodes behind."""
+    pieces, byte = token_counts.vocabulary()
+    rng = random.Random(3)
+    long = "".join(rng.choice(["water", "ing", "é", "x", "Q", "😀", "tion", "7"]) for _ in range(3000))
+    want = token_counts.Trie(pieces, byte).insert(token_counts.MARK + long)
+    counts = token_counts.Counts(pieces, byte)
+    assert counts[long.encode()] == want
+    assert not counts
+    assert len(counts.trie.score) == 1
+    df = spark.createDataFrame([(long + " a", ), ("w" * 300_000,)], "text string")
+    got = [r.t for r in df.select(token_counts.token_counts("text").alias("t")).collect()]
+    assert (got[0].n_words, got[0].n_tokens) == (2, want + counts[b"a"])
+    assert got[1].n_words == 1
+
+
 # op10
 
 
