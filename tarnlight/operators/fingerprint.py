@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -14,8 +15,6 @@ from pyspark.sql import functions as F
 from tarnlight.functions import rules as R
 from tarnlight.operators.graph import connected_components
 
-BANDS, BAND_BITS = 4, 16
-
 
 def _simhash(text: str) -> int:
     words = sorted({w for w in text.split(" ") if w})
@@ -42,25 +41,43 @@ def simhash_words(text: Column) -> Column:
     return codes.asNondeterministic()(F.lower(text))
 
 
-def _probes(radius: int) -> Column:
-    masks = [0] + [sum(1 << b for b in bits) for n in range(1, radius + 1) for bits in combinations(range(BAND_BITS), n)]
-    return F.lit(masks)
+def _edges(bands: int) -> list[tuple[int, int]]:
+    """First bit and width of each band."""
+    cuts = [64 * k // bands for k in range(bands + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _masks(width: int, radius: int) -> list[int]:
+    return [sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(width), n)]
+
+
+def _bands(code: Column, bands: int) -> Column:
+    return F.array(*[
+        F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(code, at).bitwiseAND(F.lit((1 << width) - 1)).cast("bigint").alias("v")) for k, (at, width) in enumerate(_edges(bands))
+    ])
+
 
+def band_number(n: int, t: int) -> int:
+    """Four bands or three: what makes fewer probes and chance meetings together over ``n`` codes."""
+    def work(bands: int) -> float:
+        return sum(sum(math.comb(w, r) for r in range(t // bands + 1)) * (1 + n / 2**w) for _, w in _edges(bands))
 
-def _bands(code: Column) -> Column:
-    return F.array(*[F.struct(F.lit(k).alias("k"), F.shiftright(code, k * BAND_BITS).bitwiseAND((1 << BAND_BITS) - 1).cast("int").alias("v")) for k in range(BANDS)])
+    return min((4, 3), key=work)
 
 
-def near_codes(left: DataFrame, right: DataFrame, t: int = 10) -> DataFrame:
+def near_codes(left: DataFrame, right: DataFrame, t: int = 10, bands: int | None = None) -> DataFrame:
     """(a, b, d) for distinct codes of both tables (column ``code``) at most t bits apart.
 
-    Of four bands of 16 bits one differs in at most t // 4 bits, so probing that band within that radius misses nothing. The
-    probes go out from the left side.
+    Of the bands of a code one differs in at most t // bands bits, so probing that band within that radius misses nothing. The
+    probes go out from the left side. Four bands of 16 bits are probed 548 times for t = 10 and meet 0.8% of all random
+    codes; from some 700,000 codes on three bands are wider: 4,700 probes meet 0.2%. The pairs are the same.
     """
-    probed = left.select(F.col("code").alias("a"), F.explode(_bands(F.col("code"))).alias("x"))
-    probed = probed.select("a", F.col("x.k").alias("k"), F.explode(_probes(t // BANDS)).alias("m"), F.col("x.v").alias("v"))
+    bands = bands or band_number(right.count(), t)
+    masks = F.create_map(*[x for k, (_, width) in enumerate(_edges(bands)) for x in (F.lit(k), F.lit(_masks(width, t // bands)).cast("array<bigint>"))])
+    probed = left.select(F.col("code").alias("a"), F.explode(_bands(F.col("code"), bands)).alias("x"))
+    probed = probed.select("a", F.col("x.k").alias("k"), F.explode(F.element_at(masks, F.col("x.k"))).alias("m"), F.col("x.v").alias("v"))
     probed = probed.select("a", "k", F.col("v").bitwiseXOR(F.col("m")).alias("v"))
-    banded = right.select(F.col("code").alias("b"), F.explode(_bands(F.col("code"))).alias("x")).select("b", "x.k", "x.v")
+    banded = right.select(F.col("code").alias("b"), F.explode(_bands(F.col("code"), bands)).alias("x")).select("b", "x.k", "x.v")
     met = probed.join(banded, ["k", "v"]).withColumn("d", R.hamming(F.col("a"), F.col("b"))).where(F.col("d") <= t)
     return met.select("a", "b", "d").distinct()
 

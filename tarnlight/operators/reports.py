@@ -113,12 +113,18 @@ FEATURES = ("algae_percentage", "foam_coverage_pct", "turbidity_score", "oil_cov
 
 
 def feature_stats(df: DataFrame, features: tuple[str, ...] = FEATURES) -> DataFrame:
-    """Mean, median, population deviation and maximum of each feature, with its rank by mean."""
+    """Mean, median, population deviation and maximum of each feature, with its rank by mean.
+
+    The exact median comes from running counts over distinct values, which no task holds as a whole.
+    """
     long = df.unpivot([], list(features), "feature", "value")
-    stats = long.groupBy("feature").agg(
-        F.avg("value").alias("mean"), F.expr("percentile(value, 0.5D)").alias("median"), F.stddev_pop("value").alias("std"), F.max("value").alias("max"),
-    )
-    return stats.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean"), "feature")))
+    stats = long.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.max("value").alias("max"), F.count("value").alias("_n"))
+    counted = sums_before(long.where("value is not null").groupBy("feature", "value").agg(F.count("*").alias("n")), ("feature",), F.col("value"), ("n",))
+    counted = counted.join(stats.select("feature", "_n"), "feature")
+    at = lambda rank: F.max(F.when((F.col("before_n") <= rank) & (rank < F.col("before_n") + F.col("n")), F.col("value")))
+    middle = counted.groupBy("feature").agg(((at(F.floor((F.col("_n") - 1) / 2)) + at(F.ceil((F.col("_n") - 1) / 2))) / 2).alias("median"))
+    stats = stats.join(middle, "feature", "left").select("feature", "mean", "median", "std", "max")
+    return stats.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean"), "feature")))  # a row for each feature
 
 
 def detector_matrix(df: DataFrame, category: str = "contamination_type") -> DataFrame:

@@ -166,17 +166,18 @@ def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
     return F.size(F.filter(edges, crosses)) % 2 == 1
 
 
-def in_region(pixels: DataFrame, regions: DataFrame, most: int = 10_000) -> DataFrame:
+def in_region(pixels: DataFrame, regions: DataFrame, most: int = 500_000) -> DataFrame:
     """Pixels with the name and category of each region that they lie in.
 
     Regions (name, category, ring) meet pixels by degree cell of their bounding box, then by box, then by ring. They are
-    broadcast if there are at most ``most`` of them.
+    broadcast if their rings, repeated for each cell, have at most ``most`` corners together (some 20 MB).
     """
     lons, lats = F.transform("ring", lambda p: p[0]), F.transform("ring", lambda p: p[1])
     boxed = regions.select("name", "category", "ring", F.array_min(lons).alias("w"), F.array_max(lons).alias("e"), F.array_min(lats).alias("s"), F.array_max(lats).alias("n"))
     long = lambda c: F.floor(c).cast("bigint")
     boxed = boxed.withColumn("cx", F.explode(F.sequence(long("w"), long("e")))).withColumn("cy", F.explode(F.sequence(long("s"), long("n"))))
-    boxed = F.broadcast(boxed) if regions.limit(most + 1).count() <= most else boxed
+    corners = boxed.agg(F.coalesce(F.sum(F.size("ring") + 4), F.lit(0))).first()[0]
+    boxed = F.broadcast(boxed) if corners <= most else boxed
     met = pixels.join(boxed, (long("longitude") == F.col("cx")) & (long("latitude") == F.col("cy")))
     met = met.where(F.col("longitude").between(F.col("w"), F.col("e")) & F.col("latitude").between(F.col("s"), F.col("n")))
     return met.where(in_ring(F.col("longitude"), F.col("latitude"), F.col("ring"))).drop("ring", "w", "e", "s", "n", "cx", "cy")

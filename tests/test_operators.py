@@ -192,3 +192,25 @@ def test_validation_names_the_first_failure(spark):
     good, bad = reports.validate(spark.createDataFrame(rows, "latitude double, longitude double, contamination_type string"))
     assert good.count() == 1
     assert sorted(r.reject_reason for r in bad.collect()) == ["latitude out of range", "latitude out of range", "longitude out of range", "unknown contamination type"]
+
+
+@pytest.mark.parametrize("bands", [3, 4])
+def test_near_codes_lose_no_pair(spark, bands):
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(8)]
+    codes = sorted({b ^ sum(1 << x for x in rng.sample(range(64), rng.randrange(13))) for b in base for _ in range(12)})
+    signed = [c - (1 << 64) if c >> 63 else c for c in codes]
+    df = spark.createDataFrame([(c,) for c in signed], "code long")
+    got = {(r.a, r.b, r.d) for r in fingerprint.near_codes(df, df, 10, bands).collect()}
+    mask = (1 << 64) - 1
+    assert got == {(a, b, d) for a in signed for b in signed if (d := ((a ^ b) & mask).bit_count()) <= 10}
+    assert fingerprint.band_number(10_000, 10) == 4
+    assert fingerprint.band_number(10**9, 10) == 3
+
+
+def test_nearest_code_is_exact_beyond_the_sample(spark):
+    codes = "doc_id long, code long"
+    val, train = spark.createDataFrame([(0, 7), (1, -1)], codes), spark.createDataFrame([(10 + k, k << 20) for k in range(1, 60)] + [(100, 5), (101, 5)], codes)
+    got = {r.doc_id: (r.distance, r.nearest) for r in fingerprint.nearest_code(val, train, sample=1).collect()}
+    assert got[0] == (1, 100)
+    assert got[1][0] > 10
