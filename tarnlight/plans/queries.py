@@ -11,7 +11,8 @@ from tarnlight.functions import fixed as K
 from tarnlight.functions import rules as R
 from tarnlight.operators import alerts, curation, evaluate, fingerprint, photo, reports, satellite, spatial
 from tarnlight.plans.adapters import AS_OF, Tables, ctes
-from tarnlight.scratch import materialize
+from tarnlight.scratch import materialize, new_path
+from tarnlight.sources import tables
 from tarnlight.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -885,3 +886,117 @@ SELECT water_body_id, window_start, window_start + INTERVAL 7 DAY AS window_end,
 def weekly_snapshots(t: Tables) -> DataFrame:
     """H6"""
     return streams.weekly_snapshots(_scored(t))
+
+
+# tables (S1-S11): written from the given tables in the shared folder, then read by the reader in question
+
+
+@query(f"""WITH {ctes('v_bodies')}
+SELECT CAST(id AS VARCHAR) AS id, name, 'lake' AS type, coalesce(city, 'Bengaluru') AS city, coalesce(state, 'Karnataka') AS state, 0e0 AS current_risk_score, 'low' AS current_risk_level, 0 AS total_reports FROM v_bodies
+UNION ALL SELECT 'c' || c_custkey, c_name, coalesce(lower(c_mktsegment), 'lake'), 'Bengaluru', 'Karnataka', coalesce(c_acctbal, 0e0), 'low', 0 FROM customer""")
+def evolved_bodies(t: Tables) -> DataFrame:
+    """Files of one table that differ in their columns"""
+    path = new_path(t.spark, "bodies")
+    t["v_bodies"].select(F.col("id").cast("string"), "name", "latitude", "longitude", "city", "state").write.parquet(path)
+    later = t["customer"].select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_name").alias("name"), F.lower("c_mktsegment").alias("type"), F.col("c_acctbal").alias("current_risk_score"))
+    later.write.mode("append").parquet(path)
+    return tables.read_table(t.spark, path, "water_bodies").select("id", "name", "type", "city", "state", "current_risk_score", "current_risk_level", "total_reports")
+
+
+@query(f"""WITH {ctes('v_votes')} SELECT 'doc' || doc_id || '.jpg' AS image_id,
+ CASE doc_id % 6 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 3 THEN NULL ELSE {_MAJORITY} END AS label FROM v_votes""")
+def votes_from_csv(t: Tables) -> DataFrame:
+    """Names and labels found among a CSV's columns"""
+    path = new_path(t.spark, "votes")
+    consensus = F.expr("CASE doc_id % 6 WHEN 0 THEN '2' WHEN 1 THEN '1.0' WHEN 2 THEN 'EXCLUDE' WHEN 3 THEN '7' END")
+    t["v_votes"].select(F.format_string("doc%d.jpg", "doc_id").alias("filename"), consensus.alias("consensus_label"), *_ANNOTATORS).write.csv(path, header=True)
+    return tables.resolve_columns(tables.read_csv(t.spark, path)).select("image_id", "label")
+
+
+@query("""SELECT 'Lake ' || o_custkey AS lake, CASE WHEN o_orderpriority LIKE '1%' THEN 'unknown' ELSE o_orderpriority END AS category, strftime(o_orderdate, '%Y-%m') AS date,
+ (o_orderkey % 200 - 100) / 100e0 AS ndci_mean, o_orderkey % 3000 AS water_px, CASE WHEN o_orderpriority NOT LIKE '2%' THEN o_orderkey % 9 END AS n_scenes
+FROM orders WHERE o_orderstatus NOT IN ('F', 'P')""")
+def monthly_series_csv(t: Tables) -> DataFrame:
+    """A sorted CSV whose values are partly blank, 'None' or no numbers"""
+    path = new_path(t.spark, "series")
+    rows = t["orders"].selectExpr(
+        "concat('Lake ', o_custkey) AS lake", "CASE WHEN o_orderpriority NOT LIKE '1%' THEN o_orderpriority END AS category", "date_format(o_orderdate, 'yyyy-MM') AS date",
+        "CASE o_orderstatus WHEN 'F' THEN 'None' WHEN 'P' THEN if(o_orderkey % 2 = 0, '', 'n/a') ELSE CAST((o_orderkey % 200 - 100) / 100e0 AS STRING) END AS ndci_mean",
+        "o_orderkey % 3000 AS water_px", "CASE WHEN o_orderpriority LIKE '2%' THEN 'some' ELSE CAST(o_orderkey % 9 AS STRING) END AS n_scenes",
+    )
+    tables.write_sorted_csv(rows, path, "lake", "date")
+    return tables.read_ndci_monthly(t.spark, path)
+
+
+@query("SELECT 'source=' || source AS label, CAST(sum(coalesce(strlen(text), 0) + 1) AS BIGINT) AS bytes FROM documents GROUP BY 1")
+def labelled_files(t: Tables) -> DataFrame:
+    """Folders are labels; only text files count"""
+    path = new_path(t.spark, "files")
+    t["documents"].select("source", "text").write.partitionBy("source").text(path)
+    return tables.read_labelled_files(t.spark, path, ("txt",)).groupBy("label").agg(F.sum("length").alias("bytes"))
+
+
+@query(f"WITH {ctes('v_probs')} SELECT doc_id, p_polluted FROM v_probs")
+def cached_probabilities(t: Tables) -> DataFrame:
+    """Made once; what the second call would make is never asked for"""
+    path = new_path(t.spark, "probabilities")
+    made = t["v_probs"].select("doc_id", "p_polluted")
+    tables.load_or_compute(t.spark, path, lambda: made)
+    return tables.load_or_compute(t.spark, path, lambda: made.withColumn("p_polluted", -F.col("p_polluted")))
+
+
+@query(f"WITH {ctes('v_curation')} SELECT doc_id, label, hash FROM v_curation")
+def split_files(t: Tables) -> DataFrame:
+    """A folder for each label"""
+    path = new_path(t.spark, "split")
+    tables.write_split(t["v_curation"].select("doc_id", "label", "hash"), path, "label", "doc_id")
+    return t.spark.read.parquet(path).select("doc_id", "label", "hash")
+
+
+@query(f"""WITH {ctes('v_probs')} SELECT count(*) AS rows, CAST(sum(gt_binary) AS BIGINT) AS positive, max(p_polluted) AS highest, 'ok' AS status FROM v_probs
+UNION ALL SELECT NULL, NULL, NULL, 'NOT RUN'""")
+def stored_report(t: Tables) -> DataFrame:
+    """A report read back, and one that was never written"""
+    path, ddl = new_path(t.spark, "report"), "labels struct<rows:bigint,positive:bigint>, highest double"
+    tables.write_report(t["v_probs"].agg(F.struct(F.count("*").alias("rows"), F.sum("gt_binary").alias("positive")).alias("labels"), F.max("p_polluted").alias("highest")), path)
+    both = tables.read_report(t.spark, path, ddl).unionByName(tables.read_report(t.spark, f"{path}-absent", ddl))
+    return both.select("labels.rows", "labels.positive", "highest", "status")
+
+
+@query("SELECT c_name AS name, CASE WHEN c_nationkey < 10 THEN 'seed' ELSE 'new' END AS origin FROM customer")
+def appended_rows(t: Tables) -> DataFrame:
+    """All customers come, of whom some are there already"""
+    path, name = new_path(t.spark, "appended"), F.col("c_name").alias("name")
+    tables.append_new(t["customer"].where("c_nationkey < 10").select(name, F.lit("seed").alias("origin")), path, "name")
+    tables.append_new(t["customer"].select(name, F.lit("new").alias("origin")), path, "name")
+    return t.spark.read.parquet(path)
+
+
+# look-ups and payloads
+
+
+@query(SCORED + "SELECT report_id, water_body_id, score AS composite_score, level AS risk_level FROM scored WHERE report_id = 42")
+def report_by_id(t: Tables) -> DataFrame:
+    """One key is the feature"""
+    return reports.get_by_id(_scored(t), "report_id", 42).select("report_id", "water_body_id", "composite_score", "risk_level")
+
+
+@query(SCORED + """SELECT report_id, water_body_id, contamination_type, score AS composite_score, level AS risk_level, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created_at,
+ CASE WHEN foam_coverage_pct > 20 THEN 'live' ELSE 'pending' END AS status, CASE WHEN foam_coverage_pct > 20 THEN oil_coverage_pct / 10e0 END AS ndci,
+ CASE WHEN foam_coverage_pct > 20 THEN oil_coverage_pct > 3 END AS exceeds_clean_baseline, strftime(CASE WHEN foam_coverage_pct > 20 THEN created_at + INTERVAL 1 HOUR END, '%Y-%m-%dT%H:%M:%S') AS checked_at FROM scored""")
+def report_payloads(t: Tables) -> DataFrame:
+    """P5: with the nested verdict"""
+    seen = F.col("foam_coverage_pct") > 20
+    checked = _scored(t).withColumns({
+        "satellite_status": F.when(seen, "live").otherwise("pending"), "satellite_ndci": F.when(seen, F.col("oil_coverage_pct") / 10), "satellite_exceeds_clean_baseline": F.when(seen, F.col("oil_coverage_pct") > 3),
+        "satellite_checked_at": F.when(seen, F.col("created_at") + F.expr("INTERVAL 1 HOUR")), **{f"satellite_{c}": F.lit(None).cast("string") for c in ("spatial_confidence", "corroboration", "mode")},
+    })
+    out = reports.report_payload(checked)
+    return out.select("report_id", "water_body_id", "contamination_type", "composite_score", "risk_level", "created_at", *[F.col(f"satellite_verdict.{c}").alias(c) for c in ("status", "ndci", "exceeds_clean_baseline", "checked_at")])
+
+
+@query("SELECT doc_id, quality AS label FROM labels WHERE toxic = 0")
+def valid_labels(t: Tables) -> DataFrame:
+    """Labels as text; those of toxic documents are no number or no label"""
+    text = F.expr("CASE WHEN toxic = 1 THEN if(quality = 1, '3', 'x') WHEN quality = 1 THEN '1.0' ELSE '0' END")
+    return curation.valid_labels(t["labels"].select("doc_id", text.alias("label")), "label")
