@@ -53,11 +53,18 @@ def dominant_rgb(pixels: DataFrame, levels: int = 16) -> DataFrame:
 
 
 def detections(rows: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
-    """For each image the top detection, pollution confidence, summary and class counts."""
-    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "class", "confidence"))).alias("found"))
-    found = F.col("found")
-    top = R.top_detection(found)
-    return grouped.select(
-        key, F.size(found).alias("n"), top["class"].alias("top_class"), top["confidence"].alias("top_confidence"), R.pollution_confidence(found).alias("pollution_confidence"),
-        R.detection_summary(top, F.size(found)).alias("summary"), R.class_counts(found).alias("class_counts"),
+    """For each image the top detection, pollution confidence, summary and class counts.
+
+    Rows are added up by image and class first, so an image of very many detections is no one task's. A null confidence ranks
+    last, and a null class counts in ``n`` alone.
+    """
+    rank = F.coalesce(-F.col("confidence"), F.lit(float("inf")))  # of equal confidences the first
+    best = F.min(F.struct(rank.alias("_rank"), order, "class", "confidence"))
+    dirty = F.max(F.when(F.col("class").isin("polluted", "algae"), F.col("confidence")))
+    by_class = rows.groupBy(key, "class").agg(F.count("*").alias("_n"), best.alias("_best"), dirty.alias("_dirty"))
+    counts = F.array_sort(F.collect_list(F.when(F.col("class").isNotNull(), F.struct("class", "_n"))))  # as many as there are classes
+    n, top = F.sum("_n").cast("int"), F.min("_best")
+    return by_class.groupBy(key).agg(
+        n.alias("n"), top["class"].alias("top_class"), top["confidence"].alias("top_confidence"), F.coalesce(F.max("_dirty"), F.lit(0.0)).alias("pollution_confidence"),
+        R.detection_summary(top, n).alias("summary"), F.map_from_entries(counts).alias("class_counts"),
     )

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tarnlight.operators import alerts, curation, evaluate, fingerprint, reports, satellite, spatial
+from tarnlight.operators import alerts, curation, evaluate, fingerprint, photo, reports, satellite, spatial
 from tarnlight.operators.graph import connected_components
 
 
@@ -214,3 +214,16 @@ def test_nearest_code_is_exact_beyond_the_sample(spark):
     got = {r.doc_id: (r.distance, r.nearest) for r in fingerprint.nearest_code(val, train, sample=1).collect()}
     assert got[0] == (1, 100)
     assert got[1][0] > 10
+
+
+def test_detections_of_an_image(spark):
+    rows = spark.createDataFrame(
+        [(1, 2, "turbid", 0.8), (1, 1, "clean", 0.8), (1, 3, "polluted", 0.4), (1, 4, None, 0.1), (2, 1, "clean", None), (3, 1, None, 0.5)],
+        "conv_id int, turn int, class string, confidence double",
+    )
+    got = {r.conv_id: r for r in photo.detections(rows).collect()}
+    assert (got[1].n, got[1].top_class, got[1].top_confidence, got[1].pollution_confidence) == (4, "clean", 0.8, 0.4)
+    assert got[1].class_counts == {"clean": 1, "polluted": 1, "turbid": 1} and got[1].summary == "4 detections, top clean 80%"
+    assert (got[2].n, got[2].top_class, got[2].top_confidence, got[2].pollution_confidence) == (1, "clean", None, 0.0)
+    assert (got[3].top_class, got[3].class_counts) == (None, {})
+    assert photo.detections(rows.where("false")).count() == 0
