@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlight.llm import chat, decontaminate, fingerprints, importance, kneser_ney, mixing, secrets, simhash, token_counts, toxicity
+from tarnlight.llm import chat, decontaminate, fingerprints, hard_negatives, importance, kneser_ney, mixing, quality_rules, secrets, simhash, target_resampling, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": chat.query,
         "op9_token_counts": token_counts.query,
         "op10_importance_resampling": importance.query,
+        "op11_quality_rules": quality_rules.query,
+        "op12_target_resampling": target_resampling.query,
+        "op13_hard_negatives": hard_negatives.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mixture": mixing.sql(), "op5_decontamination": decontaminate.SQL, "op8_chat_format": chat.SQL}
+    return {"op4_source_mixture": mixing.sql(), "op5_decontamination": decontaminate.SQL, "op8_chat_format": chat.SQL, "op13_hard_negatives": hard_negatives.SQL}
