@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlight.functions import rules as R
@@ -59,15 +59,30 @@ def candidates(reports: DataFrame, bodies: DataFrame, authorities: DataFrame, le
         F.sha2(c("report_id").cast("string"), 256).alias("alert_id"), "report_id", "water_body_id", "authority_ord", "risk_level", "composite_score",
         F.lit("pending_review").alias("status"), subject(c("risk_level"), c("body_name"), sender).alias("subject"),
         body(c("authority"), c("body_name"), c("city"), c("state"), c("latitude"), c("longitude"), c("risk_level"), c("composite_score"), c("contamination_type"), satellite, c("created_at"), c("report_id"), notes).alias("body"),
-        F.when(c("authority_ord").isNull(), NO_AUTHORITY).alias("send_note"),
+        F.when(c("authority_ord").isNull(), NO_AUTHORITY).alias("send_note"), "created_at",
     )
 
 
-_STATE = "struct<status:string,recipient:bigint,note:string,errors:int>"
+#: What a run of commands does, told for each of the states it may begin with: the state after it, whether there is a
+#: recipient then, which recipient and note it has set (if any), and how many commands failed.
+_STATE = "struct<status:string,held:boolean,assigned:boolean,recipient:bigint,noted:boolean,note:string,errors:bigint>"
+STATUSES = ("pending_review", "sent", "dismissed")
+#: Commands of one alert that are folded at a time, and runs that are composed at a time.
+RUN = 1024
 
 
-def start_state(recipient: Column | None = None) -> Column:
-    return F.struct(F.lit("pending_review").alias("status"), (F.lit(None) if recipient is None else recipient).cast("bigint").alias("recipient"), F.lit(None).cast("string").alias("note"), F.lit(0).alias("errors")).cast(_STATE)
+def _state(status: Column, held: Column, assigned: Column, recipient: Column, noted: Column, note: Column, errors: Column) -> Column:
+    names = ("status", "held", "assigned", "recipient", "noted", "note", "errors")
+    return F.struct(*[c.alias(n) for c, n in zip((status, held, assigned, recipient, noted, note, errors), names, strict=True)]).cast(_STATE)
+
+
+def _begun(status: str, held: bool) -> Column:
+    none = F.lit(None)
+    return _state(F.lit(status), F.lit(held), F.lit(False), none, F.lit(False), none, F.lit(0))
+
+
+#: The states to begin with, in the order of a run's table.
+_BEGINNINGS = [(s, h) for s in STATUSES for h in (False, True)]
 
 
 def apply_command(s: Column, c: Column) -> Column:
@@ -76,20 +91,87 @@ def apply_command(s: Column, c: Column) -> Column:
     assign sets the recipient and clears the note. send: of a dismissed alert an error; of a sent one nothing; without a
     recipient an error; else sent with the dry-run note. dismiss overwrites any status with its reason.
     """
-    state = lambda status, recipient, note, errors: F.struct(status.alias("status"), recipient.alias("recipient"), note.alias("note"), errors.alias("errors")).cast(_STATE)
-    failed = state(s["status"], s["recipient"], s["note"], s["errors"] + 1)
-    none = F.lit(None).cast("string")
-    sent = F.when(s["status"] == "dismissed", failed).when(s["status"] == "sent", s).when(s["recipient"].isNull(), failed).otherwise(state(F.lit("sent"), s["recipient"], F.lit(DRY_RUN), s["errors"]))
+    failed = _state(s["status"], s["held"], s["assigned"], s["recipient"], s["noted"], s["note"], s["errors"] + 1)
+    sent = _state(F.lit("sent"), s["held"], s["assigned"], s["recipient"], F.lit(True), F.lit(DRY_RUN), s["errors"])
+    to = c["authority_id"].cast("bigint")
     return (
-        F.when(c["command"] == "assign", state(s["status"], c["authority_id"].cast("bigint"), none, s["errors"]))
-        .when(c["command"] == "send", sent)
-        .when(c["command"] == "dismiss", state(F.lit("dismissed"), s["recipient"], F.coalesce(c["reason"], F.lit("Dismissed")), s["errors"]))
+        F.when(c["command"] == "assign", _state(s["status"], to.isNotNull(), F.lit(True), to, F.lit(True), F.lit(None), s["errors"]))
+        .when((c["command"] == "send") & (s["status"] != "sent"), F.when((s["status"] == "dismissed") | ~s["held"], failed).otherwise(sent))
+        .when(c["command"] == "dismiss", _state(F.lit("dismissed"), s["held"], s["assigned"], s["recipient"], F.lit(True), F.coalesce(c["reason"], F.lit("Dismissed")), s["errors"]))
         .otherwise(s)
     )
 
 
+def _then(s: Column, table: Column) -> Column:
+    """The state after a run of commands, given by its table."""
+    place = F.array_position(F.lit(list(STATUSES)), s["status"]) * 2 - F.when(s["held"], 0).otherwise(1)
+
+    def follow(e: Column) -> Column:
+        recipient, note = F.when(e["assigned"], e["recipient"]).otherwise(s["recipient"]), F.when(e["noted"], e["note"]).otherwise(s["note"])
+        return _state(e["status"], e["held"], s["assigned"] | e["assigned"], recipient, s["noted"] | e["noted"], note, s["errors"] + e["errors"])
+
+    return R.let(F.element_at(table, place.cast("int")), follow)
+
+
+def run_table(commands: Column) -> Column:
+    """A run's table from its commands in order."""
+    return F.array(*[F.aggregate(commands, _begun(*b), apply_command) for b in _BEGINNINGS])
+
+
+def composed(tables: Column) -> Column:
+    """The table of runs one after the other; an associative product."""
+    return F.array(*[F.aggregate(tables, _begun(*b), _then) for b in _BEGINNINGS])
+
+
+def _final(table: Column) -> list[Column]:
+    first = table[0]  # pending, without a recipient
+    return [first["status"].alias("status"), first["recipient"].alias("recipient"), first["note"].alias("note"), first["errors"].cast("int").alias("errors")]
+
+
 def fold(commands: DataFrame, key: str = "alert_id", order: str = "seq") -> DataFrame:
-    """The state of each alert after its commands in order."""
-    sorted_ = F.array_sort(F.collect_list(F.struct(order, "command", "authority_id", "reason")))
-    folded = commands.groupBy(key).agg(F.aggregate(sorted_, start_state(), apply_command).alias("s"))
-    return folded.select(key, "s.status", "s.recipient", "s.note", "s.errors")
+    """The state of each alert after its commands in order.
+
+    ``order`` numbers an alert's commands. RUN numbers in a row make a run, which one group folds into a table of fixed size;
+    RUN runs in a row are composed into one, until an alert has one. So an alert's commands are dealt over tasks however many
+    they are, and no group is larger than RUN numbers. Commands with one number go by command, authority and reason; commands
+    without a number come first. An alert's key may be null.
+    """
+    number = F.coalesce(F.col(order).cast("bigint"), F.lit(-(1 << 62)))
+    sorted_ = F.array_sort(F.collect_list(F.struct(F.coalesce(F.col(order).cast("bigint"), F.lit(-(1 << 62))).alias("n"), "command", "authority_id", "reason")))
+    span = commands.agg(F.min(order).cast("bigint"), F.max(order).cast("bigint")).first()
+    low, high = (span[0] or 0), (span[1] or 0)
+    run = F.floor((F.greatest(number, F.lit(low)) - low) / RUN)
+    level = commands.groupBy(key, run.alias("run")).agg(run_table(sorted_).alias("t"))
+    n = (high - low) // RUN + 1
+    while n > 1:
+        in_order = F.transform(F.array_sort(F.collect_list(F.struct("run", "t"))), lambda x: x["t"])
+        level = level.groupBy(key, F.floor(F.col("run") / RUN).alias("run")).agg(composed(in_order).alias("t"))
+        n = -(-n // RUN)
+    return level.select(key, *_final(F.col("t")))
+
+
+def payload(alerts: DataFrame, authorities: DataFrame) -> DataFrame:
+    """An alert as one JSON text, with the authority's name and address; times in ISO 8601, absent values as nulls."""
+    held = authorities.select(F.col("ord").alias("authority_ord"), *[F.col(c) if c in authorities.columns else F.lit(None).cast("string").alias(c) for c in ("name", "email")])
+    held = held.withColumnsRenamed({"name": "authority", "email": "recipient"})
+    joined = alerts.join(held, "authority_ord", "left")
+    has = lambda c, kind="string": F.col(c) if c in alerts.columns else F.lit(None).cast(kind).alias(c)
+    at = lambda c: F.date_format(F.col(c), "yyyy-MM-dd'T'HH:mm:ss").alias(c) if c in alerts.columns else F.lit(None).cast("string").alias(c)
+    fields = [
+        F.col("alert_id").alias("id"), "report_id", "water_body_id", F.col("authority_ord").alias("authority_id"), "recipient", "risk_level", "composite_score",
+        has("satellite_corroboration"), "status", F.lit("email").alias("channel"), "subject", "body", has("send_note"), at("created_at"), at("sent_at"),
+    ]
+    return joined.select("alert_id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("payload"))
+
+
+def list_alerts(alerts: DataFrame, status: str | None = None, limit: int = 50) -> DataFrame:
+    """The newest alerts of a status (of any if None) with ``total``, the number of rows listed. A page of 1 to 200 rows."""
+    kept = alerts if status is None else alerts.where(F.col("status") == status)
+    page = kept.orderBy(F.col("created_at").desc(), "alert_id").limit(max(1, min(limit, 200)))
+    return page.withColumn("total", F.count("*").over(Window.partitionBy()))
+
+
+def list_authorities(authorities: DataFrame) -> DataFrame:
+    """All authorities in their order, each with the number of all."""
+    total = authorities.agg(F.count("*").alias("total"))
+    return authorities.crossJoin(F.broadcast(total)).orderBy("ord")  # one row

@@ -156,6 +156,25 @@ def latest_report(reports: DataFrame) -> DataFrame:
     return reports.groupBy("water_body_id").agg(F.max_by(latest, F.struct("created_at", "report_id")).alias("latest_analysis"))
 
 
+def page_after(df: DataFrame, order: str, after: tuple | None = None, limit: int = 20, most: int = 100, tie: str = "report_id") -> tuple[DataFrame, tuple | None]:
+    """W2 by a cursor: the rows that come after ``after``, newest first, and the cursor of the next page (None after the last).
+
+    ``after`` is (order, id) of the last row that was seen, None for the first page. It filters before anything is ordered, so
+    a late page costs what the first one does, and rows added meanwhile shift no page. Rows without an order or id are on none.
+    ``total`` is the number of all rows of the list, with those of other pages.
+    """
+    keyed = df.where(F.col(order).isNotNull() & F.col(tie).isNotNull())
+    n = max(1, min(limit, most))
+    rest = keyed
+    if after is not None:
+        at, last = (F.lit(v).cast(keyed.schema[c].dataType) for v, c in zip(after, (order, tie), strict=True))
+        rest = keyed.where((F.col(order) < at) | ((F.col(order) == at) & (F.col(tie) < last)))
+    rows = rest.orderBy(F.col(order).desc(), F.col(tie).desc()).limit(n)
+    total = keyed.agg(F.count("*").alias("total"))
+    ends = rows.agg(F.count("*"), F.min(F.struct(order, tie))).first()
+    return rows.crossJoin(F.broadcast(total)), tuple(ends[1]) if ends[0] == n else None  # one row
+
+
 def page(df: DataFrame, order: str, limit: int = 20, offset: int = 0, most: int = 100, tie: str = "report_id") -> DataFrame:
     """Newest first; the limit is held to [1, most] and a negative offset is 0. Ties go by id."""
     return df.orderBy(F.desc(order), F.desc(tie)).offset(max(0, offset)).limit(min(most, max(1, limit)))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tarnlight.functions import fixed as K
 from tarnlight.functions import rules as R
-from tarnlight.scratch import materialize, temporary
+from tarnlight.scratch import drop, materialize, temporary
 
-_METRES = math.pi * K.EARTH_RADIUS / 180
+METRES = math.pi * K.EARTH_RADIUS / 180
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -20,16 +20,25 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return F.lit(2 * K.EARTH_RADIUS) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
-def _row(lat: Column, radius: float) -> Column:
-    return F.floor(lat * F.lit(_METRES / radius))
+def cell_row(lat: Column, size: float) -> Column:
+    return F.floor(lat * F.lit(METRES / size)).cast("bigint")
+
+
+def _columns(row: Column, size: float) -> Column:
+    """How many cells a row has: each at least ``size`` metres wide where the row is widest in degrees."""
+    edge = F.least(F.lit(89.0), F.greatest(F.abs(row), F.abs(row + 1)) * F.lit(size / METRES))
+    width = F.lit(size / METRES) / F.cos(F.radians(edge))
+    return F.greatest(F.lit(1), F.floor(F.lit(360.0) / width))
+
+
+def cell_column(row: Column, lon: Column, size: float) -> Column:
+    n = _columns(row, size)
+    return F.pmod(F.floor(F.pmod(lon + 180.0, F.lit(360.0)) / 360.0 * n), n).cast("bigint")
 
 
 def _cells(row: Column, lon: Column, radius: float, around: bool) -> Column:
-    """Cells of a row of latitudes, at least ``radius`` wide where the row is widest in degrees; around: with neighbours."""
-    edge = F.least(F.lit(89.0), F.greatest(F.abs(row), F.abs(row + 1)) * F.lit(radius / _METRES))
-    width = F.lit(radius / _METRES) / F.cos(F.radians(edge))
-    n = F.greatest(F.lit(1), F.floor(F.lit(360.0) / width))
-    at = F.floor((F.pmod(lon + 180.0, F.lit(360.0))) / 360.0 * n)
+    """The cell of a row that a longitude lies in; around: with its neighbours."""
+    n, at = _columns(row, radius), cell_column(row, lon, radius)
     columns = F.array(*[F.pmod(at + d, n) for d in ((-1, 0, 1) if around else (0,))])
     return F.transform(F.array_distinct(columns), lambda c: F.struct(row.cast("bigint").alias("row"), c.cast("bigint").alias("col")))
 
@@ -37,7 +46,7 @@ def _cells(row: Column, lon: Column, radius: float, around: bool) -> Column:
 def with_cells(df: DataFrame, radius: float, around: bool = False) -> DataFrame:
     """A row for each cell: the own one, or those that anything within ``radius`` metres can lie in."""
     lat, lon = F.col("latitude"), F.col("longitude")
-    rows = F.array(*[_row(lat, radius) + d for d in ((-1, 0, 1) if around else (0,))])
+    rows = F.array(*[cell_row(lat, radius) + d for d in ((-1, 0, 1) if around else (0,))])
     return df.withColumn("cell", F.explode(F.array_distinct(F.flatten(F.transform(rows, lambda r: _cells(r, lon, radius, around))))))
 
 
@@ -53,78 +62,62 @@ def within_radius(points: DataFrame, others: DataFrame, radius: float) -> DataFr
     return met.where(F.col("distance") <= radius)
 
 
-def nearest_within(reports: DataFrame, bodies: DataFrame, radius: float = K.MATCH_RADIUS, key: str = "report_id") -> DataFrame:
+def nearest_within(reports: DataFrame, bodies: DataFrame, radius: float = K.MATCH_RADIUS, key: str | tuple[str, ...] = "report_id") -> DataFrame:
     """(key, body_id, distance) of the nearest body, of equally near ones the smallest id. No match: no row."""
-    met = within_radius(reports.select(key, "latitude", "longitude"), bodies.select("id", "latitude", "longitude"), radius)
-    best = met.groupBy(key).agg(F.min(F.struct("distance", F.col("o_id").alias("id"))).alias("m"))
-    return best.select(key, F.col("m.id").alias("body_id"), F.col("m.distance").alias("distance"))
+    keys = [key] if isinstance(key, str) else list(key)
+    met = within_radius(reports.select(*dict.fromkeys([*keys, "latitude", "longitude"])), bodies.select("id", "latitude", "longitude"), radius)
+    best = met.groupBy(*keys).agg(F.min(F.struct("distance", F.col("o_id").alias("id"))).alias("m"))
+    return best.select(*keys, F.col("m.id").alias("body_id"), F.col("m.distance").alias("distance"))
 
 
-def _founders(places: DataFrame, near: DataFrame) -> DataFrame:
-    """Of ``places`` (report_id) those that no earlier founder lies near, given ``near`` (report_id, o_report_id, the earlier).
-
-    In rounds: places without an earlier undecided one near are founders, what lies near them and after them follows, and both
-    leave. The earliest place left is always one of them, so the rounds end; no task holds a group of places.
-    """
-    undecided, edges, found = places, near.select("report_id", "o_report_id"), []
-    while True:
-        free = materialize(undecided.join(edges.select("report_id"), "report_id", "left_anti"), "founders")
-        found.append(free)
-        if free.limit(1).count() == 0:
-            break
-        followers = edges.join(free.select(F.col("report_id").alias("o_report_id")), "o_report_id", "left_semi").select("report_id").distinct()
-        gone = materialize(free.unionByName(followers), "decided")
-        undecided = materialize(undecided.join(gone, "report_id", "left_anti"), "undecided")
-        edges = edges.join(gone, "report_id", "left_anti").join(gone.select(F.col("report_id").alias("o_report_id")), "o_report_id", "left_anti")
-        edges = materialize(edges, "open")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+def _turn(age: int, created_at: Column, report_id: Column) -> Column:
+    """The order in which places found bodies: those made before all of these, then by time and report."""
+    return F.struct(F.lit(age).alias("age"), created_at.alias("created_at"), report_id.alias("report_id"), F.col("latitude"), F.col("longitude"))
 
 
 def create_on_miss(misses: DataFrame, made: DataFrame | None = None) -> DataFrame:
-    """(report_id, founder, distance): the miss whose report made the body that each miss belongs to.
+    """(latitude, longitude, founder, founder_latitude, founder_longitude, distance), a row for each distinct place of ``misses``.
 
     In the order of created_at and report_id, each miss joins the nearest body made before it within the radius, or makes
-    one. ``made`` (founder, latitude, longitude) are bodies that were made before all of these. Misses at one place are one
-    row here, led by the earliest.
+    one; ``founder`` is the report that made it. ``made`` (founder, latitude, longitude) are bodies that were made before all
+    of these. Misses at one place are led by the earliest.
     """
+    from tarnlight.operators.founders import choose
+
     with temporary(misses.sparkSession):
         led = misses.groupBy("latitude", "longitude").agg(F.min(F.struct("created_at", "report_id")).alias("first"))
-        places = materialize(led.select("latitude", "longitude", "first.created_at", "first.report_id"), "places")
-        near = within_radius(places, places, K.MATCH_RADIUS).where(F.struct("o_created_at", "o_report_id") < F.struct("created_at", "report_id"))
-        near = materialize(near.select("report_id", "o_report_id", "distance"), "near")
-        open_, edges = places.select("report_id"), near
+        places = materialize(led.select("latitude", "longitude", _turn(1, F.col("first.created_at"), F.col("first.report_id")).alias("at")), "places")
         if made is not None:
-            known = within_radius(places, made.select(F.col("founder").alias("report_id"), "latitude", "longitude"), K.MATCH_RADIUS)
-            known = materialize(known.select("report_id", "o_report_id", "distance"), "known")
-            open_ = open_.join(known, "report_id", "left_anti")
-            # a place near a body made before is no founder, so it keeps nobody from being one
-            edges = edges.join(open_, "report_id", "left_semi").join(open_.select(F.col("report_id").alias("o_report_id")), "o_report_id", "left_semi")
-        founders = _founders(open_, edges)
-        choices = near.join(founders.select(F.col("report_id").alias("o_report_id")), "o_report_id", "left_semi").select("report_id", "o_report_id", "distance")
-        choices = choices if made is None else choices.unionByName(known)
-        best = choices.groupBy("report_id").agg(F.min(F.struct("distance", "o_report_id")).alias("m"))
-        done = places.join(best, "report_id", "left").select(
-            "latitude", "longitude", F.coalesce("m.o_report_id", "report_id").alias("founder"), F.coalesce("m.distance", F.lit(0.0)).alias("distance")
-        )
-        return materialize(misses.join(done, ["latitude", "longitude"]).select("report_id", "founder", "distance"), "made", keep=True)
+            kinds = dict(places.select("at.created_at", "at.report_id").dtypes)
+            made = made.select("latitude", "longitude", _turn(0, F.lit(None).cast(kinds["created_at"]), F.col("founder").cast(kinds["report_id"])).alias("at"))
+        founders, _ = choose(places, made)
+        met = within_radius(places, founders, K.MATCH_RADIUS).where(F.col("o_at") <= F.col("at"))
+        best = met.groupBy("latitude", "longitude").agg(F.min(F.struct("distance", "o_at")).alias("m"))
+        best = best.select("latitude", "longitude", F.col("m.o_at").alias("o"), F.col("m.distance").alias("distance"))
+        out = best.select("latitude", "longitude", F.col("o.report_id").alias("founder"), F.col("o.latitude").alias("founder_latitude"), F.col("o.longitude").alias("founder_longitude"), "distance")
+        return materialize(out, "made", keep=True)
 
 
 def resolve_bodies(reports: DataFrame, bodies: DataFrame, made: DataFrame | None = None) -> DataFrame:
-    """J1 then J2: (report_id, body_id, body_name, distance); new bodies have the id ``new-`` and their founder's report id.
+    """J1 then J2: ``reports`` with body_id, body_name, distance, founder_latitude and founder_longitude; a row for each row.
 
-    ``made`` (founder, latitude, longitude, body_name) are bodies made from earlier reports.
+    New bodies have the id ``new-`` and their founder's report id, and their founder's place; known ones no such place. Places
+    are matched once, however many reports lie at one. Reports without a place on earth stay, without a body. Of reports that
+    repeat an id each is matched by its own place. ``made`` (founder, latitude, longitude) are bodies made from earlier reports.
     """
-    hit = nearest_within(reports, bodies).join(bodies.select(F.col("id").alias("body_id"), F.col("name").alias("body_name")), "body_id")
-    misses = reports.join(hit.select("report_id"), "report_id", "left_anti")
-    found = create_on_miss(misses.select("report_id", "latitude", "longitude", "created_at"), made)
-    at = misses.select(F.col("report_id").alias("founder"), R.unnamed(F.col("latitude"), F.col("longitude")).alias("body_name"))
-    at = at if made is None else at.unionByName(made.select("founder", "body_name"))
-    new = found.join(at, "founder").select("report_id", F.concat(F.lit("new-"), F.col("founder").cast("string")).alias("body_id"), "body_name", "distance")
-    return hit.select("report_id", F.col("body_id").cast("string").alias("body_id"), "body_name", "distance").unionByName(new)
-
+    on_earth = F.col("latitude").between(-90, 90) & F.col("longitude").between(-180, 180)
+    at = ["latitude", "longitude"]
+    led = reports.where(on_earth).groupBy(*at).agg(F.min(F.struct("created_at", "report_id")).alias("first")).select(*at, "first.*")
+    led = materialize(led, "places", keep=True)
+    hit = nearest_within(led, bodies, key=("latitude", "longitude")).join(bodies.select(F.col("id").alias("body_id"), F.col("name").alias("body_name")), "body_id")
+    hit = materialize(hit.select(*at, F.col("body_id").cast("string").alias("body_id"), "body_name", "distance"), "hits", keep=True)
+    new = create_on_miss(led.join(hit, at, "left_anti"), made)
+    new = new.select(
+        *at, F.concat(F.lit("new-"), F.col("founder").cast("string")).alias("body_id"), R.unnamed(F.col("founder_latitude"), F.col("founder_longitude")).alias("body_name"),
+        "distance", "founder_latitude", "founder_longitude",
+    )
+    drop(led)
+    return reports.join(hit.unionByName(new, allowMissingColumns=True), at, "left").select(*reports.columns, "body_id", "body_name", "distance", "founder_latitude", "founder_longitude")
 
 
 def point_metrics(points: DataFrame, pixels: DataFrame, as_of: str, lookback: int = K.LOOKBACK_DAYS, max_cloud: float = 80) -> DataFrame:

@@ -13,7 +13,7 @@ from tarnlight.operators import alerts, curation, evaluate, fingerprint, photo,
 from tarnlight.plans.adapters import AS_OF, Tables, ctes
 from tarnlight.scratch import materialize, new_path
 from tarnlight.sources import tables
-from tarnlight.streaming import streams
+from tarnlight.streaming import state, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -229,6 +229,25 @@ def report_page(t: Tables) -> DataFrame:
     return reports.page(_scored(t).select("report_id", "composite_score", "created_at"), "created_at", 500, 40)
 
 
+@query(SCORED + "SELECT report_id, score AS composite_score, created_at, (SELECT count(*) FROM scored) AS total FROM scored ORDER BY created_at DESC, report_id DESC LIMIT 100 OFFSET 200")
+def report_page_by_cursor(t: Tables) -> DataFrame:
+    """The third page, reached by the cursors of the first two"""
+    rows, cursor = _scored(t).select("report_id", "composite_score", "created_at"), None
+    for _ in range(2):
+        _, cursor = reports.page_after(rows, "created_at", cursor, 100)
+    return reports.page_after(rows, "created_at", cursor, 100)[0]
+
+
+@query(SCORED + """SELECT water_body_id::VARCHAR AS water_body_id, count(*) AS total_reports, max(created_at) AS last_report_at,
+ arg_max(score, (created_at, report_id)) AS current_risk_score, arg_max(level, (created_at, report_id)) AS current_risk_level FROM scored GROUP BY 1""")
+def kept_body_state(t: Tables) -> DataFrame:
+    """The state after three batches, the second of them taken in twice"""
+    path, rows = new_path(t.spark, "state"), materialize(_scored(t).select("report_id", "water_body_id", "created_at", "composite_score", "risk_level"), "scored")
+    for k in (0, 1, 1, 2):
+        state.merge_batch(rows.where(F.pmod("report_id", F.lit(3)) == k), path, k)
+    return state.current_state(t.spark, path).withColumn("last_report_at", F.col("last_report_at").cast(rows.schema["created_at"].dataType))
+
+
 @query(SCORED + f"""SELECT water_body_id, strftime(created_at, '%Y-%m-%d') AS date, score AS risk_score FROM scored WHERE created_at >= {_AS_OF} - INTERVAL 10 DAY""")
 def risk_history(t: Tables) -> DataFrame:
     """W4"""
@@ -271,10 +290,24 @@ def nearest_body(t: Tables) -> DataFrame:
     return spatial.nearest_within(t["v_reports"], t["v_bodies"]).withColumn("distance", F.round("distance", 1))
 
 
-@query()
+_FOUNDED = _HAV(a="f.latitude", b="f.longitude", c="m.latitude", d="m.longitude")
+
+
+# places without a known body near, in their turn; those of the reports that found a body are gathered one step after the other
+@query(f"""WITH RECURSIVE {ctes('v_reports', 'v_bodies')}, d AS (SELECT report_id, b.id, b.name, {_D} AS distance FROM v_reports r JOIN v_bodies b ON abs(r.latitude - b.latitude) < 0.01e0 AND {_D} <= 500),
+hit AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY distance, id) AS k FROM d),
+led AS (SELECT latitude, longitude, min((created_at, report_id)) AS first FROM v_reports WHERE report_id NOT IN (SELECT report_id FROM hit) GROUP BY 1, 2),
+m AS (SELECT latitude, longitude, first[2] AS report_id, row_number() OVER (ORDER BY first, latitude, longitude) AS n FROM led),
+w AS (SELECT 0::BIGINT AS n, []::STRUCT(n BIGINT, report_id BIGINT, latitude DOUBLE, longitude DOUBLE)[] AS made UNION ALL
+ SELECT m.n, CASE WHEN len(list_filter(w.made, lambda f: {_FOUNDED} <= 500)) > 0 THEN w.made ELSE list_append(w.made, {{'n': m.n, 'report_id': m.report_id, 'latitude': m.latitude, 'longitude': m.longitude}}) END FROM w JOIN m ON m.n = w.n + 1),
+f AS (SELECT unnest(made, recursive := true) FROM (SELECT made FROM w ORDER BY n DESC LIMIT 1)),
+near AS (SELECT m.latitude, m.longitude, f.report_id AS founder, f.latitude AS flat, f.longitude AS flon, {_FOUNDED} AS distance, row_number() OVER (PARTITION BY m.latitude, m.longitude ORDER BY {_FOUNDED}, f.n) AS k FROM m JOIN f ON f.n <= m.n AND {_FOUNDED} <= 500)
+SELECT report_id, id::VARCHAR AS body_id, name AS body_name, round(distance, 1) AS distance FROM hit WHERE k = 1
+UNION ALL SELECT r.report_id, 'new-' || founder, printf('Unnamed Water Body (%.4f, %.4f)', flat, flon), round(distance, 1) FROM v_reports r JOIN near ON near.latitude = r.latitude AND near.longitude = r.longitude AND k = 1
+WHERE r.report_id NOT IN (SELECT report_id FROM hit)""")
 def resolved_bodies(t: Tables) -> DataFrame:
-    """Order decides, so it is tested against a loop"""
-    return spatial.resolve_bodies(t["v_reports"], t["v_bodies"]).withColumn("distance", F.round("distance", 1))
+    """J2, J1"""
+    return spatial.resolve_bodies(t["v_reports"], t["v_bodies"]).select("report_id", "body_id", "body_name", F.round("distance", 1).alias("distance"))
 
 
 def _located_pixels(t: Tables) -> DataFrame:
@@ -821,9 +854,40 @@ def matched_authority(t: Tables) -> DataFrame:
 FROM scored s JOIN v_bodies b ON b.id = s.water_body_id JOIN ma ON ma.id = b.id JOIN v_authorities a ON a.ord = authority_ord WHERE level = 'high'""")
 def alert_candidates(t: Tables) -> DataFrame:
     """H2, F22, F23, P7"""
+    return alerts.candidates(_scored(t), t["v_bodies"], t["v_authorities"]).drop("created_at")
+
+
+def _alerts(t: Tables) -> DataFrame:
     return alerts.candidates(_scored(t), t["v_bodies"], t["v_authorities"])
 
 
+_ALERTS = SCORED + f""", {ctes('v_authorities')}, {MATCHED_AUTHORITY}, al AS (SELECT sha256(report_id::VARCHAR) AS alert_id, s.*, ma.authority_ord, a.name AS authority
+ FROM scored s JOIN v_bodies b ON b.id = s.water_body_id JOIN ma ON ma.id = b.id LEFT JOIN v_authorities a ON a.ord = authority_ord WHERE level = 'high')"""
+
+
+@query(_ALERTS + """ SELECT alert_id, report_id, status, created_at, count(*) OVER () AS total FROM (SELECT *, 'pending_review' AS status FROM al ORDER BY created_at DESC, alert_id LIMIT 200) x""")
+def alert_list(t: Tables) -> DataFrame:
+    """A page's limit is a feature; 500 are asked for and 200 are the most"""
+    return alerts.list_alerts(_alerts(t), "pending_review", 500).select("alert_id", "report_id", "status", "created_at", "total")
+
+
+_PAYLOAD = {"id": "alert_id", "report_id": "report_id::VARCHAR", "water_body_id": "water_body_id::VARCHAR", "authority_id": "authority_ord::VARCHAR", "recipient": "NULL::VARCHAR", "risk_level": "level",
+ "composite_score": "printf('%.1f', score)", "status": "'pending_review'", "channel": "'email'", "created_at": "strftime(created_at, '%Y-%m-%dT%H:%M:%S')", "sent_at": "NULL::VARCHAR", "satellite_corroboration": "NULL::VARCHAR"}
+
+
+@query(_ALERTS + " SELECT " + ", ".join(f"{v} AS {k}" for k, v in _PAYLOAD.items()) + " FROM al")
+def alert_payloads(t: Tables) -> DataFrame:
+    """The fields of each alert's JSON text, read back"""
+    made = alerts.payload(_alerts(t), t["v_authorities"])
+    return made.select(*[F.get_json_object("payload", f"$.{k}").alias(k) for k in _PAYLOAD])
+
+
+@query(f"WITH {ctes('v_authorities')} SELECT ord, name, jurisdiction, is_default, count(*) OVER () AS total FROM v_authorities")
+def authority_list(t: Tables) -> DataFrame:
+    """P7"""
+    return alerts.list_authorities(t["v_authorities"]).select("ord", "name", "jurisdiction", "is_default", "total")
+
+
 @query(f"""WITH RECURSIVE {ctes('v_commands')}, f AS (
  SELECT DISTINCT alert_id, 0 AS seq, 'pending_review' AS status, CAST(NULL AS BIGINT) AS recipient, CAST(NULL AS VARCHAR) AS note, 0 AS errors FROM v_commands
  UNION ALL SELECT f.alert_id, c.seq,

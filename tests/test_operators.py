@@ -1,5 +1,6 @@
 """Operators against loops on small tables."""
 
+import json
 import math
 import random
 from datetime import datetime, timedelta
@@ -7,8 +8,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tarnlight.operators import alerts, curation, evaluate, fingerprint, photo, reports, satellite, spatial
+from tarnlight.operators import alerts, curation, evaluate, fingerprint, founders, photo, reports, satellite, spatial
 from tarnlight.operators.graph import connected_components
+from tarnlight.streaming import alert_states
 
 
 def metres(a, b):
@@ -56,6 +58,48 @@ def test_resolve_bodies_follows_the_order_of_reports(spark):
     assert {r.report_id: r.body_id for r in got.collect()} == want
 
 
+def test_resolve_bodies_keeps_each_row_once(spark):
+    """Repeated ids, repeated places, places that are null or not on earth."""
+    at = datetime(2024, 1, 1)
+    rows = [(1, 10.0, 20.0, at), (1, 10.0, 20.0, at), (2, 10.0, 20.0, at), (3, None, 20.0, at), (4, 10.001, 20.0, None), (5, float("nan"), 20.0, at), (6, 95.0, 20.0, at), (None, 50.0, 20.0, at), (1, 10.0, 20.001, at), (7, -0.0, 180.0, at), (8, 0.0, -179.9999, at)]
+    bodies = spark.createDataFrame([], "id long, name string, latitude double, longitude double")
+    got = spatial.resolve_bodies(spark.createDataFrame(rows, "report_id long, latitude double, longitude double, created_at timestamp"), bodies)
+    pairs = sorted(((r.report_id, r.body_id) for r in got.collect()), key=str)
+    assert pairs == sorted([(1, "new-4"), (1, "new-4"), (1, "new-4"), (2, "new-4"), (3, None), (4, "new-4"), (5, None), (6, None), (None, None), (7, "new-7"), (8, "new-7")], key=str)
+
+
+def _in_turn(places):
+    made = []
+    for p in places:
+        if all(metres(p, q) > 500 for q in made):
+            made.append(p)
+    return set(made)
+
+
+def _founders(spark, places, tile, made=()):
+    schema = "latitude double, longitude double, at struct<age:int,n:int>"
+    rows = [(float(y), float(x), (1, n)) for n, (y, x) in enumerate(places)]
+    before = spark.createDataFrame([(float(y), float(x), (0, n)) for n, (y, x) in enumerate(made)], schema) if made else None
+    found, rounds = founders.choose(spark.createDataFrame(rows, schema), before, tile=tile)
+    return {(r.latitude, r.longitude) for r in found.where("at.age = 1").collect()}, rounds
+
+
+def test_founders_of_a_chain_take_rounds_by_tiles_crossed(spark):
+    chain = [(10.0 + 0.0036 * i, 20.0) for i in range(1000)]  # 400 m each: 400 km
+    got, rounds = _founders(spark, chain, 60_000.0)
+    assert got == _in_turn(chain) == set(chain[::2])
+    assert 2 <= rounds <= 400 // 60 + 2
+
+
+def test_founders_across_tiles_in_any_order(spark):
+    rng = random.Random(8)
+    for middle in ((0.0, 180.0), (60.0, 20.0)):
+        places = [(middle[0] + rng.uniform(-0.03, 0.03), (middle[1] + rng.uniform(-0.03, 0.03) + 180) % 360 - 180) for _ in range(500)]
+        assert _founders(spark, places, 1500.0)[0] == _in_turn(places)
+        known = places[:40:9]
+        assert _founders(spark, places[40:], 1500.0, known)[0] == _in_turn(list(known) + places[40:]) - set(known)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(120)] + [(7, 7), (None, 3)]
@@ -161,6 +205,58 @@ def test_alert_commands(spark):
     assert got == {"a": ("pending_review", None, 1), "b": ("sent", 5, 0), "c": ("dismissed", 4, 1), "d": ("dismissed", 1, 0)}
 
 
+@pytest.mark.parametrize("run", [2, 5, 1024])
+def test_fold_by_runs_equals_a_loop(spark, run, monkeypatch):
+    monkeypatch.setattr(alerts, "RUN", run)
+    rng = random.Random(run)
+    rows = [(a, n, rng.choice(["assign", "send", "dismiss", "send", "odd"]), rng.choice([None, 1, 2]), rng.choice([None, "why"])) for a in range(30) for n in rng.sample(range(40), rng.randrange(1, 30))]
+    want = {}
+    for a, _, *c in sorted(rows, key=lambda r: r[:2]):
+        want[a] = alert_states.step(want.get(a, ("pending_review", None, None, 0)), c[0], c[1], c[2])
+    rng.shuffle(rows)
+    got = alerts.fold(spark.createDataFrame(rows, "alert_id int, seq int, command string, authority_id int, reason string"))
+    assert {r.alert_id: (r.status, r.recipient, r.note, r.errors) for r in got.collect()} == want
+    assert alerts.fold(spark.createDataFrame([], "alert_id int, seq int, command string, authority_id int, reason string")).count() == 0
+
+
+def test_fold_of_one_alert_with_a_million_commands(spark):
+    n, some = 1_000_000, F.col("id") % 4
+    kind = F.when(some == 0, "assign").when(some == 3, F.when(F.col("id") == 700_003, "dismiss").otherwise("other")).otherwise("send")
+    rows = spark.range(n, numPartitions=8).select(F.lit("a").alias("alert_id"), F.col("id").alias("seq"), kind.alias("command"), (F.col("id") % 9).alias("authority_id"), F.lit(None).cast("string").alias("reason"))
+    r = alerts.fold(rows).first()
+    # the first send succeeds; after the dismissal every send fails
+    assert (r.status, r.recipient, r.note, r.errors) == ("dismissed", (n - 4) % 9, None, sum(i % 4 in (1, 2) for i in range(700_004, n)))
+
+
+def test_alert_lists_and_payloads(spark):
+    rows = [(f"a{i}", i, 1, i % 2, "high", 50.5, "pending_review" if i % 3 else "sent", "s", "b", None, datetime(2024, 1, 1 + i % 5)) for i in range(300)]
+    made = spark.createDataFrame(rows, "alert_id string, report_id long, water_body_id long, authority_ord int, risk_level string, composite_score double, status string, subject string, body string, send_note string, created_at timestamp")
+    page = alerts.list_alerts(made, "sent", 1000).collect()
+    assert [(r.created_at, r.alert_id) for r in page] == sorted(((r[10], r[0]) for r in rows if r[6] == "sent"), key=lambda x: (-x[0].day, x[1])) and {r.total for r in page} == {100}
+    assert [r.total for r in alerts.list_alerts(made, None, 0).collect()] == [1] and alerts.list_alerts(made, None, 999).count() == 200
+    who = spark.createDataFrame([(0, "Board", "x@y.z")], "ord int, name string, email string")
+    got = {r.alert_id: json.loads(r.payload) for r in alerts.payload(made, who).collect()}
+    assert got["a0"]["recipient"] == "x@y.z" and got["a1"]["recipient"] is None and got["a1"]["authority_id"] == 1 and got["a4"]["created_at"] == "2024-01-05T00:00:00" and got["a4"]["sent_at"] is None
+    assert list(got["a0"]) == ["id", "report_id", "water_body_id", "authority_id", "recipient", "risk_level", "composite_score", "satellite_corroboration", "status", "channel", "subject", "body", "send_note", "created_at", "sent_at"]
+    assert [(r.ord, r.total) for r in alerts.list_authorities(who).collect()] == [(0, 1)]
+
+
+def test_pages_by_cursor_give_each_row_once(spark):
+    start = datetime(2024, 1, 1)
+    rows = [(i, start + timedelta(minutes=i // 3)) for i in range(47)] + [(None, start), (99, None)]
+    seen, cursor, k = [], None, 0
+    while True:
+        df = spark.createDataFrame(rows, "report_id long, created_at timestamp")
+        page, cursor = reports.page_after(df, "created_at", cursor, 10)
+        seen += [r.report_id for r in page.collect()]
+        assert {r.total for r in page.collect()} <= {len(rows) - 2}
+        if cursor is None:
+            break
+        k += 1
+        rows.append((1000 + k, start + timedelta(days=k)))  # a newer report between two pages
+    assert seen == [i for i, _ in sorted(rows[:47], key=lambda r: (r[1], r[0]), reverse=True)]
+
+
 def test_authority_by_order_and_default(spark):
     bodies = spark.createDataFrame([(1, "Pune", "Goa"), (2, "Nowhere", None), (3, None, None)], "id long, city string, state string")
     who = spark.createDataFrame([(0, "D", None, True), (2, "City", " PUNE ", False), (1, "State", "goa", False)], "ord int, name string, jurisdiction string, is_default boolean")

@@ -7,9 +7,11 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from tarnlight.operators import alerts
+from tarnlight.operators.reports import body_state, scored
 from tarnlight.plans.adapters import Tables
 from tarnlight.sources import tables as S
-from tarnlight.streaming import streams
+from tarnlight.streaming import alert_states, state, streams
 
 SF = "/root/testdata/sf0.001"
 
@@ -110,6 +112,78 @@ def test_several_batches_make_the_bodies_of_one(spark, tmp_path):
     assert 1 < len(made) < 40
 
 
+def test_kept_state_equals_a_full_count_after_each_batch(spark, tmp_path):
+    """W7 from the kept state, after each of several batches, one replayed, with whole states in between."""
+    reports = scored(Tables(spark, SF)["v_reports"]).select("report_id", "water_body_id", "created_at", "composite_score", "risk_level").cache()
+    key = lambda df: sorted((r.water_body_id, r.total_reports, r.last_report_at, r.current_risk_score, r.current_risk_level) for r in df.withColumn("water_body_id", F.col("water_body_id").cast("string")).collect())
+    path, part = f"{tmp_path}/state", F.pmod(F.xxhash64("report_id"), F.lit(5))
+    assert state.current_state(spark, path).count() == 0
+    for k in (0, 1, 1, 2, 3, 3, 4):
+        state.merge_batch(reports.where(part == k), path, k, compact=2)
+        assert key(state.current_state(spark, path)) == key(body_state(reports.where(part <= k)))
+    assert key(state.current_state(spark, path, upto=3)) == key(body_state(reports.where(part <= 2)))
+    assert sorted(x for x in os.listdir(f"{path}/whole") if x.startswith("batch")) == ["batch=1", "batch=3"]
+    # the state is opened by bucket and batch, not as a whole
+    plan = state._versions(spark, path, 5).where(F.col("bucket").isin([3])).groupBy("bucket").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(batch") == 2 and plan.count("(bucket#") >= 2
+    state.merge_batch(reports.limit(0), path, 5, compact=2)
+    assert key(state.current_state(spark, path)) == key(body_state(reports))
+    # versions that the last but one whole state has taken over are gone
+    assert sorted(x for x in os.listdir(f"{path}/whole") if x.startswith("batch")) == ["batch=3", "batch=5"]
+    assert sorted(x for x in os.listdir(f"{path}/changes") if x.startswith("batch")) == ["batch=4", "batch=5"]
+
+
+def test_ingest_takes_each_report_once(spark, tmp_path):
+    """Reports that come again, in a batch and in later ones, and reports without id or on no place."""
+    batch = Tables(spark, SF)["v_reports"].where("contamination_type = 'sewage'").limit(40).cache()
+    bodies = Tables(spark, SF)["v_bodies"].limit(0)
+    write = streams.ingest_batch(bodies, f"{tmp_path}/out")
+    write(batch.unionByName(batch.limit(10)), 0)
+    write(batch.unionByName(Tables(spark, SF)["v_reports"].where("contamination_type = 'foam'").limit(20)), 1)
+    got = spark.read.parquet(f"{tmp_path}/out/reports")
+    assert got.count() == got.select("report_id").distinct().count() == 60
+    assert streams.ingested_state(spark, f"{tmp_path}/out").agg(F.sum("total_reports")).first()[0] == 60
+    made = spark.read.parquet(f"{tmp_path}/out/bodies")
+    assert {(r.type, r.city, r.state) for r in made.collect()} == {("unknown", "Unknown", "Unknown")} and made.where("created_at is null or updated_at is null").count() == 0
+
+
+def test_stream_of_repeated_reports(spark, tmp_path):
+    batch = Tables(spark, SF)["v_reports"].where("contamination_type = 'sewage'").limit(30)
+    for k in range(2):
+        batch.coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        stream = spark.readStream.schema(batch.schema).parquet(f"{tmp_path}/in/*")
+        streams.ingest(stream, Tables(spark, SF)["v_bodies"], f"{tmp_path}/out", f"{tmp_path}/check", "400 days").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out/reports")
+    assert got.count() == got.select("report_id").distinct().count() == 30
+
+
+def test_alert_commands_out_of_order_as_a_stream(spark, tmp_path):
+    """H3: after all batches the stream's states are the batch's, in whatever order commands come; folded ones leave the state."""
+    rng = random.Random(6)
+    kinds = ["assign", "send", "dismiss", "send"]
+    rows = [(f"a{a}", n, rng.choice(kinds), rng.choice([None, 1, 2]), rng.choice([None, "why"]), datetime(2024, 1, 1) + timedelta(hours=n)) for a in range(6) for n in range(40)]
+    schema = "alert_id string, seq long, command string, authority_id long, reason string, at timestamp"
+    # commands come up to eight numbers too early or too late
+    rows.sort(key=lambda r: r[1] + rng.uniform(0, 8))
+    config = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.shuffle.partitions": "2"}
+    old = {k: spark.conf.get(k, None) for k in config}
+    try:
+        for k, v in config.items():
+            spark.conf.set(k, v)
+        for k in range(3):
+            spark.createDataFrame(rows[k * 80 : k * 80 + 80], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+            stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+            q = alert_states.alert_states(stream, "12 hours").writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/cp")
+            q.foreachBatch(lambda df, b: df.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={b}")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    out = spark.read.parquet(f"{tmp_path}/out").collect()
+    last = {r.alert_id: (r.status, r.recipient, r.note, r.errors, r.commands) for r in sorted(out, key=lambda r: r.batch)}
+    want = {r.alert_id: (r.status, r.recipient, r.note, r.errors, 40) for r in alerts.fold(spark.createDataFrame(rows, schema)).collect()}
+    assert last == want
+
+
 def test_late_rows_and_weeks_as_a_stream(spark, tmp_path):
     """H5: what comes later than the watermark allows isn't counted. H6: weeks as a stream are those of the table."""
     rows = [(k, 1, datetime(2024, 1, d), 10.0 * k, 1.0, 2.0, 3.0) for k, d in ((1, 2), (2, 3), (3, 30), (4, 31))] + [(5, 1, datetime(2024, 1, 4), 1.0, 1.0, 1.0, 1.0)]
