@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnlight.llm.select import unused
 from tarnlight.llm.text import utf8
 from tarnlight.scratch import drop, materialize
 
@@ -155,6 +156,8 @@ def matches(text: Column, windows: list, before: Column | None = None) -> Column
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, out: str = "match") -> DataFrame:
     """``docs`` with a struct ``out``: n_words, n_hit, items (ids as sorted strings), spans (runs of hit words).
 
+    A column of that name is replaced; the caller chooses it.
+
     A word is hit if it lies inside any occurrence of a window. Null and empty texts have no words; an empty benchmark hits
     nothing. Items without words or without id have no windows; items that repeat an id count once. Rows stay as they are,
     and no text is shuffled. PASS_BLOCKS blocks are broadcast for a pass; a pass beyond the first reads what the one before it
@@ -194,13 +197,15 @@ def without_spans(text: Column, spans: Column) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", remove: str = "documents", window: int = WINDOW) -> DataFrame:
     """``docs`` without contaminated documents (``remove="documents"``) or without their hit words (``"spans"``)."""
-    found = contamination(docs, benchmark, text, window, "_match")
+    match = unused(docs, "_match")
+    found = contamination(docs, benchmark, text, window, match)
+    n_hit = F.col(match)["n_hit"]
     if remove == "documents":
-        return found.where("_match.n_hit = 0").drop("_match")
+        return found.where(n_hit == 0).drop(match)
     if remove != "spans":
         raise ValueError(f"remove is 'documents' or 'spans', not {remove!r}")
-    clean = F.when(F.col("_match.n_hit") > 0, without_spans(F.col(text), F.col("_match.spans"))).otherwise(F.col(text))
-    return found.withColumn(text, clean).drop("_match")
+    clean = F.when(n_hit > 0, without_spans(F.col(text), F.col(match)["spans"])).otherwise(F.col(text))
+    return found.withColumn(text, clean).drop(match)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

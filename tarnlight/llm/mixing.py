@@ -106,22 +106,24 @@ def mixture(docs: DataFrame, mix: Mix = PRODUCTION, doc_id: str = "doc_id", text
     sums of leaves, and of ranges of keys in leaves, are shuffled, no texts.
     """
     names = [c for c in docs.columns if c not in ("domain", "n_tokens", "epoch")]
-    rows = docs.select(*names, domain(F.col("source")).alias("domain"), tokens(F.col(text)).alias("n_tokens"))
+    # the caller's columns travel in a struct, so that no name of theirs meets one of ours
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    rows = docs.select(row, F.col(f"`{doc_id}`").alias("id"), domain(F.col("source")).alias("domain"), "lang", "source", tokens(F.col(f"`{text}`")).alias("n_tokens"))
     leaves = rows.groupBy(*TREE).agg(F.sum("n_tokens").alias("available"))
     plan = leaf_budgets(leaves, mix).withColumn("grp", F.sha2(F.to_json(F.struct(*TREE)), 256))
     plan = plan.withColumn("epochs", F.when(F.col("available") > 0, F.floor(F.col("budget") / F.col("available"))).otherwise(F.lit(0)).cast("int"))
     named = rows.withColumn("grp", F.sha2(F.to_json(F.struct(*TREE)), 256))
     with temporary(docs.sparkSession):
         plan = materialize(plan.select("grp", "epochs", (F.col("budget") - F.col("epochs") * F.col("available")).alias("budget")), "mix")
-        slim = named.select("grp", F.col(doc_id).alias("tie"), F.col("n_tokens").alias("weight")).join(small(plan.select("grp", "epochs")), "grp")
+        slim = named.select("grp", F.col("id").alias("tie"), F.col("n_tokens").alias("weight")).join(small(plan.select("grp", "epochs")), "grp")
         slim = slim.select("grp", _key(F.col("tie"), F.col("epochs"), mix.seed).alias("key"), F.coalesce("tie", F.lit(-1)).alias("tie"), "weight")
         slim = materialize(slim, "keys")
         ends = materialize(plan.select("grp", "epochs").join(cutoffs(slim, plan.select("grp", "budget")), "grp"), "ends", keep=True)
     taken = named.join(small(ends), "grp")
-    part = within(_key(F.col(doc_id), F.col("epochs"), mix.seed), F.coalesce(doc_id, F.lit(-1)), F.col("last_key"), F.col("last_tie"))
+    part = within(_key(F.col("id"), F.col("epochs"), mix.seed), F.coalesce("id", F.lit(-1)), F.col("last_key"), F.col("last_tie"))
     times = F.col("epochs") + part.cast("int")
     taken = taken.where(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), times - 1)))
-    return taken.select(*names, "domain", "n_tokens", "epoch")
+    return taken.select(*[F.col("row")[c].alias(c) for c in names], "domain", "n_tokens", "epoch")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -17,15 +17,18 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnlight.llm.select import unused
 from tarnlight.llm.text import columns, lower_words, utf8
 
 WINDOW, STRIDE = 48, 36
 WORD_DIM, CHAR_DIM, HIDDEN = 10, 10, 8
 #: Bounds of the training sample in labelled documents, and of both vocabularies.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1600, 5000
+#: And so many characters of text in all; a single text of more than a sixteenth of that isn't learned from.
+SAMPLE_CHARS = 64_000_000
 MAX_WORDS, MAX_GRAMS, MIN_DOCS = 20_000, 40_000, 4
 #: Rounds, and steps of BATCH windows in each, whatever the sample's size.
 ROUNDS, STEPS, BATCH, RATE, SEED = 6, 90, 128, 0.01, 20240131
@@ -410,14 +413,18 @@ def remainder(doc_id: Column, folds: int = FOLDS) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(h, doc_id, toxic, text)`` of at most SAMPLE_TOXIC and SAMPLE_CLEAN labelled documents, first by a hash of doc_id.
 
-    Held-out documents, null labels and null texts are left out; of repeated labels the highest counts.
+    Held-out documents, null labels and null texts are left out; of repeated labels the highest counts. In the same order,
+    documents are taken while their texts have at most SAMPLE_CHARS characters together, so that one task can hold them.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(remainder(F.col("doc_id")) != 0).withColumn("h", F.xxhash64("doc_id"))
     pick = lambda toxic, n: known.where(F.col("toxic") == toxic).orderBy("h", "doc_id").limit(n)
     some = pick(1, SAMPLE_TOXIC).unionByName(pick(0, SAMPLE_CLEAN)).select("doc_id", "toxic", "h")
     texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id")
-    return texts.select("h", "doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
+    texts = texts.where(F.length("text") <= SAMPLE_CHARS // 16)
+    upto = F.sum(F.length("text").cast("bigint")).over(Window.orderBy("h", "doc_id", "text"))  # of a bounded number of rows
+    texts = texts.select("h", "doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
+    return texts.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_CHARS).drop("upto")
 
 
 def toxicity(text: Column | str, net: Network) -> Column:
@@ -458,9 +465,10 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Network:
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the documents that score ``threshold`` or more."""
-    scored = docs.withColumn("_toxicity", toxicity(F.col("text"), fitted(docs, labels)))
-    return scored.where(F.col("_toxicity") < threshold).drop("_toxicity")
+    """``docs`` without the documents that score ``threshold`` or more. Null and empty texts score as a window without words."""
+    score = unused(docs, "_toxicity")
+    scored = docs.withColumn(score, toxicity(F.col("text"), fitted(docs, labels)))
+    return scored.where(F.col(score) < threshold).drop(score)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
