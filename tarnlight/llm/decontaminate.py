@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlight.llm.select import unused
-from tarnlight.llm.text import utf8
+from tarnlight.llm.text import release, utf8
 from tarnlight.scratch import drop, materialize
 
 WINDOW = 10
@@ -143,12 +143,14 @@ def matches(text: Column, windows: list, before: Column | None = None) -> Column
         blocks = [Windows(*b.value) for b in windows]
         for texts in batches:
             yield pa.array([found(t, None, blocks) for t in utf8(texts)], kind)
+        release()
 
     @F.arrow_udf(RESULT)
     def further(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         blocks = [Windows(*b.value) for b in windows]
         for texts, had in batches:
             yield pa.array([found(t, h, blocks) for t, h in zip(utf8(texts), had.to_pylist(), strict=True)], kind)
+        release()
 
     return first.asNondeterministic()(text) if before is None else further.asNondeterministic()(text, before)
 

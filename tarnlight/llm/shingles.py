@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlight.llm.select import among
-from tarnlight.llm.text import columns, hash64, lower_words, mixed, utf8
+from tarnlight.llm.text import columns, hash64, lower_words, mixed, release, utf8
 from tarnlight.operators.graph import connected_components
 from tarnlight.scratch import materialize
 
@@ -87,6 +87,7 @@ def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             sets = [shingle_set(t, width) for t in utf8(texts)]
             parts = [pa.array([_named(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array([_bands(x) for x in sets], pa.list_(pa.int64()))]
             yield pa.StructArray.from_arrays(parts, ["fp", "n", "bands"])
+        release()
 
     found = docs.select("doc_id", sketch.asNondeterministic()(F.col("text")).alias("s"))
     return found.select("doc_id", "s.fp", "s.n", "s.bands")
@@ -100,6 +101,7 @@ def _sets(docs: DataFrame, classes: DataFrame, some: DataFrame, width: int) -> D
         for (texts,) in columns(batches, "text"):
             sets = [shingle_set(t, width) for t in utf8(texts)]
             yield pa.RecordBatch.from_arrays([pa.array([_named(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["fp", "shingles"])
+        release()
 
     found = among(docs, "doc_id", ends.select("doc_id")).select("text").mapInArrow(made, "fp long, shingles binary")
     return materialize(found.join(ends, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
@@ -153,6 +155,7 @@ def _shingle_rows(sets: DataFrame) -> DataFrame:
                 for at in range(0, len(values), _STEP):
                     part = values[at : at + _STEP]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), fp)), pa.array(part)], ["fp", "shingle"])
+        release()
 
     return sets.mapInArrow(each, "fp long, shingle long")
 

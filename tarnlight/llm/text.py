@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -40,3 +42,12 @@ def columns(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[pa
     for batch in batches:
         if batch.num_rows:
             yield tuple(batch.column(batch.schema.get_field_index(n)) for n in names)
+
+
+def release() -> None:
+    """Give freed memory back to the system. Python workers outlive a task, and what one stage needed would count in the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # absent where the C library isn't GNU's
+    if trim is not None:
+        trim(0)

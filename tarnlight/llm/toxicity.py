@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnlight.llm.select import unused
-from tarnlight.llm.text import columns, lower_words, utf8
+from tarnlight.llm.text import columns, lower_words, release, utf8
 
 WINDOW, STRIDE = 48, 36
 WORD_DIM, CHAR_DIM, HIDDEN = 10, 10, 8
@@ -445,6 +445,7 @@ def toxicity(text: Column | str, net: Network) -> Column:
                 out.append(scores(here, every[at:stop]))
                 at = stop
             yield pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())
+        release()
 
     return score.asNondeterministic()(text)
 
@@ -458,6 +459,8 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Network:
             rows += zip(h.to_pylist(), ids.to_pylist(), toxic.to_pylist(), utf8(texts), strict=True)
         rows.sort()
         net = train([r[3] for r in rows], [r[2] for r in rows])
+        rows.clear()
+        release()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net.parts())], pa.binary())], ["net"])
 
     made = labelled_sample(docs, labels).repartition(1).mapInArrow(fit, "net binary").collect()
