@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tarnlight.functions import rules as R
 from tarnlight.operators.graph import connected_components
+from tarnlight.scratch import materialize, temporary
 
 
 def _simhash(text: str) -> int:
@@ -132,25 +133,54 @@ def split_overlap(split: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     return rows.agg(F.count_distinct(cluster).alias("clusters"), F.count("*").alias("rows"))
 
 
-def min_hamming(val: DataFrame, train: DataFrame, key: str = "doc_id", sample: int = 2000, seed: int = 42) -> DataFrame:
-    """The nearest of at most ``sample`` seeded train rows for each val row: distance and key, the smallest of equals.
+#: Codes that no search by flipped bits has settled meet all others so many at a time.
+FAR_BLOCK = 2048
+#: Up to so many pairs of open codes and train codes, blocks are quicker than looking up; the result is the same.
+DIRECT = 1 << 26
 
-    The sample is bounded, so it is broadcast; each val row is compared with all of it as one array, no pairs are made.
+
+def nearest_code(val: DataFrame, train: DataFrame, key: str = "doc_id", flips: int = 3) -> DataFrame:
+    """(key, distance, nearest) for each val row: the nearest of all train rows, of equals the smallest key.
+
+    Codes are cut into four. What differs in at most 4s + 3 bits has a quarter that differs in at most s, so round s looks the
+    quarters up with s bits flipped, and a code leaves once its nearest so far is that near (a growing radius; Norouzi et al.
+    2014). Codes that are farther than 4 flips + 3 bits from everything meet all train codes, in blocks of bounded size whose
+    nearest is taken as they are met. Null codes, and all rows if train has none, have no distance.
     """
-    some = train.select(key, "code").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(sample)
-    held = some.agg(F.collect_list(F.struct(F.col("code").alias("c"), F.col(key).alias("k"))).alias("held"))
-    near = F.array_min(F.transform("held", lambda h: F.struct(R.hamming(h["c"], F.col("code")).alias("d"), h["k"].alias("k"))))
-    return val.crossJoin(F.broadcast(held)).select(key, near["d"].alias("distance"), near["k"].alias("nearest"))  # one row
-
-
-def nearest_code(val: DataFrame, train: DataFrame, key: str = "doc_id", t: int = 10, sample: int = 2000, seed: int = 42) -> DataFrame:
-    """As ``min_hamming``, but no leak is lost: up to t bits the nearest of all train rows, beyond that the sample's."""
-    codes = near_codes(val.select("code").distinct(), train.select("code").distinct(), t)
-    first = train.groupBy(F.col("code").alias("b")).agg(F.min(key).alias("k"))
-    exact = codes.join(first, "b").groupBy(F.col("a").alias("code")).agg(F.min(F.struct("d", "k")).alias("m"))
-    rest = min_hamming(val, train, key, sample, seed).withColumnsRenamed({"distance": "_d", "nearest": "_k"})
-    out = val.select(key, "code").join(exact, "code", "left").join(rest, key)
-    return out.select(key, F.coalesce("m.d", "_d").alias("distance"), F.coalesce("m.k", "_k").alias("nearest"))
+    spark = val.sparkSession
+    with temporary(spark):
+        firsts = materialize(train.where("code is not null").groupBy("code").agg(F.min(key).alias("k")), "codes")
+        index = materialize(firsts.select(F.explode(_bands(F.col("code"), 4)).alias("at"), F.col("code").alias("other"), "k"), "index")
+        open_ = materialize(val.where("code is not null").select("code").distinct().withColumn("m", F.lit(None).cast(f"struct<d:int,k:{dict(firsts.dtypes)['k']}>")), "open")
+        done = []
+        near = F.struct(R.hamming(F.col("code"), F.col("other")).cast("int").alias("d"), "k")
+
+        def better(met: DataFrame) -> DataFrame:
+            """Open codes with the nearer of what they had and what they have met."""
+            got = met.groupBy("code").agg(F.min(near).alias("new"))
+            both = open_.join(got, "code", "left")
+            return materialize(both.select("code", F.least("m", "new").alias("m")), "nearer")
+
+        known_codes = firsts.count()
+        for s in range(flips + 1):
+            if open_.count() * known_codes <= DIRECT:
+                break
+            masks = F.lit([sum(1 << b for b in bits) for bits in combinations(range(16), s)]).cast("array<bigint>")
+            keys = F.flatten(F.transform(_bands(F.col("code"), 4), lambda at: F.transform(masks, lambda x: F.struct(at["k"].alias("k"), at["v"].bitwiseXOR(x).alias("v")))))
+            known = better(open_.select("code", F.explode(keys).alias("at")).join(index, "at"))
+            sure = F.coalesce(F.col("m.d") <= 4 * s + 3, F.lit(False))
+            done.append(known.where(sure))
+            open_ = known.where(~sure)
+        blocks = -(-open_.count() // FAR_BLOCK)
+        for n in range(blocks):
+            block = F.broadcast(open_.select("code").where(F.pmod(F.xxhash64("code"), F.lit(blocks)) == n))
+            met = firsts.select(F.col("code").alias("other"), "k").crossJoin(block)  # a stated set of codes against all
+            done.append(better(met).join(block, "code", "left_semi"))
+        out = open_.limit(0)
+        for more in done:
+            out = out.unionByName(more)
+        found = materialize(out, "nearest", keep=True)
+    return val.select(key, "code").join(found, "code", "left").select(key, F.col("m.d").alias("distance"), F.col("m.k").alias("nearest"))
 
 
 def distance_profile(distances: DataFrame) -> DataFrame:

@@ -721,10 +721,7 @@ def split_overlap(t: Tables) -> DataFrame:
     return fingerprint.split_overlap(_clustered(t).withColumn("split", F.when(F.col("doc_id") % 5 == 0, "val").otherwise("train")))
 
 
-_NEAREST = """tr AS (SELECT * FROM hs WHERE doc_id % 5 <> 0 ORDER BY md5('42:' || doc_id), doc_id LIMIT 2000),
-near AS (SELECT v.doc_id, min(bit_count(xor(v.code, h.code))) AS d FROM hs v, hs h WHERE v.doc_id % 5 = 0 AND h.doc_id % 5 <> 0 GROUP BY 1),
-far AS (SELECT v.doc_id, min(bit_count(xor(v.code, tr.code))) AS d FROM hs v, tr WHERE v.doc_id % 5 = 0 GROUP BY 1),
-nn AS (SELECT doc_id, CASE WHEN near.d <= 10 THEN near.d ELSE far.d END AS distance FROM near JOIN far USING (doc_id))"""
+_NEAREST = "nn AS (SELECT v.doc_id, min(bit_count(xor(v.code, h.code))) AS distance FROM hs v, hs h WHERE v.doc_id % 5 = 0 AND h.doc_id % 5 <> 0 GROUP BY 1)"
 
 
 def _distances(t: Tables) -> DataFrame:

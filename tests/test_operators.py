@@ -304,12 +304,22 @@ def test_near_codes_lose_no_pair(spark, bands):
     assert fingerprint.band_number(10**9, 10) == 3
 
 
-def test_nearest_code_is_exact_beyond_the_sample(spark):
-    codes = "doc_id long, code long"
-    val, train = spark.createDataFrame([(0, 7), (1, -1)], codes), spark.createDataFrame([(10 + k, k << 20) for k in range(1, 60)] + [(100, 5), (101, 5)], codes)
-    got = {r.doc_id: (r.distance, r.nearest) for r in fingerprint.nearest_code(val, train, sample=1).collect()}
-    assert got[0] == (1, 100)
-    assert got[1][0] > 10
+@pytest.mark.parametrize(("flips", "block", "direct"), [(3, 2048, 0), (1, 30, 0), (3, 30, 1 << 20)])
+def test_nearest_code_is_exact(spark, flips, block, direct, monkeypatch):
+    """Near ones by flipped bits, far ones in blocks; equal codes, ties by key, null codes."""
+    monkeypatch.setattr(fingerprint, "FAR_BLOCK", block)
+    monkeypatch.setattr(fingerprint, "DIRECT", direct)
+    rng = random.Random(9)
+    train = [rng.getrandbits(64) for _ in range(300)]
+    val = [c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(22))) for c in train[:60]] + [rng.getrandbits(64) for _ in range(20)] + train[:3]
+    signed = lambda c: c - 2**64 if c >> 63 else c
+    rows = lambda codes, start: spark.createDataFrame([(start + i, signed(c)) for i, c in enumerate(codes)] + [(start + 900, None)], "doc_id long, code long")
+    known = train + train[::-1]
+    got = {r.doc_id: (r.distance, r.nearest) for r in fingerprint.nearest_code(rows(val, 0), rows(known, 1000), flips=flips).collect()}
+    assert got.pop(900) == (None, None)
+    assert got == {i: min(((c ^ h).bit_count(), 1000 + k) for k, h in enumerate(known)) for i, c in enumerate(val)}
+    none = fingerprint.nearest_code(rows(val, 0), rows([], 1000), flips=flips)
+    assert none.where("distance is not null or nearest is not null").count() == 0 and none.count() == len(val) + 1
 
 
 def test_detections_of_an_image(spark):
