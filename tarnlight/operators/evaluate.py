@@ -67,7 +67,9 @@ def multiclass_metrics(df: DataFrame, y: str = "y", pred: str = "pred") -> DataF
 
 
 def _by_score(df: DataFrame, by: tuple[str, ...], y: str, p: str) -> DataFrame:
-    """Positives and negatives of each distinct score. What follows needs an order only over distinct scores."""
+    """Positives and negatives of each distinct score, counted or added up. What follows needs an order only over distinct scores."""
+    if {"pos", "neg"} <= set(df.columns):
+        return df.groupBy(*by, p).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return df.groupBy(*by, p).agg(F.sum(F.col(y)).cast("double").alias("pos"), F.sum(1 - F.col(y)).cast("double").alias("neg"))
 
 
@@ -114,8 +116,8 @@ def stratified_folds(df: DataFrame, key: str, y: str = "y", k: int = 5, seed: in
 
 
 def cv_calibrate(folded: DataFrame, y: str = "y", p: str = "p", k: int = 5) -> DataFrame:
-    """For each fold tau from the others' rows, and the fold's metrics at it."""
-    train = folded.withColumn("test_fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where(F.col("fold") != F.col("test_fold"))
+    """For each fold tau from the others' rows, and the fold's metrics at it. Rows are counted by fold and score first."""
+    train = _by_score(folded, ("fold",), y, p).withColumn("test_fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where(F.col("fold") != F.col("test_fold"))
     taus = youden(train, "test_fold", y=y, p=p).select(F.col("test_fold").alias("fold"), "tau")
     tested = folded.join(F.broadcast(taus), "fold").withColumn("pred", (F.col(p) >= F.col("tau")).cast("int"))
     return binary_metrics(tested, "fold", "tau", y=y)

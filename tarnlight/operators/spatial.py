@@ -147,30 +147,77 @@ def point_metrics(points: DataFrame, pixels: DataFrame, as_of: str, lookback: in
     )
 
 
-def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
-    """Whether a point lies in a ring of [lon, lat] pairs, by the parity of edges to its right."""
-    after = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
-    edges = F.zip_with(ring, after, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+#: Rows and columns of a region's own grid.
+GRID = 32
 
-    def crosses(e: Column) -> Column:
-        x1, y1, x2, y2 = e["p"][0], e["p"][1], e["q"][0], e["q"][1]
-        return ((y1 > lat) != (y2 > lat)) & (lon < F.try_divide((x2 - x1) * (lat - y1), y2 - y1) + x1)
 
-    return F.size(F.filter(edges, crosses)) % 2 == 1
+def _crosses(e: Column, lon: Column, lat: Column) -> Column:
+    """Whether an edge crosses the ray from a point to the right."""
+    rise = (e["x2"] - e["x1"]) * F.try_divide(lat - e["y1"], e["y2"] - e["y1"])
+    return F.coalesce(((e["y1"] > lat) != (e["y2"] > lat)) & (lon < rise + e["x1"]), F.lit(False))
 
 
-def in_region(pixels: DataFrame, regions: DataFrame, most: int = 500_000) -> DataFrame:
-    """Pixels with the name and category of each region that they lie in.
+def _odd(n: Column) -> Column:
+    return n % 2 == 1
 
-    Regions (name, category, ring) meet pixels by degree cell of their bounding box, then by box, then by ring. They are
-    broadcast if their rings, repeated for each cell, have at most ``most`` corners together (some 20 MB).
+
+def region_cells(regions: DataFrame, grid: int = GRID) -> tuple[DataFrame, DataFrame]:
+    """Regions (region, name, category, and their box w, s, side) and cells (region, row, col, inside, base, edges) of their grids.
+
+    A point is inside a region if a ray to the right crosses an odd number of edges of all its rings, so holes and parts need
+    no treatment of their own. Of a region's grid only cells inside, without edges, and border cells are kept. A border cell
+    has the edges that touch it and those that end in its row further right; edges further right that cross its whole row
+    are crossed by each ray of the cell and are only counted (``base``).
+    """
+    named = regions.where("rings is not null").withColumn("region", F.monotonically_increasing_id())
+    named = materialize(named.select("region", "name", "category", "rings"), "regions", keep=True)
+    ring = named.select("region", F.explode("rings").alias("r")).where(F.size("r") > 2)
+    after = F.concat(F.slice("r", 2, F.size("r")), F.slice("r", 1, 1))
+    edge = ring.select("region", F.explode(F.zip_with("r", after, lambda p, q: F.struct(p[0].alias("x1"), p[1].alias("y1"), q[0].alias("x2"), q[1].alias("y2")))).alias("e"))
+    box = edge.groupBy("region").agg(F.min("e.x1").alias("w"), F.max("e.x1").alias("e_"), F.min("e.y1").alias("s"), F.max("e.y1").alias("n"))
+    box = box.select("region", "w", "s", "e_", "n", (F.greatest(F.col("e_") - F.col("w"), F.col("n") - F.col("s"), F.lit(1e-9)) / grid).alias("side"))
+    c, slack = F.col, F.lit(1e-6)
+    place = lambda v, start, by: F.floor((v - start) / c("side") + by).cast("int")
+    low, high = F.least("e.y1", "e.y2"), F.greatest("e.y1", "e.y2")
+    rows = edge.join(box, "region").withColumn("row", F.explode(F.sequence(place(low, c("s"), -slack), place(high, c("s"), slack))))
+    bottom, top = c("s") + c("row") * c("side"), c("s") + (c("row") + 1) * c("side")
+    at = lambda y: c("e.x1") + (c("e.x2") - c("e.x1")) * F.try_divide(y - c("e.y1"), c("e.y2") - c("e.y1"))
+    xa, xb = F.coalesce(at(F.greatest(low, bottom)), c("e.x1")), F.coalesce(at(F.least(high, top)), c("e.x2"))
+    eps = c("side") * slack
+    reach = F.struct(
+        *[c(f"e.{k}").alias(k) for k in ("x1", "y1", "x2", "y2")], place(F.least(xa, xb), c("w"), -slack).alias("first"), place(F.greatest(xa, xb), c("w"), slack).alias("last"),
+        ((low < bottom - eps) & (high > top + eps)).alias("whole"),
+    )
+    held = rows.groupBy("region", "row", "w", "s", "side").agg(F.collect_list(reach).alias("all"))
+    cells = held.withColumn("col", F.explode(F.sequence(F.lit(-1), F.lit(grid + 1))))
+    own = F.filter("all", lambda e: (e["first"] <= c("col")) & (e["last"] >= c("col")))
+    right = F.filter("all", lambda e: e["first"] > c("col"))
+    cells = cells.withColumns({"own": own, "right": right})
+    x, y = c("w") + (c("col") + 0.5) * c("side"), c("s") + (c("row") + 0.5) * c("side")
+    inside = (F.size("own") == 0) & _odd(F.size(F.filter("right", lambda e: _crosses(e, x, y))))
+    cells = cells.withColumn("inside", inside).where(c("inside") | (F.size("own") > 0))
+    edges = F.concat("own", F.filter("right", lambda e: ~e["whole"]))
+    edges = F.transform(edges, lambda e: F.struct(*[e[k].alias(k) for k in ("x1", "y1", "x2", "y2")]))
+    cells = cells.select("region", "row", "col", "inside", F.size(F.filter("right", lambda e: e["whole"])).alias("base"), F.when(~c("inside"), edges).alias("edges"))
+    return named.select("region", "name", "category").join(box.withColumnRenamed("e_", "e"), "region"), materialize(cells, "cells", keep=True)
+
+
+def in_region(pixels: DataFrame, regions: DataFrame, most: int = 500_000, grid: int = GRID) -> DataFrame:
+    """Pixels with the name and category of each region (name, category, rings) that they lie in.
+
+    Pixels meet regions by degree cell of the bounding box, then look up their cell of the region's own grid: inside needs no
+    edge, outside has no cell, and only on the border the cell's edges are counted (``region_cells``). Both tables are
+    broadcast if they have at most ``most`` rows and edges together (some 20 MB).
     """
-    lons, lats = F.transform("ring", lambda p: p[0]), F.transform("ring", lambda p: p[1])
-    boxed = regions.select("name", "category", "ring", F.array_min(lons).alias("w"), F.array_max(lons).alias("e"), F.array_min(lats).alias("s"), F.array_max(lats).alias("n"))
+    boxed, cells = region_cells(regions, grid)
     long = lambda c: F.floor(c).cast("bigint")
     boxed = boxed.withColumn("cx", F.explode(F.sequence(long("w"), long("e")))).withColumn("cy", F.explode(F.sequence(long("s"), long("n"))))
-    corners = boxed.agg(F.coalesce(F.sum(F.size("ring") + 4), F.lit(0))).first()[0]
-    boxed = F.broadcast(boxed) if corners <= most else boxed
-    met = pixels.join(boxed, (long("longitude") == F.col("cx")) & (long("latitude") == F.col("cy")))
-    met = met.where(F.col("longitude").between(F.col("w"), F.col("e")) & F.col("latitude").between(F.col("s"), F.col("n")))
-    return met.where(in_ring(F.col("longitude"), F.col("latitude"), F.col("ring"))).drop("ring", "w", "e", "s", "n", "cx", "cy")
+    size = cells.agg(F.coalesce(F.sum(F.coalesce(F.size("edges"), F.lit(0)) + 1), F.lit(0))).first()[0] + boxed.count()
+    boxed, cells = (F.broadcast(boxed), F.broadcast(cells)) if size <= most else (boxed, cells)
+    # the caller's columns travel in a struct, so that none of them is taken for one of a region's
+    row = pixels.select(F.struct(*[F.col(f"`{c}`") for c in pixels.columns]).alias("pixel"), F.col("longitude").alias("x"), F.col("latitude").alias("y"))
+    met = row.join(boxed, (long("x") == F.col("cx")) & (long("y") == F.col("cy"))).where(F.col("x").between(F.col("w"), F.col("e")) & F.col("y").between(F.col("s"), F.col("n")))
+    met = met.withColumns({"row": F.floor((F.col("y") - F.col("s")) / F.col("side")).cast("int"), "col": F.floor((F.col("x") - F.col("w")) / F.col("side")).cast("int")})
+    met = met.join(cells, ["region", "row", "col"])
+    found = met.where(F.col("inside") | _odd(F.col("base") + F.size(F.filter("edges", lambda e: _crosses(e, F.col("x"), F.col("y"))))))
+    return found.select(*[F.col("pixel")[c].alias(c) for c in pixels.columns], "name", "category")

@@ -345,7 +345,28 @@ def _regions(t: Tables) -> DataFrame:
     """A triangle around each body."""
     c = F.col
     ring = F.array(F.array(c("longitude") - 0.004, c("latitude") - 0.003), F.array(c("longitude") + 0.004, c("latitude") - 0.003), F.array(c("longitude"), c("latitude") + 0.004))
-    return t["v_bodies"].select(c("id").cast("string").alias("name"), F.lit("moderate").alias("category"), ring.alias("ring"))
+    return t["v_bodies"].select(c("id").cast("string").alias("name"), F.lit("moderate").alias("category"), F.array(ring).alias("rings"))
+
+
+def _holed_regions(t: Tables) -> DataFrame:
+    """Of each body two parts: a square with a square hole, and a smaller square to its right; written as GeoJSON and read back."""
+    c = F.col
+    square = lambda x, r: F.array(*[F.array(c("longitude") + x + a * r, c("latitude") + b * r) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))])
+    parts = F.array(F.array(square(0.0, 0.003), square(0.0, 0.001)), F.array(square(0.0045, 0.001)))
+    properties = F.struct(c("id").cast("string").alias("name"), F.lit(None).cast("string").alias("category"))
+    feature = F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), F.struct(F.lit("MultiPolygon").alias("type"), parts.alias("coordinates")).alias("geometry"))
+    path = new_path(t.spark, "regions")
+    t["v_bodies"].groupBy(F.pmod("id", F.lit(8)).alias("k")).agg(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features")).repartition("k").write.partitionBy("k").json(path)  # a file holds one collection
+    return tables.read_regions(t.spark, path)
+
+
+@query(f"""WITH {ctes('v_bodies', 'v_pixels')}, px AS (SELECT DISTINCT lake_id, pixel_id, latitude, longitude FROM ({_LOCATED}) y),
+x AS (SELECT b.id, p.longitude - b.longitude AS u, p.latitude - b.latitude AS v FROM px p JOIN v_bodies b ON abs(p.latitude - b.latitude) < 0.01e0 AND abs(p.longitude - b.longitude) < 0.01e0)
+SELECT CAST(id AS VARCHAR) AS name, 'unknown' AS category, count(*) AS pixels FROM x WHERE (greatest(abs(u), abs(v)) < 0.003e0 AND greatest(abs(u), abs(v)) > 0.001e0) OR greatest(abs(u - 0.0045e0), abs(v)) < 0.001e0 GROUP BY 1""")
+def pixels_in_holed_regions(t: Tables) -> DataFrame:
+    """Polygons with holes and several parts, from a GeoJSON file"""
+    px = _located_pixels(t).select("lake_id", "pixel_id", "latitude", "longitude").distinct()
+    return spatial.in_region(px, _holed_regions(t)).groupBy("name", "category").agg(F.count("*").alias("pixels"))
 
 
 @query(f"""WITH {ctes('v_bodies', 'v_pixels')}, px AS (SELECT DISTINCT lake_id, pixel_id, latitude, longitude FROM ({_LOCATED}) y),
@@ -422,13 +443,19 @@ def matched_lakes(t: Tables) -> DataFrame:
 
 
 @query(MONTHLY + f", {ctes('v_bodies')}, {MATCHED} SELECT m.id, n_months IS NOT NULL AS available, CASE WHEN n_months IS NULL THEN 'unknown' ELSE 'water_detected' END AS water_surface_status, coalesce(n_months, 0) AS n_months,"
-       " CASE WHEN n_months IS NULL THEN '''' || coalesce(m.name, '') || ''' is not tracked. Tracked lakes (' || (SELECT count(DISTINCT lake) FROM lk) || '): ' || (SELECT string_agg(DISTINCT lake, ', ' ORDER BY lake) FROM lk) END AS note FROM matched m LEFT JOIN summary USING (lake_id)")
+       " CASE WHEN n_months IS NULL THEN '''' || coalesce(m.name, '') || ''' is not tracked. Tracked lakes: ' || (SELECT count(DISTINCT lake) FROM lk) END AS note FROM matched m LEFT JOIN summary USING (lake_id)")
 def lake_availability(t: Tables) -> DataFrame:
     """F48"""
     lakes = _lakes(t)
     return satellite.availability(satellite.match_lake(t["v_bodies"], lakes), t["v_bodies"], _verdicts(t), lakes)
 
 
+@query(MONTHLY + f", {ctes('v_bodies')}, {MATCHED} SELECT DISTINCT lake FROM lk WHERE lake IS NOT NULL")
+def tracked_lakes(t: Tables) -> DataFrame:
+    """the register itself"""
+    return satellite.register(_lakes(t))
+
+
 @query(MONTHLY + f""", {ctes('v_bodies', 'v_reports')}, {MATCHED},
 pt AS (WITH {POINTS}),
 tier AS (SELECT m.id, CASE WHEN v.lake_id IS NOT NULL THEN 'cached_lake' ELSE 'on_demand_point' END AS mode, v.lake_id IS NOT NULL OR pt.available AS available, CASE WHEN v.lake_id IS NULL THEN pt.live_ndci ELSE v.ndci_latest END AS ndci,

@@ -83,10 +83,16 @@ def read_ndci_monthly(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_regions(spark: SparkSession, path: str) -> DataFrame:
-    """(name, category, ring) of a GeoJSON collection of polygons; the outer ring counts."""
-    geo = "type string, features array<struct<type:string,properties:struct<name:string,category:string,city:string,state:string>,geometry:struct<type:string,coordinates:array<array<array<double>>>>>>"
-    features = spark.read.schema(geo).json(path, multiLine=True).select(F.explode("features").alias("f"))
-    return features.select("f.properties.name", F.coalesce("f.properties.category", F.lit("unknown")).alias("category"), F.col("f.geometry.coordinates")[0].alias("ring"))
+    """(name, category, rings) of GeoJSON collections: polygons and multipolygons with all rings of all parts, holes too.
+
+    A file is one task, since a collection is one JSON value. Features of other kinds, or whose coordinates can't be read, have
+    null rings.
+    """
+    geo = "type string, features array<struct<type:string,properties:struct<name:string,category:string,city:string,state:string>,geometry:struct<type:string,coordinates:string>>>"
+    f = spark.read.schema(geo).json(path, multiLine=True).select(F.explode("features").alias("f")).select("f.properties.name", "f.properties.category", "f.geometry.*")
+    one = F.from_json("coordinates", "array<array<array<double>>>")
+    many = F.flatten(F.from_json("coordinates", "array<array<array<array<double>>>>"))
+    return f.select("name", F.coalesce("category", F.lit("unknown")).alias("category"), F.when(F.col("type") == "Polygon", one).when(F.col("type") == "MultiPolygon", many).alias("rings"))
 
 
 def read_labelled_files(spark: SparkSession, root: str, extensions: tuple[str, ...]) -> DataFrame:

@@ -265,11 +265,34 @@ def test_authority_by_order_and_default(spark):
 
 def test_polygons(spark):
     ring = [[0.1, 0.1], [0.9, 0.1], [0.5, 0.9]]
-    regions = spark.createDataFrame([("t", "moderate", ring)], "name string, category string, ring array<array<double>>")
-    points = spark.createDataFrame([(1, 0.5, 0.5), (2, 0.15, 0.8), (3, 0.5, 0.05), (4, 5.0, 5.0)], "id int, longitude double, latitude double")
+    regions = spark.createDataFrame([("t", "moderate", [ring]), ("none", "moderate", None), ("flat", "moderate", [[[0.1, 0.1], [0.2, 0.1]]])], "name string, category string, rings array<array<array<double>>>")
+    points = spark.createDataFrame([(1, 0.5, 0.5), (2, 0.15, 0.8), (3, 0.5, 0.05), (4, 5.0, 5.0), (5, None, 0.5)], "id int, longitude double, latitude double")
     assert [r.id for r in spatial.in_region(points, regions).collect()] == [1]
 
 
+@pytest.mark.parametrize("grid", [1, 7, 32])
+def test_holes_and_parts_by_cells(spark, grid):
+    rng = random.Random(grid)
+    wave = lambda x, y, r, n: [[x + r * (1 + 0.3 * math.sin(7 * a)) * math.cos(a), y + r * (1 + 0.3 * math.sin(7 * a)) * math.sin(a)] for a in (2 * math.pi * k / n for k in range(n))]
+    shapes = {"holed": [wave(0.5, 0.5, 0.4, 300), wave(0.5, 0.5, 0.15, 40)], "parts": [wave(1.2, 0.3, 0.1, 25), wave(1.9, -0.4, 0.2, 60), [[2.5, 0.0], [2.5, 0.5], [3.0, 0.5], [3.0, 0.0], [2.5, 0.0]]]}
+    points = [(i, rng.uniform(-0.2, 3.2), rng.uniform(-0.8, 1.2)) for i in range(3000)]
+
+    def lies(x, y, rings):
+        n = 0
+        for r in rings:
+            for (x1, y1), (x2, y2) in zip(r, r[1:] + r[:1], strict=True):
+                n += (y1 > y) != (y2 > y) and x < (x2 - x1) * ((y - y1) / (y2 - y1)) + x1
+        return n % 2
+
+    regions = spark.createDataFrame([(k, "c", v) for k, v in shapes.items()], "name string, category string, rings array<array<array<double>>>")
+    got = spatial.in_region(spark.createDataFrame(points, "id int, longitude double, latitude double").withColumn("row", F.lit("mine")), regions, grid=grid)
+    assert got.columns == ["id", "longitude", "latitude", "row", "name", "category"]
+    want = {(i, k) for i, x, y in points for k, v in shapes.items() if lies(x, y, v)}
+    assert {(r.id, r.name) for r in got.collect()} == want and len(want) > 200
+    cells = spatial.region_cells(regions, 32)[1]
+    assert cells.where("inside and edges is not null").count() == 0 and cells.where("inside").count() > 100
+
+
 def test_match_lake_prefers_the_exact_name(spark):
     lakes = spark.createDataFrame([(1, "Ulsoor Lake", 1), (2, "ULSOOR", 2), (3, "Ulsoor", 3)], "lake_id int, lake string, ord int")
     bodies = spark.createDataFrame([(1, "Ulsoor"), (2, "ulsoor reservoir"), (3, None), (4, "x")], "id int, name string")

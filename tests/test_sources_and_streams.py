@@ -38,7 +38,7 @@ def test_regions_and_files(spark, tmp_path):
     geo = {"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"name": "L"}, "geometry": {"type": "Polygon", "coordinates": [[[1, 2], [3, 4], [5, 6]]]}}]}
     (tmp_path / "g.json").write_text(json.dumps(geo))
     row = S.read_regions(spark, str(tmp_path / "g.json")).first()
-    assert (row.name, row.category, row.ring) == ("L", "unknown", [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]])
+    assert (row.name, row.category, row.rings) == ("L", "unknown", [[[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]]])
     os.makedirs(tmp_path / "set" / "good")
     (tmp_path / "set" / "good" / "a.JPG").write_bytes(b"x")
     (tmp_path / "set" / "good" / "b.txt").write_bytes(b"y")
