@@ -50,22 +50,43 @@ def with_cells(df: DataFrame, radius: float, around: bool = False) -> DataFrame:
     return df.withColumn("cell", F.explode(F.array_distinct(F.flatten(F.transform(rows, lambda r: _cells(r, lon, radius, around))))))
 
 
-def within_radius(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
+#: A cell is dense with more points than this, and than a share of all points that at most ``DENSE_CELLS`` cells can have.
+DENSE, DENSE_CELLS = 100_000, 4096
+
+
+def dense_cells(points: DataFrame, radius: float, dense: int = DENSE) -> DataFrame:
+    """(cell, parts) of the cells with more points than a task should have, each to be cut in parts; at most ``DENSE_CELLS`` rows."""
+    counts = with_cells(points.select("latitude", "longitude"), radius).groupBy("cell").agg(F.count("*").alias("n"))
+    limit = counts.agg(F.greatest(F.lit(dense), F.ceil(F.sum("n") / DENSE_CELLS)).alias("most"))
+    found = counts.crossJoin(F.broadcast(limit)).where("n > most")  # one row
+    return found.select("cell", F.ceil(F.col("n") / F.col("most")).cast("int").alias("parts"))
+
+
+def within_radius(points: DataFrame, others: DataFrame, radius: float, dense: int | None = None) -> DataFrame:
     """All pairs within ``radius`` metres: ``points``, ``others`` under o_ names, distance. An equi-join on grid cells.
 
-    The smaller side should be ``others``, whose rows are repeated for nine cells.
+    The smaller side should be ``others``, whose rows are repeated for nine cells. With ``dense``, cells are counted first;
+    points of a cell with more than so many are dealt over parts by a hash of the row, and the others that they may meet are
+    repeated for each part. Points that lie at one place are dealt too, as no finer grid could.
     """
-    right = with_cells(others, radius, around=True)
+    left, right = with_cells(points, radius), with_cells(others, radius, around=True)
     right = right.select(F.col("cell").alias("_cell"), *[F.col(c).alias(f"o_{c}") for c in others.columns])
-    met = with_cells(points, radius).join(right, F.col("cell") == F.col("_cell")).drop("cell", "_cell")
+    on = F.col("cell") == F.col("_cell")
+    if dense is not None:
+        cut = F.broadcast(dense_cells(points, radius, dense).toDF("_dense", "_parts"))  # at most DENSE_CELLS rows
+        plain = [F.col(f"`{n}`") for n, kind in points.dtypes if not kind.startswith(("map", "variant"))]
+        left = left.join(cut, F.col("cell") == F.col("_dense"), "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*plain), F.col("_parts")), F.lit(0)).cast("int")).drop("_dense", "_parts")
+        right = right.join(cut, F.col("_cell") == F.col("_dense"), "left").withColumn("_of", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_dense", "_parts")
+        on &= F.col("_part") == F.col("_of")
+    met = left.join(right, on).drop("cell", "_cell", "_part", "_of")
     met = met.withColumn("distance", haversine(F.col("latitude"), F.col("longitude"), F.col("o_latitude"), F.col("o_longitude")))
     return met.where(F.col("distance") <= radius)
 
 
-def nearest_within(reports: DataFrame, bodies: DataFrame, radius: float = K.MATCH_RADIUS, key: str | tuple[str, ...] = "report_id") -> DataFrame:
-    """(key, body_id, distance) of the nearest body, of equally near ones the smallest id. No match: no row."""
+def nearest_within(reports: DataFrame, bodies: DataFrame, radius: float = K.MATCH_RADIUS, key: str | tuple[str, ...] = "report_id", dense: int | None = DENSE) -> DataFrame:
+    """(key, body_id, distance) of the nearest body, of equally near ones the smallest id. No match: no row. Dense cells are dealt."""
     keys = [key] if isinstance(key, str) else list(key)
-    met = within_radius(reports.select(*dict.fromkeys([*keys, "latitude", "longitude"])), bodies.select("id", "latitude", "longitude"), radius)
+    met = within_radius(reports.select(*dict.fromkeys([*keys, "latitude", "longitude"])), bodies.select("id", "latitude", "longitude"), radius, dense)
     best = met.groupBy(*keys).agg(F.min(F.struct("distance", F.col("o_id").alias("id"))).alias("m"))
     return best.select(*keys, F.col("m.id").alias("body_id"), F.col("m.distance").alias("distance"))
 
@@ -131,7 +152,7 @@ def point_metrics(points: DataFrame, pixels: DataFrame, as_of: str, lookback: in
 
     end = F.lit(as_of).cast("timestamp").cast("date")
     seen = scenes(pixels, max_cloud).where((F.col("sensed_date") >= F.date_sub(end, lookback)) & (F.col("sensed_date") < end))
-    met = within_radius(seen, points.select("id", "latitude", "longitude"), float(K.BUFFERS[-1]))
+    met = within_radius(seen, points.select("id", "latitude", "longitude"), float(K.BUFFERS[-1]), DENSE)
     met = met.withColumn("buffer_m", F.explode(F.filter(F.lit(list(K.BUFFERS)), lambda b: b >= F.col("distance"))))
     counts = met.groupBy("o_id", "buffer_m").agg(F.count_distinct("scene_id").alias("n_scenes"))
     water = composite(met.where(~F.col("scl").isin(*K.MASKED_SCL)), "o_id", "buffer_m", "pixel_id").where("ndwi > 0")

@@ -13,7 +13,7 @@ from tarnlight.operators import alerts, curation, evaluate, fingerprint, photo,
 from tarnlight.plans.adapters import AS_OF, Tables, ctes
 from tarnlight.scratch import materialize, new_path
 from tarnlight.sources import tables
-from tarnlight.streaming import state, streams
+from tarnlight.streaming import enrichment, state, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -401,6 +401,16 @@ def monthly_ndci(t: Tables) -> DataFrame:
     return satellite.monthly_ndci(t["v_pixels"]).withColumn("ndci_mean", F.round("ndci_mean", 6))
 
 
+@query(MONTHLY + "SELECT lake_id, category, date, round(ndci_mean, 6) AS ndci_mean, water_px, n_scenes FROM monthly")
+def kept_monthly_ndci(t: Tables) -> DataFrame:
+    """Kept by month; the last months' scenes come after the others, twice, and those of one lake last"""
+    path, px = new_path(t.spark, "months"), t["v_pixels"]
+    kind = F.when(F.col("lake_id") == 7, 2).when(F.col("sensed_date") >= F.lit("1998-09-01").cast("date"), 1).otherwise(0)
+    for k in (0, 1, 1, 2):
+        satellite.refresh_months(px.where(kind <= k), px.where(kind == k), path)
+    return satellite.kept_months(t.spark, path).withColumn("ndci_mean", F.round("ndci_mean", 6))
+
+
 @query(MONTHLY + "SELECT * FROM summary")
 def lake_summary(t: Tables) -> DataFrame:
     """A8"""
@@ -477,6 +487,22 @@ def enriched_reports(t: Tables) -> DataFrame:
     return out.select("report_id", "mode", "satellite_status", "satellite_ndci", "corroboration", shown.alias("badge"))
 
 
+_LOOKED_UP = """SELECT report_id, created_at + (report_id % 90) * INTERVAL 1 MINUTE AS checked_at, report_id % 11 = 0 AS failed, report_id % 7 <> 0 AS available, CASE WHEN report_id % 3 = 0 THEN algae_percentage / 100 END AS live_ndci,
+ turbidity_score / 100 AS latest_ndci, algae_percentage > 50 AS exceeds, CASE WHEN report_id % 3 = 0 THEN 'high' END AS spatial_confidence, CASE WHEN algae_percentage > 50 THEN 'watch' ELSE 'nominal' END AS corroboration,
+ CASE WHEN report_id % 3 = 0 THEN 'on_demand_point' ELSE 'cached_lake' END AS mode FROM {} WHERE report_id % 5 <> 0"""
+
+
+@query(f"""WITH {ctes('v_reports')}, a AS ({_LOOKED_UP.format('v_reports')}),
+j AS (SELECT r.report_id, a.*, a.report_id IS NULL OR a.failed AS lost FROM v_reports r LEFT JOIN a ON a.report_id = r.report_id AND a.checked_at <= r.created_at + INTERVAL 1 HOUR)
+SELECT report_id, CASE WHEN lost THEN 'error' WHEN available THEN 'done' ELSE 'unavailable' END AS satellite_status, CASE WHEN NOT lost THEN coalesce(live_ndci, latest_ndci) END AS satellite_ndci, CASE WHEN NOT lost THEN exceeds END AS satellite_exceeds_clean_baseline,
+ CASE WHEN NOT lost THEN corroboration END AS satellite_corroboration, CASE WHEN NOT lost THEN mode END AS satellite_mode, CASE WHEN NOT lost THEN checked_at END AS satellite_checked_at FROM j""")
+def settled_reports(t: Tables) -> DataFrame:
+    """H1: look-ups that answer in time, too late, never, or fail"""
+    reports_ = t["v_reports"]
+    out = enrichment.settle(reports_, t.spark.sql(_LOOKED_UP.format("{r}"), r=reports_))
+    return out.select("report_id", "satellite_status", *[f"satellite_{c}" for c in ("ndci", "exceeds_clean_baseline", "corroboration", "mode", "checked_at")])
+
+
 # evaluation
 
 
@@ -949,6 +975,32 @@ def dominant_colours(t: Tables) -> DataFrame:
     return photo.dominant_rgb(t["v_photo_pixels"])
 
 
+def _clusters_sql(steps: int) -> str:
+    """Clusters step by step: seeds, then centres (k, cr, cg, cb) moved ``steps`` times."""
+    away = "pow({0}.r - {1}.cr, 2) + pow({0}.g - {1}.cg, 2) + pow({0}.b - {1}.cb, 2)".format
+    seed = lambda k, order, source: f"s{k} AS MATERIALIZED (SELECT image_id, {k} AS k, r AS cr, g AS cg, b AS cb FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY {order}, r, g, b) AS o FROM {source}) y WHERE o = 1)"
+    far = lambda *of: "(SELECT h.*, least(" + ", ".join(away("h", f"s{k}") for k in of) + ") AS d FROM h " + " ".join(f"JOIN s{k} ON s{k}.image_id = h.image_id" for k in of) + ") x"
+    parts = [
+        f"h AS MATERIALIZED (SELECT image_id, r::DOUBLE AS r, g::DOUBLE AS g, b::DOUBLE AS b, count(*) AS n FROM ({_ROI}) x GROUP BY 1, 2, 3, 4)",
+        seed(0, "n DESC", "h"), seed(1, "d DESC", far(0)), seed(2, "d DESC", far(0, 1)), "c0 AS MATERIALIZED (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2)",
+    ]
+    for i in range(steps + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT h.image_id, r, g, b, n, arg_min(k, ({away('h', f'c{i}')}, k)) AS k FROM h JOIN c{i} ON c{i}.image_id = h.image_id GROUP BY ALL)")
+        moved = ", ".join(f"coalesce(m.{x}, c{i}.c{x}) AS c{x}" for x in "rgb")
+        sums = f"(SELECT image_id, k, {', '.join(f'sum(n * {x}) / sum(n) AS {x}' for x in 'rgb')} FROM a{i} GROUP BY 1, 2)"
+        parts.append(f"c{i + 1} AS MATERIALIZED (SELECT c{i}.image_id, c{i}.k, {moved} FROM c{i} LEFT JOIN {sums} m ON m.image_id = c{i}.image_id AND m.k = c{i}.k)")
+    parts.append(f"big AS (SELECT image_id, k, n, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, k) AS o FROM (SELECT image_id, k, sum(n)::BIGINT AS n FROM a{steps} GROUP BY 1, 2) x)")
+    parts.append(f"o AS (SELECT image_id, n, trunc(cr)::INT AS r, trunc(cg)::INT AS g, trunc(cb)::INT AS b FROM big JOIN c{steps} USING (image_id, k) WHERE o = 1)")
+    return ",\n".join(parts)
+
+
+@query(f"WITH {ctes('v_photo_pixels')}, {_clusters_sql(photo.STEPS)}, pal(i, pr, pg, pb) AS (VALUES {', '.join(f'({i}, {r}, {g}, {b})' for i, (r, g, b) in enumerate(K.FU_RGB, 1))})"
+       " SELECT image_id, n, r, g, b, (SELECT arg_min(i, (pow(o.r - pr, 2) + pow(o.g - pg, 2) + pow(o.b - pb, 2), i)) FROM pal) AS fu_index FROM o")
+def dominant_clusters(t: Tables) -> DataFrame:
+    """The largest of three clusters of each image's colours"""
+    return photo.dominant_cluster(t["v_photo_pixels"])
+
+
 @query(f"""WITH {ctes('v_detections')}, o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY confidence DESC, turn) AS k FROM v_detections)
 SELECT conv_id, count(*)::INT AS n, max(class) FILTER (WHERE k = 1) AS top_class, max(confidence) AS top_confidence, coalesce(max(confidence) FILTER (WHERE class IN ('polluted', 'algae')), 0e0) AS pollution_confidence,
  printf('%d detections, top %s %.0f%%', count(*), max(class) FILTER (WHERE k = 1), round(max(confidence) * 100)) AS summary, count(*) FILTER (WHERE class = 'clean') AS clean, count(*) FILTER (WHERE class = 'polluted') AS polluted, count(*) FILTER (WHERE class = 'turbid') AS turbid FROM o GROUP BY 1""")

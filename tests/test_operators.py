@@ -356,3 +356,64 @@ def test_detections_of_an_image(spark):
     assert (got[2].n, got[2].top_class, got[2].top_confidence, got[2].pollution_confidence) == (1, "clean", None, 0.0)
     assert (got[3].top_class, got[3].class_counts) == (None, {})
     assert photo.detections(rows.where("false")).count() == 0
+
+
+def _plain_clusters(pixels, k=3, steps=20):
+    """The largest of ``k`` clusters, colour by colour."""
+    from collections import Counter
+
+    counts = sorted(Counter(pixels).items())
+    d = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    centres = [max(counts, key=lambda cn: cn[1])[0]]
+    while len(centres) < k:
+        centres.append(max(counts, key=lambda cn: min(d(cn[0], c) for c in centres))[0])
+    for step in range(steps + 1):
+        groups = [[] for _ in range(k)]
+        for c, n in counts:
+            groups[min(range(k), key=lambda j: d(c, centres[j]))].append((c, n))
+        sizes = [sum(n for _, n in g) for g in groups]
+        if step < steps:
+            centres = [tuple(sum(c[i] * n for c, n in g) / s for i in range(3)) if s else old for g, s, old in zip(groups, sizes, centres, strict=True)]
+    top = sizes.index(max(sizes))
+    return max(sizes), *[int(x) for x in centres[top]]
+
+
+def test_dominant_clusters_by_a_plain_version(spark, monkeypatch):
+    rng = random.Random(5)
+    images = {k: [tuple(rng.choice(range(0, 256, rng.choice([1, 64]))) for _ in range(3)) for _ in range(64)] for k in range(12)}
+    images[20] = [(7, 8, 9)] * 64  # one colour
+    images[21] = [(0, 0, 0)] * 32 + [(255, 255, 255)] * 32  # two, equally many
+    rows = [(k, 1 + i % 8, 1 + i // 8, 10, 10, *c) for k, p in images.items() for i, c in enumerate(p)]
+    rows += [(k, 0, 5, 10, 10, 255, 0, 0) for k in images]  # the edge doesn't count
+    rows += [(30, 1 + i, 1, 10, 10, None, 1, 1) for i in range(8)]
+    df = spark.createDataFrame(rows, "image_id long, x int, y int, width int, height int, r int, g int, b int").withColumns({"c": F.lit(1), "n": F.lit(2), "colours": F.lit(3)})
+    want = {k: _plain_clusters(p) for k, p in images.items()}
+    for some in (photo.COLOURS, 100):  # many images at a time, or few
+        monkeypatch.setattr(photo, "COLOURS", some)
+        got = {r.image_id: (r.n, r.r, r.g, r.b) for r in photo.dominant_cluster(df).collect()}
+        assert got == want
+    assert photo.dominant_cluster(df.limit(0)).count() == 0
+
+
+def test_dense_cells_are_dealt_over_tasks(spark):
+    """Half of all reports lie in one cell, many of them at one place; no task has twice the median, and no row is lost."""
+    rng = random.Random(8)
+    rows = [(k, 12.90001, 77.50001) for k in range(4000)] + [(4000 + k, 12.9 + rng.random() * 0.004, 77.5 + rng.random() * 0.004) for k in range(4000)]
+    rows += [(8000 + k, 13 + rng.random(), 77.5 + rng.random()) for k in range(8000)]
+    points = spark.createDataFrame(rows, "report_id long, latitude double, longitude double").repartition(4)
+    bodies = spark.createDataFrame([(k, 12.9 + rng.random() * 0.003, 77.5 + rng.random() * 0.003, 1) for k in range(3)] + [(9 + k, 13 + rng.random(), 77.5 + rng.random(), 1) for k in range(200)], "id long, latitude double, longitude double, parts int")
+    key = lambda df: sorted((r.report_id, r.body_id, r.distance) for r in df.collect())
+    assert key(spatial.nearest_within(points, bodies, dense=100)) == key(spatial.nearest_within(points, bodies, dense=None))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        tasks = lambda dense: sorted(r.n for r in spatial.within_radius(points, bodies.where("id < 9"), 500.0, dense).groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct("report_id").alias("n")).collect())
+        assert len(tasks(None)) < 4
+        dealt = tasks(100)
+        assert len(dealt) == 4 and dealt[-1] <= 2 * (dealt[1] + dealt[2]) / 2
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    cut = {r.n for r in spatial.dense_cells(points, 500.0, 100).agg(F.count("*").alias("n")).collect()}
+    assert 1 <= cut.pop() < 20

@@ -7,11 +7,11 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from tarnlight.operators import alerts
+from tarnlight.operators import alerts, satellite
 from tarnlight.operators.reports import body_state, scored
 from tarnlight.plans.adapters import Tables
 from tarnlight.sources import tables as S
-from tarnlight.streaming import alert_states, state, streams
+from tarnlight.streaming import alert_states, enrichment, state, streams
 
 SF = "/root/testdata/sf0.001"
 
@@ -199,3 +199,86 @@ def test_late_rows_and_weeks_as_a_stream(spark, tmp_path):
     streams.run_to_table(streams.weekly_snapshots(weeks, "60 days"), "weeks", f"{tmp_path}/cw", "complete")
     key = lambda df: sorted((r.window_start, r.report_count, r.risk_score) for r in df.collect())
     assert key(spark.table("weeks")) == key(streams.weekly_snapshots(spark.createDataFrame(rows, schema)))
+
+
+_RESULT = "report_id long, checked_at timestamp, failed boolean, available boolean, live_ndci double, latest_ndci double, exceeds boolean, spatial_confidence string, corroboration string, mode string"
+
+
+def _look_ups():
+    """Reports of two hours, and look-ups that answer in time, on the last minute, too late, twice, never, for nobody, or fail."""
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    reports = [(k, at(k * 10), f"n{k}") for k in range(12)] + [(3, at(30), "n3"), (None, at(5), "no id"), (90, None, "no time")]
+    answer = lambda k, after, failed=False, there=True: (k, at(k * 10 + after), failed, there, None, 0.1 * k, k % 2 == 0, None, "watch", "cached_lake")
+    results = [answer(0, 5), answer(1, 60), answer(2, 61), answer(3, 1), answer(3, 1), answer(4, 2, failed=True), answer(5, 2, there=False), answer(6, 0), answer(7, -1), answer(400, 3)]
+    results += [(None, at(1), False, True, 0.1, 0.1, True, None, "watch", "cached_lake"), (8, None, False, True, 0.1, 0.1, True, None, "watch", "cached_lake"), (9, at(95), None, None, 0.3, 0.1, None, None, None, None)]
+    want = {0: "done", 1: "done", 2: "error", 3: "done", 4: "error", 5: "unavailable", 6: "done", 7: "error", 8: "error", 9: "unavailable", 10: "error", 11: "error", None: "error", 90: "error"}
+    return reports, results, want
+
+
+def test_settled_reports_of_tables(spark):
+    reports, results, want = _look_ups()
+    # names that the operator uses itself, and one that the look-up writes
+    schema = "report_id long, created_at timestamp, answer string"
+    left = spark.createDataFrame(reports, schema).withColumns({"id": F.lit(1), "at": F.lit(2), "row": F.lit(3), "of": F.lit(4), "then": F.lit(5), "_n": F.lit(6), "available": F.lit(7), "satellite_status": F.lit("old")})
+    right = spark.createDataFrame(results, _RESULT)
+    out = enrichment.settle(left, right)
+    rows = out.collect()
+    assert sorted((str(r.report_id), r.satellite_status) for r in rows) == sorted((str(k), v) for k, v in want.items())
+    assert {(r.id, r.at, r.row, r.of, r.then, r._n, r.available) for r in rows} == {(1, 2, 3, 4, 5, 6, 7)}
+    by = {r.report_id: r for r in rows}
+    assert by[1].satellite_ndci == 0.1 and by[1].answer == "n1" and by[9].satellite_ndci == 0.3
+    assert by[4].satellite_ndci is None and by[2].satellite_checked_at is None
+    now = {r.report_id: r.satellite_status for r in enrichment.lifecycle(left, out.where("report_id < 4")).collect()}
+    assert now == {k: (want[k] if k < 4 else "processing") for k in want if k is not None}
+    assert enrichment.settle(left.limit(0), right).count() == 0
+    assert {r.satellite_status for r in enrichment.settle(left, right.limit(0)).collect()} == {"error"}
+    assert {r.satellite_status for r in enrichment.processing(left).collect()} == {"processing"}
+
+
+def test_settled_reports_of_streams(spark, tmp_path):
+    """H1: the streams settle each report as the tables do; no error comes before the watermark passes."""
+    reports, results, want = _look_ups()
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        end = datetime(2024, 1, 3)
+        steps = [(reports[:6], results[:3]), (reports[6:], results[3:]), ([(500, end, "last")], [(501, end, False, True, 0.1, 0.1, True, None, "watch", "cached_lake")])]
+        errors = []
+        for k, (a, b) in enumerate(steps):
+            spark.createDataFrame(a, "report_id long, created_at timestamp, note string").coalesce(1).write.parquet(f"{tmp_path}/reports/{k}")
+            spark.createDataFrame(b, _RESULT).coalesce(1).write.parquet(f"{tmp_path}/results/{k}")
+            read = lambda name, schema: spark.readStream.schema(schema).parquet(f"{tmp_path}/{name}/*")
+            out = enrichment.settle(read("reports", "report_id long, created_at timestamp, note string"), read("results", _RESULT), late="2 hours")
+            out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+            errors.append(spark.read.parquet(f"{tmp_path}/out").where("satellite_status = 'error' and report_id is not null and report_id < 90").count())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    got = sorted((str(r.report_id), r.satellite_status) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == sorted((str(k), v) for k, v in want.items())  # the last report still waits
+    assert errors[:2] == [0, 1] and errors[2] == 6  # a failed look-up is known at once, the missing ones when no answer can come
+
+
+def test_months_kept_by_folder(spark, tmp_path):
+    """A10: a new scene rewrites the folder of its month and lake alone; the table equals a full count after each refresh."""
+    px = Tables(spark, SF)["v_pixels"].cache()
+    path = f"{tmp_path}/months"
+    key = lambda df: sorted((r.lake_id, r.category, r.date, r.ndci_mean, r.water_px, r.n_scenes) for r in df.collect())
+    files = lambda: {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+    one = px.where("cloudy_pct < 20").orderBy("scene_id", "lake_id", "pixel_id").first()
+    same = (F.col("scene_id") == one.scene_id) & (F.col("lake_id") == one.lake_id) & (F.col("sensed_date") == F.lit(one.sensed_date))
+    old = px.where(~same)
+    satellite.refresh_months(old, old, path, folders=2)
+    assert key(satellite.kept_months(spark, path)) == key(satellite.monthly_ndci(old))
+    before = files()
+    satellite.refresh_months(px, px.where(same), path, folders=2)
+    after = files()
+    assert key(satellite.kept_months(spark, path)) == key(satellite.monthly_ndci(px))
+    changed = {os.path.dirname(f) for f in set(before) ^ set(after)}
+    assert len(changed) == 1 and f"date={one.sensed_date:%Y-%m}" in next(iter(changed))
+    satellite.refresh_months(px, px.where(same), path, folders=2)
+    satellite.refresh_months(px, px.limit(0), path, folders=2)
+    assert key(satellite.kept_months(spark, path)) == key(satellite.monthly_ndci(px))
+    # a lake that is known by undated pixels alone
+    lost = px.limit(1).withColumns({"lake_id": F.lit(10**6).cast(px.schema["lake_id"].dataType), "sensed_date": F.lit(None).cast(px.schema["sensed_date"].dataType)})
+    more = px.unionByName(lost)
+    satellite.refresh_months(more, lost, path, folders=2)
+    assert key(satellite.kept_months(spark, path)) == key(satellite.monthly_ndci(more))
