@@ -8,6 +8,10 @@ merge of one range at a time:
    and for each token how many different tokens preceded it.
 2. tokens: these and the plain counts go to the token's range and are written as sorted hash arrays too.
 
+With more than 2^10 ranges rows are not sent to each of them: a task deals them to 2^10 coarse ranges by the first ten bits
+of the key, a task of a coarse range merges what it gathers and deals it by the next ten, and so on. So a send makes 2^10
+rows at most, and rows grow with the corpus times the number of rounds, not with its square.
+
 The files lie in the shared folder. Scoring tasks map them into memory and look up the distinct pairs and tokens of some MB
 of text at a time, in sorted order, so a task holds no model, and the model may be larger than memory. The number of ranges
 grows with the corpus, so that a range's size doesn't.
@@ -42,6 +46,8 @@ RANGE_CHARS, TASK_TOKENS, SCORE_BYTES = 24_000_000, 4_000_000, 12_000_000
 END, START = (int(x) for x in hash64([b"\n", b" "]))
 _U48 = np.uint64(16)
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a key that one round of sending tells apart.
+ROUND_BITS = 10
 
 
 def _pairs(before: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -73,6 +79,11 @@ def _counted(keys: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[first], order[first], *[np.add.reduceat(s[order], first) if len(first) else s[:0] for s in sums]
 
 
+def _rounds(bits: int) -> list[int]:
+    """How many bits of the key the ranges have after each round of sending; the last has all."""
+    return [*range(ROUND_BITS, bits, ROUND_BITS), bits]
+
+
 def _by_range(bits: int, kind: str, keys: np.ndarray, *arrays: np.ndarray) -> Iterator[dict]:
     """Packed rows, one for each range of sorted ``keys`` that has any."""
     part = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
@@ -81,6 +92,34 @@ def _by_range(bits: int, kind: str, keys: np.ndarray, *arrays: np.ndarray) -> It
         yield {"part": int(part[a]), "kind": kind, "n": int(b - a), "data": _pack(*[x[a:b] for x in arrays])}
 
 
+def _types(kind: str) -> tuple[type, ...]:
+    """What a packed row of a kind holds. Counts that a round has added up are wide; their kind ends in a plus."""
+    wide = kind.endswith("+")
+    n = np.int64 if wide else np.uint32
+    return {"pairs": (np.uint64, np.uint64, n), "tokens": (np.uint64, np.int64), "contexts": (np.uint64, n, n, n), "preceded": (np.uint64, n)}[kind.rstrip("+")]
+
+
+def _unpacked(kind: str, n: int, data: bytes) -> tuple[str, list[np.ndarray]]:
+    """The kind without its width, and its arrays: of pairs both tokens, else one key, then counts."""
+    types, kind = _types(kind), kind.rstrip("+")
+    arrays, keys = _unpack(data, n, *types), 2 if kind == "pairs" else 1
+    if kind == "pairs":
+        arrays[0] = np.cumsum(arrays[0], dtype=np.uint64)
+    return kind, [*arrays[:keys], *[x.astype(np.int64) for x in arrays[keys:]]]
+
+
+def _pairs_by_range(bits: int, kind: str, before: np.ndarray, after: np.ndarray, count: np.ndarray) -> Iterator[dict]:
+    """Packed rows of distinct pairs of tokens (their 48 bits) with the sums of their counts."""
+    keys, at, n = _counted(_pairs(before << _U48, after << _U48), count)
+    before, after = before[at], after[at]
+    part = keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64)
+    order = np.argsort((part << np.uint64(48)) | before if bits <= 16 else keys)  # equal contexts pack well
+    before, part = before[order], part[order]
+    same = np.concatenate([[False], part[1:] == part[:-1]])
+    steps = before - np.where(same, np.roll(before, 1), np.uint64(0))
+    yield from _by_range(bits, kind, keys[order], steps, after[order], n[order].astype(_types(kind)[2]))
+
+
 _ROWS = "part long, kind string, n long, data binary"
 _SCHEMA = pa.schema([("part", pa.int64()), ("kind", pa.string()), ("n", pa.int64()), ("data", pa.binary())])
 
@@ -179,6 +218,43 @@ def _of_counts(counts: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6)[1:5].tolist()
 
 
+def _dealt(rows: DataFrame, bits: int, tasks: int) -> DataFrame:
+    """A further round: rows of a coarse range, some at a time, added up and dealt by ``bits`` bits of their keys.
+
+    Any task may take any of a coarse range's rows, so ranges are spread over as many tasks as there are.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent(held: dict[str, list]) -> Iterator[dict]:
+            for kind, arrays in held.items():
+                columns = [np.concatenate(x) for x in zip(*arrays, strict=True)]
+                if kind == "pairs":
+                    yield from _pairs_by_range(bits, "pairs+", *columns)
+                    continue
+                keys, _, *sums = _counted(*columns)
+                yield from _by_range(bits, f"{kind}+", keys if kind == "tokens" else keys << _U48, keys, *sums)
+
+        held, size, part, sizes = {}, 0, None, None
+        for batch in batches:
+            for number, kind, n, data in zip(*[batch.column(c).to_pylist() for c in ("part", "kind", "n", "data")], strict=True):
+                if kind == "sizes":
+                    sizes = np.frombuffer(data, np.int64) + (0 if sizes is None else sizes)
+                    continue
+                if held and (number != part or size >= TASK_TOKENS):
+                    yield _send(list(sent(held)))
+                    held, size = {}, 0
+                kind, arrays = _unpacked(kind, n, data)
+                held.setdefault(kind, []).append(arrays)
+                part, size = number, size + n
+        if held:
+            yield _send(list(sent(held)))
+        if sizes is not None:
+            yield _send([{"part": -1, "kind": "sizes", "n": len(sizes), "data": sizes.tobytes()}])
+
+    spread = F.pmod(F.xxhash64("data"), F.lit(max(1, tasks >> ROUND_BITS)))
+    return rows.repartition(tasks, "part", spread).sortWithinPartitions("part").mapInArrow(deal, _ROWS)
+
+
 def train(docs: DataFrame, text: str = "text") -> Model:
     """Count the model over all of ``docs``. Null is the empty text. No rows: a model that knows no token."""
     spark = docs.sparkSession
@@ -186,21 +262,15 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     texts = docs.select(F.col(text).alias("text"))
     rows, chars = texts.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     bits = max(0, int(np.ceil(np.log2(max(1, chars / RANGE_CHARS)))))
+    first, *further = _rounds(bits)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sent(held: list[np.ndarray]) -> Iterator[dict]:
             after = np.concatenate(held)
             before = np.concatenate([[np.uint64(START)], after[:-1]])
             before[np.cumsum([len(x) for x in held])[:-1]] = START
-            keys, at, n = _counted(_pairs(before, after), np.ones(len(after), np.int64))
-            before, after = before[at] >> _U48, after[at] >> _U48
-            part = keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64)
-            order = np.argsort((part << np.uint64(48)) | before if bits <= 16 else keys)  # equal contexts pack well
-            before, part = before[order], part[order]
-            same = np.concatenate([[False], part[1:] == part[:-1]])
-            steps = before - np.where(same, np.roll(before, 1), np.uint64(0))
-            yield from _by_range(bits, "pairs", keys[order], steps, after[order], n[order].astype(np.uint32))
-            yield from _by_range(bits, "tokens", *(lambda k, _, c: (k, k, c))(*_counted(np.concatenate(held), np.ones(sum(map(len, held)), np.int64))))
+            yield from _pairs_by_range(first, "pairs", before >> _U48, after >> _U48, np.ones(len(after), np.int64))
+            yield from _by_range(first, "tokens", *(lambda k, _, c: (k, k, c))(*_counted(np.concatenate(held), np.ones(sum(map(len, held)), np.int64))))
 
         held, size = [], 0
         for (column,) in columns(batches, "text"):
@@ -216,11 +286,10 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     def merge_pairs(key: tuple, table: pa.Table) -> pa.Table:
         out, pairs, number = [], [], key[0].as_py()
         for kind, n, data in zip(*[table.column(c).to_pylist() for c in ("kind", "n", "data")], strict=True):
-            if kind == "tokens":
-                out.append({"part": number, "kind": kind, "n": n, "data": data})
+            if kind.startswith("tokens"):
+                out.append({"part": number >> (bits - first), "kind": kind, "n": n, "data": data})
                 continue
-            before, after, count = _unpack(data, n, np.uint64, np.uint64, np.uint32)
-            pairs.append((np.cumsum(before, dtype=np.uint64), after, count.astype(np.int64)))
+            pairs.append(_unpacked(kind, n, data)[1])
         if not pairs:
             return pa.Table.from_pylist(out, _SCHEMA)
         before, after, count = (np.concatenate(x) for x in zip(*pairs, strict=True))
@@ -230,9 +299,9 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         _write(folder, f"pairs-{number}", {"hash": keys, **_small(n)})
         out.append({"part": -1, "kind": "sizes", "n": 5, "data": np.array([len(keys), *_of_counts(n)], np.int64).tobytes()})
         contexts, _, one, two, more = _counted(before, *[x.astype(np.int64) for x in (n == 1, n == 2, n > 2)])
-        out += _by_range(bits, "contexts", contexts << _U48, contexts, *[x.astype(np.uint32) for x in (one, two, more)])
+        out += _by_range(first, "contexts", contexts << _U48, contexts, *[x.astype(np.uint32) for x in (one, two, more)])
         types, _, preceded = _counted(after, np.ones(len(after), np.int64))
-        out += _by_range(bits, "preceded", types << _U48, types, preceded.astype(np.uint32))
+        out += _by_range(first, "preceded", types << _U48, types, preceded.astype(np.uint32))
         return pa.Table.from_pylist(out, _SCHEMA)
 
     def sizes(first: int, values: np.ndarray) -> pa.Table:
@@ -243,13 +312,13 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         if number < 0:
             return sizes(0, np.sum([np.frombuffer(x, np.int64) for x in table.column("data").to_pylist()], axis=0))
         got: dict[str, list] = {"tokens": [], "contexts": [], "preceded": []}
-        kinds = {"tokens": (np.uint64, np.int64), "contexts": (np.uint64, *[np.uint32] * 3), "preceded": (np.uint64, np.uint32)}
         for kind, n, data in zip(*[table.column(c).to_pylist() for c in ("kind", "n", "data")], strict=True):
-            got[kind].append(_unpack(data, n, *kinds[kind]))
+            kind, arrays = _unpacked(kind, n, data)
+            got[kind].append(arrays)
         sums = {}
         for kind, width in (("tokens", 1), ("contexts", 3), ("preceded", 1)):
             arrays = [np.concatenate(x) for x in zip(*got[kind], strict=True)] or [np.empty(0, np.uint64), *[np.empty(0, np.int64)] * width]
-            sums[kind] = _counted(arrays[0], *[x.astype(np.int64) for x in arrays[1:]])
+            sums[kind] = _counted(*arrays)
         hashes, _, count = sums["tokens"]
 
         def at(kind: str, number: int) -> np.ndarray:
@@ -269,7 +338,12 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         return sizes(5, np.array([len(hashes), count.sum(), preceded.sum(dtype=np.int64), *_of_counts(preceded)], np.int64))
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 << bits)  # as many ranges in each, however large the corpus
-    pairs = texts.mapInArrow(gather, _ROWS).repartition(tasks, "part").groupBy("part").applyInArrow(merge_pairs, _ROWS)
+    sent = texts.mapInArrow(gather, _ROWS)
+    for b in further:
+        sent = _dealt(sent, b, tasks)
+    pairs = sent.repartition(tasks, "part").groupBy("part").applyInArrow(merge_pairs, _ROWS)
+    for b in further:
+        pairs = _dealt(pairs, b, tasks)
     merged = pairs.repartition(tasks, "part").groupBy("part").applyInArrow(merge_tokens, "k int, value long")
     total = dict(merged.groupBy("k").agg(F.sum("value")).collect())
     pair_types, *pairs, v, n, preceded, of1, of2, of3, of4 = (total.get(k, 0) for k in range(12))

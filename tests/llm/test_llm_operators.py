@@ -483,6 +483,21 @@ def test_kneser_ney_matches_brute_force(spark, texts, monkeypatch):
     assert sum(lower(w) for w in uni) + rest / (v + 1) == pytest.approx(1)
 
 
+def test_kneser_ney_sends_in_rounds(spark, monkeypatch):
+    """Ranges reached in three rounds of two bits hold the model that one round makes; a task sends four rows of a kind at most."""
+    monkeypatch.setattr(kneser_ney, "RANGE_CHARS", 30_000)
+    monkeypatch.setattr(kneser_ney, "TASK_TOKENS", 20_000)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    made = []
+    for bits in (10, 2):
+        monkeypatch.setattr(kneser_ney, "ROUND_BITS", bits)
+        model = kneser_ney.train(docs)
+        scores = {r.doc_id: r.s for r in docs.select("doc_id", kneser_ney.scored("text", model).alias("s")).collect()}
+        made.append((model.bits, kneser_ney._rounds(model.bits), {**vars(model), "folder": ""}, scores))
+    assert made[0][0] >= 5 and len(made[0][1]) == 1 and len(made[1][1]) >= 3
+    assert made[0][2:] == made[1][2:]
+
+
 def test_kneser_ney_odd_rows(odd, empty):
     model = kneser_ney.train(odd)
     got = odd.select("doc_id", kneser_ney.scored("text", model).alias("s")).collect()
