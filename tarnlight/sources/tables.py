@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,8 +137,40 @@ def read_report(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     return spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(ddl)], F.lit("NOT RUN").alias("status"))
 
 
-def append_new(df: DataFrame, path: str, key: str) -> None:
-    """Append the rows whose key isn't in the table yet."""
-    spark = df.sparkSession
-    new = absent(df, spark.read.parquet(path), key) if exists(spark, path) else df.dropDuplicates([key])
-    new.write.mode("append").parquet(path)
+_BATCH = "appended_in"
+
+
+def _finished(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the batches whose write came to its end: a list of names, one for each append."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{_BATCH}=*/_SUCCESS")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    return sorted(f.getPath().getParent().toString() for f in found or [])
+
+
+def append_new(df: DataFrame, path: str, key: str, batch: str | None = None) -> None:
+    """Append the rows whose key isn't in the table yet, of repeated new keys one, as a folder of their own.
+
+    A write that failed leaves a folder that no reader counts. A batch that comes again under its name overwrites its folder
+    and looks at the other batches only, so the table stays as it was. Without a name a batch takes the time and a random
+    number, so that writers never overwrite each other's; keys that two of them bring at one time are told apart by
+    ``appended``. Rows without a key are never taken for known: each batch adds one.
+    """
+    if _BATCH in df.columns:
+        raise ValueError(f"the table has a column {_BATCH}, which names its batches")
+    spark, name = df.sparkSession, batch or f"{time.time_ns()}-{uuid.uuid4().hex}"
+    others = [f for f in _finished(spark, path) if not f.endswith(f"/{_BATCH}={name}")]
+    new = absent(df, spark.read.parquet(*others), key) if others else df.dropDuplicates([key])
+    new.write.mode("overwrite").parquet(f"{path}/{_BATCH}={name}")
+
+
+def appended(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    """The rows of all batches of ``append_new`` that were finished. With ``key``, of equal keys the first batch's row;
+    rows without a key all stay. A table that no batch finished is an error."""
+    folders = _finished(spark, path)
+    if not folders:
+        raise ValueError(f"no finished batch at {path}")
+    rows = spark.read.option("basePath", path).parquet(*folders)
+    if key is not None:
+        first = Window.partitionBy(key).orderBy(_BATCH)
+        rows = rows.withColumn("_n", F.row_number().over(first)).where((F.col("_n") == 1) | F.col(key).isNull()).drop("_n")
+    return rows.drop(_BATCH)

@@ -5,6 +5,7 @@ import os
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from tarnlight.operators import alerts, satellite
@@ -65,6 +66,37 @@ def test_cached_tables_reports_and_appends(spark, tmp_path):
     assert sorted(x for x in os.listdir(tmp_path / "s") if x.startswith("split")) == ["split=0", "split=1"]
 
 
+def test_appends_by_batch(spark, tmp_path):
+    """Unfinished and repeated batches, two writers at one time, rows without a key."""
+    path, schema = f"{tmp_path}/t", "name string, v int"
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    got = lambda key=None: sorted((str(r.name), r.v) for r in S.appended(spark, path, key).collect())
+    with pytest.raises(ValueError):
+        S.appended(spark, path)
+    S.append_new(rows(("a", 1), ("b", 2)), path, "name", "first")
+    S.append_new(rows(("b", 3), ("c", 4)), path, "name", "second")
+    assert got() == [("a", 1), ("b", 2), ("c", 4)]
+    # a write that failed: rows without a mark of success; the next try takes its place
+    rows(("d", 5)).write.parquet(f"{path}/appended_in=third")
+    os.remove(f"{path}/appended_in=third/_SUCCESS")
+    assert got() == [("a", 1), ("b", 2), ("c", 4)]
+    for _ in range(2):
+        S.append_new(rows(("d", 6), ("a", 7)), path, "name", "third")
+        S.append_new(rows(("a", 1), ("b", 2)), path, "name", "first")
+    assert got() == got("name") == [("a", 1), ("b", 2), ("c", 4), ("d", 6)]
+    # what a writer brings that began before another had finished
+    rows(("e", 8)).write.parquet(f"{path}/appended_in=u1")
+    rows(("e", 9), ("f", 10)).write.parquet(f"{path}/appended_in=u2")
+    assert got("name") == [("a", 1), ("b", 2), ("c", 4), ("d", 6), ("e", 8), ("f", 10)] and len(got()) == 7
+    S.append_new(rows((None, 11), (None, 11)), path, "name")
+    S.append_new(rows((None, 12)), path, "name")
+    assert [v for n, v in got("name") if n == "None"] == [11, 12]
+    S.append_new(rows(), path, "name")
+    assert len(got("name")) == 8
+    with pytest.raises(ValueError):
+        S.append_new(rows(("a", 1)).withColumn("appended_in", F.lit(1)), path, "name")
+
+
 def _stream(spark, tmp_path, name):
     batch = Tables(spark, SF)["v_reports"]
     batch.repartition(4).write.parquet(f"{tmp_path}/{name}")
