@@ -186,15 +186,26 @@ _SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def without_spans(text: Column, spans: Column) -> Column:
-    """The text with the hit words, and what stands between two of one span, removed."""
+    """The text with the hit words, and what stands between two of one span, removed. ``spans`` are in order and apart.
+
+    What stays is cut out between the spans, so the cost is in proportion to the text, however many spans it has.
+    """
     text = F.coalesce(text, F.lit(""))
-    parts = F.split(text, _SEPARATOR, -1)
     gaps = F.regexp_extract_all(text, F.lit(_SEPARATOR), F.lit(0))
-    head = F.when(F.element_at(parts, 1) == "", 1).otherwise(0)  # a text that begins with a separator has no word before it
-    hit = lambda i: F.exists(spans, lambda s: (i >= s["first"]) & (i <= s["last"]))
-    pieces = F.transform(parts, lambda p, i: F.struct(p.alias("p"), (i - head).alias("w"), F.coalesce(F.get(gaps, i), F.lit("")).alias("g")))
-    kept = F.filter(pieces, lambda x: ~hit(x["w"]) | (x["p"] == ""))
-    return F.array_join(F.transform(kept, lambda x: F.concat(x["p"], x["g"])), "")
+
+    def cut(x: Column) -> Column:
+        parts, spans = x["parts"], x["spans"]
+        head = F.when(F.element_at(parts, 1) == "", 1).otherwise(0)  # a text that begins with a separator has no word before it
+        starts = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["last"] + 1 + head))
+        ends = F.concat(F.transform(spans, lambda s: s["first"] + head), F.array(F.size(parts)))
+        kept = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda z: F.slice(x["pieces"], z["a"] + 1, z["b"] - z["a"]))
+        return F.array_join(F.flatten(kept), "")
+
+    # bound by a lambda each, so that no span computes the words anew
+    split = F.transform(F.array(F.struct(F.split(text, _SEPARATOR, -1).alias("parts"), gaps.alias("gaps"), spans.alias("spans"))), lambda x: F.struct(
+        x["parts"].alias("parts"), x["spans"].alias("spans"), F.transform(x["parts"], lambda p, i: F.concat(p, F.coalesce(F.get(x["gaps"], i), F.lit("")))).alias("pieces"),
+    ))
+    return F.get(F.transform(split, cut), F.lit(0))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", remove: str = "documents", window: int = WINDOW) -> DataFrame:

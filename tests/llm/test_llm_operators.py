@@ -444,6 +444,18 @@ def test_removal_of_spans_and_documents(spark, odd, empty):
     assert decontaminate.decontaminate(odd, bench.limit(0)).count() == len(ODD)
 
 
+def test_removal_of_very_many_spans(spark):
+    """Each second word of a long text is a hit, besides short texts that begin or end with hits and separators."""
+    bench = spark.createDataFrame([(1, "bad")], "item_id long, text string")
+    texts = ["bad", " bad", "bad ", "bad bad", "good", "...good, bad! good", "bad good.", "", "- bad, bad - Bad; ok", "good bad " * 50_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, bench, remove="spans").collect()}
+    for i, t in enumerate(texts):
+        words = re.split(r"([^A-Za-z]+)", t)
+        want = "".join(w + g for w, g in itertools.zip_longest(words[::2], words[1::2], fillvalue="") if w.lower() != "bad")
+        assert got[i] == want, t[:30]
+
+
 # op6
 
 

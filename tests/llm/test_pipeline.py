@@ -46,3 +46,26 @@ def test_empty_corpus(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, SF), "empty")
     assert docs.count() == 0
+
+
+def test_nulls_repeats_and_very_long_texts(spark):
+    """All stages on odd rows: each ends, equal texts fare alike, and what is neither toxic nor repeated stays until the mixture."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    clean = docs.join(spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 0"), "doc_id").where("n_chars > 500").orderBy("doc_id").first()
+    long = " ".join(f"w{k}" for k in range(200_000))
+    odd = [(-1, None, "en", "src1", None), (-2, "", None, None, 0), (-3, " \n\t ", "en", "src1", 3), (-4, long, "de", "src2", len(long)), (None, clean.text, "fr", "odd", 23), (-5, "key token = abcdef123456", "en", "src3", 24)]
+    # one text with and without a doc_id: whatever the network says of it, both rows fare alike
+    odd += [(None, "a text without a number", "fr", "nowhere", 23), (-6, "a text without a number", "fr", "nowhere", 23)]
+    more = spark.createDataFrame(odd + odd[3:], docs.schema)
+    table = docs.unionByName(more)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        table = materialize(stage(spark, table, SF), name)
+        kept[name] = table.where("doc_id < 0 or doc_id is null").collect()
+    count = lambda name, i: sum(r.doc_id == i for r in kept[name])
+    assert [count("toxicity", i) for i in (-1, -2, -3, -4, -5)] == [1, 1, 1, 2, 2]
+    assert count("toxicity", None) - count("toxicity", -6) == 2  # the clean text's two rows
+    assert count("simhash_near_dedup", -4) >= 1 and count("decontamination", -4) == count("simhash_near_dedup", -4) == count("secret_scan", -4)
+    assert next(r.text for r in kept["secret_scan"] if r.doc_id == -4) == long
+    masked = [r for r in kept["secret_scan"] if r.doc_id == -5]
+    assert masked and all("abcdef123456" not in r.text and r.n_chars == len(r.text) for r in masked)
