@@ -299,6 +299,16 @@ def test_match_lake_prefers_the_exact_name(spark):
     assert {r.id: r.lake_id for r in satellite.match_lake(bodies, lakes).collect()} == {1: 3, 2: 1, 3: None, 4: None}
 
 
+def test_notes_name_all_tracked_lakes(spark):
+    lakes = spark.createDataFrame([(1, "b", 1), (2, "B", 2), (3, None, 3), (4, "b", 4), (5, "a, c", 5)], "lake_id int, lake string, ord int")
+    bodies = spark.createDataFrame([(1, "b"), (2, "x"), (3, None), (4, "a, c")], "id int, name string")
+    summary = spark.createDataFrame([(1, 7)], "lake_id int, n_months long")
+    rows = lambda tracked: {r.id: tuple(r)[1:] for r in satellite.availability(satellite.match_lake(bodies, lakes), bodies, summary, tracked).collect()}
+    note = lambda name: f"'{name}' is not tracked. Tracked lakes (3): B, a, c, b"
+    assert rows(lakes) == {1: (True, "water_detected", 7, None), 2: (False, "unknown", 0, note("x")), 3: (False, "unknown", 0, note("")), 4: (False, "unknown", 0, note("a, c"))}
+    assert {r[3] for r in rows(lakes.where("lake is null")).values()} == {None}  # as the SQL has it
+
+
 def test_months_without_scenes_stay(spark):
     rows = [(1, 1, 1, "2024-01-05", 5.0, 30.0, 10.0, 14.0, 20.0, 6, "polluted"), (1, 1, 2, "2024-03-05", 5.0, 30.0, 10.0, 14.0, 20.0, 9, "polluted")]
     px = spark.createDataFrame(rows, "lake_id int, pixel_id int, scene_id int, sensed_date string, cloudy_pct double, b3 double, b4 double, b5 double, b8 double, scl int, category string").withColumn("sensed_date", F.to_date("sensed_date"))
