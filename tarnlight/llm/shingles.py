@@ -78,8 +78,8 @@ def _bands(found: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``(doc_id, fp, n, bands)`` for each row of ``docs`` (doc_id, text): the hash of its set, the set's size, its keys."""
+def sketches(docs: DataFrame, width: int = WIDTH, *more: Column) -> DataFrame:
+    """``(doc_id, fp, n, bands)`` for each row of ``docs`` (doc_id, text): the hash of its set, the set's size, its keys; then ``more``."""
 
     @F.arrow_udf("struct<fp:bigint,n:int,bands:array<bigint>>")
     def sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -89,8 +89,8 @@ def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             yield pa.StructArray.from_arrays(parts, ["fp", "n", "bands"])
         release()
 
-    found = docs.select("doc_id", sketch.asNondeterministic()(F.col("text")).alias("s"))
-    return found.select("doc_id", "s.fp", "s.n", "s.bands")
+    found = docs.select("doc_id", sketch.asNondeterministic()(F.col("text")).alias("s"), *more)
+    return found.select("doc_id", "s.fp", "s.n", "s.bands", *found.columns[2:])
 
 
 def _sets(docs: DataFrame, classes: DataFrame, some: DataFrame, width: int) -> DataFrame:

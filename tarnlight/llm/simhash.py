@@ -9,8 +9,9 @@ A key under which more than ``crowd`` different fingerprints meet is not joined
 linked to itself and to the codes one bit away among the key's free bits: fingerprints at most two bits apart share such a
 code, and whatever shares one is at most two bits apart, so the components are the same and no pairs are made.
 
-That radius is the contract of the query. Elsewhere near-duplicates are texts whose sets of five-word shingles have a Jaccard
-similarity of 0.8 or more, which lie up to 14 bits apart, too far for blocks (see ``shingles.py``).
+That radius is the contract of the query. Elsewhere these links stand too, and beside them texts are linked whose sets of
+five-word shingles have a Jaccard similarity of 0.8 or more: such texts lie up to 14 bits apart, too far for blocks (see
+``shingles.py``), while texts within two bits can be less similar than that.
 """
 
 from __future__ import annotations
@@ -96,15 +97,31 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     return pairs.distinct().unionByName(around)
 
 
+def _joined_by_code(prints: DataFrame, crowd: int) -> DataFrame:
+    """Edges ``(a, b)`` that join sets ``fp`` of ``prints`` (fp, code) whose texts' SimHash ``code`` is linked.
+
+    A code is a node named by a hash of its own, tied to the sets that it comes from if it is linked or has several.
+    """
+    codes = materialize(prints.select("fp", "code").distinct(), "codes")
+    node = lambda c: F.xxhash64(F.lit("simhash"), F.col(c))
+    met = links(codes.select(F.col("code").alias("fp")).distinct(), crowd)
+    met = materialize(met.select(node("a").alias("a"), node("b").alias("b")), "met")
+    owned = codes.select("fp", node("code").alias("node"))
+    several = owned.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+    ties = several.unionByName(met.select(F.col("a").alias("node"))).unionByName(met.select(F.col("b").alias("node"))).distinct()
+    return met.unionByName(owned.join(ties, "node", "left_semi").select(F.col("fp").alias("a"), F.col("node").alias("b")))
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowd: int | None = None, width: int = shingles.WIDTH,
     similarity: float = shingles.SIMILARITY, max_bits: int | None = None,
 ) -> DataFrame:
     """``(doc_id, fp, component_id)`` for each row of ``docs``: the smallest doc_id reachable over links.
 
-    Linked are texts whose sets of shingles of ``width`` words have a Jaccard similarity of ``similarity`` or more; ``fp`` is
-    a hash of the set. With ``max_bits`` (MAX_BITS, the only radius that the blocks reach) linked are instead those whose
-    SimHash, then ``fp``, differs in at most so many bits. Either is 0 for texts without words.
+    Linked are texts whose SimHash over WIDTH words differs in at most MAX_BITS bits, and texts whose sets of shingles of
+    ``width`` words have a Jaccard similarity of ``similarity`` or more; ``fp`` is a hash of the set. With ``max_bits``
+    (MAX_BITS, the only radius that the blocks reach) SimHash alone links, over ``width`` words, and is ``fp``. Either is 0
+    for texts without words.
 
     Other columns of ``docs`` are not read. Repeated rows each give a row. A row without doc_id takes part and gets the
     smallest doc_id of its component, null if there is none. An empty table gives no rows.
@@ -114,8 +131,9 @@ def near_duplicates(
     with temporary(docs.sparkSession):
         if max_bits is None:
             docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-            prints = materialize(shingles.sketches(docs, width), "shingles")
-            edges = shingles.links(docs, prints, width, similarity, shingles.CROWD if crowd is None else crowd)
+            prints = materialize(shingles.sketches(docs, width, simhash("text").alias("code")), "shingles")
+            edges = shingles.links(docs, prints.drop("code"), width, similarity, shingles.CROWD if crowd is None else crowd)
+            edges = edges.unionByName(_joined_by_code(prints, CROWD if crowd is None else crowd))
             prints = prints.select("doc_id", "fp")
         else:
             prints = materialize(docs.select(F.col(doc_id).alias("doc_id"), simhash(F.col(text), width).alias("fp")), "simhash")
@@ -130,7 +148,7 @@ def near_duplicates(
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each group of near-duplicates, by shingles, the document with the smallest doc_id.
+    """The rows of ``docs`` that stay: of each group of near-duplicates, by SimHash or shingles, the document with the smallest doc_id.
 
     Of repeated doc_ids one row stays. Rows without doc_id stay only where their whole group has none, one of each text.
     """

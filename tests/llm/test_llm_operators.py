@@ -152,6 +152,33 @@ def test_stage_finds_all_pairs_of_similar_shingles(spark, texts, crowd):
     assert any((prints[i] ^ prints[k]).bit_count() > 2 for i, k in want.items())  # a radius of two bits loses these
 
 
+@pytest.mark.parametrize("crowd", [0, 64])
+def test_stage_links_by_simhash_what_shingles_miss(spark, crowd):
+    rng = random.Random(8)
+    rows, close = [], 0
+    for g in range(4):
+        base = [f"b{rng.randrange(10**6)}" for _ in range(300)]
+        rows.append((1000 * g, " ".join(base)))
+        found = [t for t in (edits(rng, base, 16) for _ in range(600)) if (slow_simhash(t) ^ slow_simhash(rows[-1][1])).bit_count() <= 2]
+        rows += [(1000 * g + 1 + k, t) for k, t in enumerate(found[:3])]
+        rows.append((1000 * g + 500, edits(rng, base, 16)))
+        close += bool(found)
+    rows += [(9000, ""), (9001, " \n")]
+    sets = {i: slow_shingles(t) for i, t in rows}
+    prints = {i: slow_simhash(t) for i, t in rows}
+    named = {i: i for i, _ in rows}
+    for _ in rows:  # the smallest reachable, by either link
+        for i, j in itertools.permutations(named, 2):
+            both = len(sets[i] & sets[j])
+            if (prints[i] ^ prints[j]).bit_count() <= 2 or (both and both / len(sets[i] | sets[j]) >= 0.8):
+                named[j] = min(named[i], named[j])
+    alone = slow_jaccard_components(rows)
+    assert close and sum(named[i] != k for i, k in alone.items()) >= close  # by similarity alone these stay apart
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], DOCS)
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, crowd=crowd).collect()} == named
+    assert {r.doc_id for r in simhash.keep_first(docs).collect()} == set(named.values())
+
+
 # op2
 
 
