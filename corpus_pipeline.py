@@ -19,7 +19,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the smallest doc_id stays."""
+    """Of each group of near-duplicates (SimHash at two bits, or five-word shingles at similarity 0.8) the document with the smallest doc_id stays."""
     return simhash.keep_first(docs)
 
 
