@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlight.llm.select import unused
-from tarnlight.llm.text import release, utf8
+from tarnlight.llm.text import freed, pieces
 from tarnlight.scratch import drop, materialize
 
 WINDOW = 10
@@ -138,19 +138,19 @@ def matches(text: Column, windows: list, before: Column | None = None) -> Column
             hit[s["first"] : s["last"] + 1] = True
         return {"n_words": n, "n_hit": int(hit.sum()), "items": sorted(items), "spans": [{"first": a, "last": b} for a, b in _runs(hit)] if items else []}
 
+    def each(batches: Iterator[tuple[pa.Array, list]]) -> Iterator[pa.Array]:
+        blocks = [Windows(*b.value) for b in windows]
+        for texts, had in batches:
+            every = (t for part in pieces(texts) for t in part)
+            yield pa.array([found(t, h, blocks) for t, h in zip(every, had, strict=True)], kind)
+
     @F.arrow_udf(RESULT)
     def first(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        blocks = [Windows(*b.value) for b in windows]
-        for texts in batches:
-            yield pa.array([found(t, None, blocks) for t in utf8(texts)], kind)
-        release()
+        return freed(each((texts, [None] * len(texts)) for texts in batches))
 
     @F.arrow_udf(RESULT)
     def further(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        blocks = [Windows(*b.value) for b in windows]
-        for texts, had in batches:
-            yield pa.array([found(t, h, blocks) for t, h in zip(utf8(texts), had.to_pylist(), strict=True)], kind)
-        release()
+        return freed(each((texts, had.to_pylist()) for texts, had in batches))
 
     return first.asNondeterministic()(text) if before is None else further.asNondeterministic()(text, before)
 

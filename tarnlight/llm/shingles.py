@@ -17,7 +17,7 @@ components are those of all pairs, and neither a large group of copies nor a fre
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlight.llm.select import among
-from tarnlight.llm.text import columns, hash64, lower_words, mixed, release, utf8
+from tarnlight.llm.text import columns, freed, hash64, lower_words, mixed, pieces
 from tarnlight.operators.graph import connected_components
 from tarnlight.scratch import materialize
 
@@ -78,30 +78,44 @@ def _bands(found: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def sketches(docs: DataFrame, width: int = WIDTH, *more: Column) -> DataFrame:
-    """``(doc_id, fp, n, bands)`` for each row of ``docs`` (doc_id, text): the hash of its set, the set's size, its keys; then ``more``."""
+def sketches(docs: DataFrame, width: int, code: Callable[[bytes], int]) -> DataFrame:
+    """``(doc_id, fp, n, bands, code)`` for each row of ``docs`` (doc_id, text): the hash of its set, the set's size, its keys, its ``code``.
 
-    @F.arrow_udf("struct<fp:bigint,n:int,bands:array<bigint>>")
+    All come of one function, since each iterator of batches that a task runs is a Python worker with a copy of the texts.
+    """
+
+    def made(texts: pa.Array) -> pa.Array:
+        fp, n, bands, codes = [], [], [], []
+        for part in pieces(texts):
+            for t in part:  # one set at a time
+                found = shingle_set(t, width)
+                fp.append(_named(found))
+                n.append(len(found))
+                bands.append(_bands(found))
+                codes.append(code(t))
+        parts = [pa.array(fp, pa.int64()), pa.array(n, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(codes, pa.int64())]
+        return pa.StructArray.from_arrays(parts, ["fp", "n", "bands", "code"])
+
+    @F.arrow_udf("struct<fp:bigint,n:int,bands:array<bigint>,code:bigint>")
     def sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            sets = [shingle_set(t, width) for t in utf8(texts)]
-            parts = [pa.array([_named(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array([_bands(x) for x in sets], pa.list_(pa.int64()))]
-            yield pa.StructArray.from_arrays(parts, ["fp", "n", "bands"])
-        release()
+        return freed(map(made, batches))
 
-    found = docs.select("doc_id", sketch.asNondeterministic()(F.col("text")).alias("s"), *more)
-    return found.select("doc_id", "s.fp", "s.n", "s.bands", *found.columns[2:])
+    found = docs.select("doc_id", sketch.asNondeterministic()(F.col("text")).alias("s"))
+    return found.select("doc_id", "s.fp", "s.n", "s.bands", "s.code")
 
 
 def _sets(docs: DataFrame, classes: DataFrame, some: DataFrame, width: int) -> DataFrame:
     """``(fp, shingles)`` once for each ``fp`` of ``some``."""
     ends = materialize(classes.select("fp", "doc_id").join(some, "fp", "left_semi"), "ends")
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (texts,) in columns(batches, "text"):
-            sets = [shingle_set(t, width) for t in utf8(texts)]
-            yield pa.RecordBatch.from_arrays([pa.array([_named(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["fp", "shingles"])
-        release()
+            for part in pieces(texts):
+                sets = [shingle_set(t, width) for t in part]
+                yield pa.RecordBatch.from_arrays([pa.array([_named(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["fp", "shingles"])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return freed(each(batches))
 
     found = among(docs, "doc_id", ends.select("doc_id")).select("text").mapInArrow(made, "fp long, shingles binary")
     return materialize(found.join(ends, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
@@ -110,8 +124,7 @@ def _sets(docs: DataFrame, classes: DataFrame, some: DataFrame, width: int) -> D
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets are similar."""
 
-    @F.arrow_udf("boolean")
-    def alike(left: pa.Array, right: pa.Array) -> pa.Array:
+    def compared(left: pa.Array, right: pa.Array) -> pa.Array:
         out = []
         for x, y in zip(left, right, strict=True):
             x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (x, y))
@@ -119,6 +132,10 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
             out.append(both / (len(x) + len(y) - both) >= similarity)
         return pa.array(out, pa.bool_())
 
+    @F.arrow_udf("boolean")
+    def alike(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        return freed(compared(x, y) for x, y in batches)
+
     ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
     sets = _sets(docs, classes, ends, width)
     one, other = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("fp").alias("b"), F.col("shingles").alias("sb"))
@@ -155,9 +172,11 @@ def _shingle_rows(sets: DataFrame) -> DataFrame:
                 for at in range(0, len(values), _STEP):
                     part = values[at : at + _STEP]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), fp)), pa.array(part)], ["fp", "shingle"])
-        release()
 
-    return sets.mapInArrow(each, "fp long, shingle long")
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return freed(each(batches))
+
+    return sets.mapInArrow(made, "fp long, shingle long")
 
 
 def _rarest_first(docs: DataFrame, classes: DataFrame, members: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -179,7 +198,7 @@ def _rarest_first(docs: DataFrame, classes: DataFrame, members: DataFrame, width
 def links(docs: DataFrame, prints: DataFrame, width: int, similarity: float, crowd: int) -> DataFrame:
     """Edges ``(a, b)`` between the sets ``fp`` of ``prints`` whose components are those of ``similarity`` or more.
 
-    ``prints`` are the materialized ``sketches`` of ``docs``.
+    ``prints`` are the materialized ``sketches`` of ``docs``, without their codes.
     """
     classes = materialize(prints.where("n > 0").dropDuplicates(["fp"]), "classes")
     rows = classes.select("fp", "n", F.explode("bands").alias("block"))

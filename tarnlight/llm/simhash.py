@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tarnlight.llm import shingles
 from tarnlight.llm.select import unused, without
 from tarnlight.llm.shingles import hashes
-from tarnlight.llm.text import utf8
+from tarnlight.llm.text import freed, pieces
 from tarnlight.operators.graph import connected_components
 from tarnlight.scratch import materialize, temporary
 
@@ -56,8 +56,7 @@ def simhash(text: Column | str, width: int = WIDTH) -> Column:
 
     @F.arrow_udf("long")
     def fingerprint(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield pa.array([_fingerprint(t, width) for t in utf8(texts)], pa.int64())
+        return freed(pa.array([_fingerprint(t, width) for part in pieces(texts) for t in part], pa.int64()) for texts in batches)
 
     return fingerprint.asNondeterministic()(text)
 
@@ -131,7 +130,7 @@ def near_duplicates(
     with temporary(docs.sparkSession):
         if max_bits is None:
             docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-            prints = materialize(shingles.sketches(docs, width, simhash("text").alias("code")), "shingles")
+            prints = materialize(shingles.sketches(docs, width, lambda t: _fingerprint(t, WIDTH)), "shingles")
             edges = shingles.links(docs, prints.drop("code"), width, similarity, shingles.CROWD if crowd is None else crowd)
             edges = edges.unionByName(_joined_by_code(prints, CROWD if crowd is None else crowd))
             prints = prints.select("doc_id", "fp")

@@ -9,10 +9,13 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Characters between words, as a character class: space and \t \n \v \f \r. ``bytes.split()`` splits on the same six.
 SPACE = r"\x20\x09-\x0D"
+#: Bytes of text that a worker holds at once beside the batch that it was sent.
+PIECE = 4_000_000
 
 
 def utf8(texts: pa.Array) -> list[bytes]:
@@ -21,6 +24,16 @@ def utf8(texts: pa.Array) -> list[bytes]:
     return [t or b"" for t in texts.cast(kind).to_pylist()]
 
 
+def pieces(texts: pa.Array, size: int = PIECE) -> Iterator[list[bytes]]:
+    """``utf8`` of all texts in order, in lists of less than ``size`` bytes together; a text of more is one of its own."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size)))
+        yield utf8(texts.slice(at, stop - at))
+        at = stop
+
+
 def lower_words(text: bytes) -> list[bytes]:
     """Words between ASCII white space, with A-Z lower-cased and nothing else changed."""
     return text.lower().split()
@@ -51,3 +64,9 @@ def release() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # absent where the C library isn't GNU's
     if trim is not None:
         trim(0)
+
+
+def freed(results: Iterator) -> Iterator:
+    """``results``; after the last, when no local of the generator that made them is alive any more, ``release``."""
+    yield from results
+    release()

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnlight.llm.select import unused
-from tarnlight.llm.text import columns, lower_words, release, utf8
+from tarnlight.llm.text import columns, freed, lower_words, pieces, utf8
 
 WINDOW, STRIDE = 48, 36
 WORD_DIM, CHAR_DIM, HIDDEN = 10, 10, 8
@@ -431,21 +431,14 @@ def toxicity(text: Column | str, net: Network) -> Column:
     """The score of each whole text, 0 to 1. Null and empty texts get the score of a window without words."""
     held = SparkSession.active().sparkContext.broadcast(net.parts())
 
-    @F.arrow_udf("double")
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         here = Network(*held.value)
         for texts in batches:
-            every = utf8(texts)
-            out, at = [], 0
-            while at < len(every):  # some MB of text at a time
-                stop, size = at, 0
-                while stop < len(every) and (stop == at or size + len(every[stop]) < 4_000_000):
-                    size += len(every[stop])
-                    stop += 1
-                out.append(scores(here, every[at:stop]))
-                at = stop
-            yield pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())
-        release()
+            yield pa.array(np.concatenate([np.empty(0), *(scores(here, part) for part in pieces(texts))]), pa.float64())
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return freed(each(batches))
 
     return score.asNondeterministic()(text)
 
@@ -453,16 +446,17 @@ def toxicity(text: Column | str, net: Network) -> Column:
 def fitted(docs: DataFrame, labels: DataFrame) -> Network:
     """The network, trained by one task on the bounded sample; the weights alone come to the driver."""
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for h, ids, toxic, texts in columns(batches, "h", "doc_id", "toxic", "text"):
             rows += zip(h.to_pylist(), ids.to_pylist(), toxic.to_pylist(), utf8(texts), strict=True)
         rows.sort()
         net = train([r[3] for r in rows], [r[2] for r in rows])
-        rows.clear()
-        release()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net.parts())], pa.binary())], ["net"])
 
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return freed(each(batches))
+
     made = labelled_sample(docs, labels).repartition(1).mapInArrow(fit, "net binary").collect()
     return Network(*pickle.loads(bytes(made[0].net))) if made else train([], [])
 
