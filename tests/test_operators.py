@@ -131,6 +131,35 @@ def test_hamming_bands_lose_no_pair(spark):
     assert len(want) > 20
 
 
+@pytest.mark.parametrize("block", [1 << 16, 7])
+def test_hamming_pairs_in_blocks_are_exact(spark, block, monkeypatch):
+    """Blocks of one to all codes, equal codes, null codes, the ends of the range; nothing is broadcast, however small it looks."""
+    monkeypatch.setattr(fingerprint, "FAR_BLOCK", block)
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    codes = [c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(9))) for c in base for _ in range(9)] + base + [0, 1, 2**63, 2**64 - 1]
+    signed = [c - 2**64 if c >> 63 else c for c in codes]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate([*signed, None, None])], "id long, code long")
+    got = fingerprint.hamming_pairs(df, "id", "code")
+    rows = [tuple(r) for r in got.select("a", "b", "d").collect()]
+    mask = (1 << 64) - 1
+    assert sorted(rows) == sorted((a, b, d) for a in set(signed) for b in set(signed) if a < b and (d := ((a ^ b) & mask).bit_count()) <= 10)
+    assert fingerprint.hamming_pairs(df.limit(0), "id", "code").count() == 0
+
+
+def test_searches_by_code_broadcast_nothing(spark, tmp_path, monkeypatch):
+    """Sizes are estimated from before codes are repeated for their flipped bits, so a broadcast would bring all of that to the driver."""
+    spark.range(3000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("code")).write.parquet(f"{tmp_path}/codes")
+    df = spark.read.parquet(f"{tmp_path}/codes")
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert all("Broadcast" not in plan(x) for x in (fingerprint.hamming_pairs(df, "doc_id", "code"), fingerprint.near_codes(df, df, 10, 4)))
+    seen = []
+    monkeypatch.setattr(fingerprint, "DIRECT", 0)
+    monkeypatch.setattr(fingerprint, "materialize", lambda d, *a, f=fingerprint.materialize, **b: (seen.append(plan(d)), f(d, *a, **b))[1])
+    fingerprint.nearest_code(df.where("doc_id < 100"), df.where("doc_id >= 100"), flips=2).count()
+    assert len(seen) > 4 and not any("Broadcast" in x for x in seen)
+
+
 def test_group_split_keeps_clusters_whole(spark):
     df = spark.range(500).select(F.col("id").alias("doc_id"), (F.col("id") % 97).alias("cluster_id"))
     split = fingerprint.group_split(df, 0.2)
