@@ -168,8 +168,10 @@ def point_metrics(points: DataFrame, pixels: DataFrame, as_of: str, lookback: in
     )
 
 
-#: Rows and columns of a region's own grid.
-GRID = 32
+#: Rows and columns of a region's own grid at most, and the edges that it has for each of them: a triangle is one cell.
+GRID, EDGES = 32, 8
+#: Regions are found by squares of a side of 2^level degrees, the least that is no shorter than their box.
+LEVELS = (-20, 9)
 
 
 def _crosses(e: Column, lon: Column, lat: Column) -> Column:
@@ -183,10 +185,11 @@ def _odd(n: Column) -> Column:
 
 
 def region_cells(regions: DataFrame, grid: int = GRID) -> tuple[DataFrame, DataFrame]:
-    """Regions (region, name, category, and their box w, s, side) and cells (region, row, col, inside, base, edges) of their grids.
+    """Regions (region, name, category, their box w, s, e, n, and the side of their cells) and cells (region, row, col, inside, base, edges) of their grids.
 
     A point is inside a region if a ray to the right crosses an odd number of edges of all its rings, so holes and parts need
-    no treatment of their own. Of a region's grid only cells inside, without edges, and border cells are kept. A border cell
+    no treatment of their own. A region has a row and a column for every ``EDGES`` edges, up to ``grid``, so that small ones
+    don't cost a thousand cells. Of a region's grid only cells inside, without edges, and border cells are kept. A border cell
     has the edges that touch it and those that end in its row further right; edges further right that cross its whole row
     are crossed by each ray of the cell and are only counted (``base``).
     """
@@ -195,8 +198,8 @@ def region_cells(regions: DataFrame, grid: int = GRID) -> tuple[DataFrame, DataF
     ring = named.select("region", F.explode("rings").alias("r")).where(F.size("r") > 2)
     after = F.concat(F.slice("r", 2, F.size("r")), F.slice("r", 1, 1))
     edge = ring.select("region", F.explode(F.zip_with("r", after, lambda p, q: F.struct(p[0].alias("x1"), p[1].alias("y1"), q[0].alias("x2"), q[1].alias("y2")))).alias("e"))
-    box = edge.groupBy("region").agg(F.min("e.x1").alias("w"), F.max("e.x1").alias("e_"), F.min("e.y1").alias("s"), F.max("e.y1").alias("n"))
-    box = box.select("region", "w", "s", "e_", "n", (F.greatest(F.col("e_") - F.col("w"), F.col("n") - F.col("s"), F.lit(1e-9)) / grid).alias("side"))
+    box = edge.groupBy("region").agg(F.min("e.x1").alias("w"), F.max("e.x1").alias("e_"), F.min("e.y1").alias("s"), F.max("e.y1").alias("n"), F.least(F.lit(grid), F.ceil(F.count("*") / EDGES)).cast("int").alias("grid"))
+    box = box.select("region", "w", "s", "e_", "n", "grid", (F.greatest(F.col("e_") - F.col("w"), F.col("n") - F.col("s"), F.lit(1e-9)) / F.col("grid")).alias("side"))
     c, slack = F.col, F.lit(1e-6)
     place = lambda v, start, by: F.floor((v - start) / c("side") + by).cast("int")
     low, high = F.least("e.y1", "e.y2"), F.greatest("e.y1", "e.y2")
@@ -209,8 +212,8 @@ def region_cells(regions: DataFrame, grid: int = GRID) -> tuple[DataFrame, DataF
         *[c(f"e.{k}").alias(k) for k in ("x1", "y1", "x2", "y2")], place(F.least(xa, xb), c("w"), -slack).alias("first"), place(F.greatest(xa, xb), c("w"), slack).alias("last"),
         ((low < bottom - eps) & (high > top + eps)).alias("whole"),
     )
-    held = rows.groupBy("region", "row", "w", "s", "side").agg(F.collect_list(reach).alias("all"))
-    cells = held.withColumn("col", F.explode(F.sequence(F.lit(-1), F.lit(grid + 1))))
+    held = rows.groupBy("region", "row", "w", "s", "side", "grid").agg(F.collect_list(reach).alias("all"))
+    cells = held.withColumn("col", F.explode(F.sequence(F.lit(-1), F.col("grid") + 1)))
     own = F.filter("all", lambda e: (e["first"] <= c("col")) & (e["last"] >= c("col")))
     right = F.filter("all", lambda e: e["first"] > c("col"))
     cells = cells.withColumns({"own": own, "right": right})
@@ -220,24 +223,29 @@ def region_cells(regions: DataFrame, grid: int = GRID) -> tuple[DataFrame, DataF
     edges = F.concat("own", F.filter("right", lambda e: ~e["whole"]))
     edges = F.transform(edges, lambda e: F.struct(*[e[k].alias(k) for k in ("x1", "y1", "x2", "y2")]))
     cells = cells.select("region", "row", "col", "inside", F.size(F.filter("right", lambda e: e["whole"])).alias("base"), F.when(~c("inside"), edges).alias("edges"))
-    return named.select("region", "name", "category").join(box.withColumnRenamed("e_", "e"), "region"), materialize(cells, "cells", keep=True)
+    return named.select("region", "name", "category").join(box.withColumnRenamed("e_", "e").drop("grid"), "region"), materialize(cells, "cells", keep=True)
 
 
 def in_region(pixels: DataFrame, regions: DataFrame, most: int = 500_000, grid: int = GRID) -> DataFrame:
     """Pixels with the name and category of each region (name, category, rings) that they lie in.
 
-    Pixels meet regions by degree cell of the bounding box, then look up their cell of the region's own grid: inside needs no
-    edge, outside has no cell, and only on the border the cell's edges are counted (``region_cells``). Both tables are
-    broadcast if they have at most ``most`` rows and edges together (some 20 MB).
+    Pixels meet regions by squares about as large as the region's box (a pixel looks in one square of each size that occurs), then
+    look up their cell of the region's own grid: inside needs no edge, outside has no cell, and only on the border the cell's edges
+    are counted (``region_cells``). Both tables are broadcast if they have at most ``most`` rows and edges together (some 20 MB).
     """
     boxed, cells = region_cells(regions, grid)
-    long = lambda c: F.floor(c).cast("bigint")
-    boxed = boxed.withColumn("cx", F.explode(F.sequence(long("w"), long("e")))).withColumn("cy", F.explode(F.sequence(long("s"), long("n"))))
+    extent = F.greatest(F.col("e") - F.col("w"), F.col("n") - F.col("s"))
+    boxed = boxed.withColumn("level", F.greatest(F.lit(LEVELS[0]), F.least(F.lit(LEVELS[1]), F.ceil(F.log2(extent)))).cast("int"))
+    boxed = materialize(boxed, "boxes", keep=True)
+    levels = F.broadcast(boxed.select(F.col("level").alias("size")).distinct())  # thirty rows at most
+    at = lambda c, level: F.floor(F.col(c) / F.pow(F.lit(2.0), level)).cast("bigint")
+    boxed = boxed.withColumn("cx", F.explode(F.sequence(at("w", F.col("level")), at("e", F.col("level"))))).withColumn("cy", F.explode(F.sequence(at("s", F.col("level")), at("n", F.col("level")))))
     size = cells.agg(F.coalesce(F.sum(F.coalesce(F.size("edges"), F.lit(0)) + 1), F.lit(0))).first()[0] + boxed.count()
     boxed, cells = (F.broadcast(boxed), F.broadcast(cells)) if size <= most else (boxed, cells)
     # the caller's columns travel in a struct, so that none of them is taken for one of a region's
     row = pixels.select(F.struct(*[F.col(f"`{c}`") for c in pixels.columns]).alias("pixel"), F.col("longitude").alias("x"), F.col("latitude").alias("y"))
-    met = row.join(boxed, (long("x") == F.col("cx")) & (long("y") == F.col("cy"))).where(F.col("x").between(F.col("w"), F.col("e")) & F.col("y").between(F.col("s"), F.col("n")))
+    row = row.crossJoin(levels).withColumns({"px": at("x", F.col("size")), "py": at("y", F.col("size"))})
+    met = row.join(boxed, (F.col("size") == F.col("level")) & (F.col("px") == F.col("cx")) & (F.col("py") == F.col("cy"))).where(F.col("x").between(F.col("w"), F.col("e")) & F.col("y").between(F.col("s"), F.col("n")))
     met = met.withColumns({"row": F.floor((F.col("y") - F.col("s")) / F.col("side")).cast("int"), "col": F.floor((F.col("x") - F.col("w")) / F.col("side")).cast("int")})
     met = met.join(cells, ["region", "row", "col"])
     found = met.where(F.col("inside") | _odd(F.col("base") + F.size(F.filter("edges", lambda e: _crosses(e, F.col("x"), F.col("y"))))))

@@ -322,6 +322,22 @@ def test_holes_and_parts_by_cells(spark, grid):
     assert cells.where("inside and edges is not null").count() == 0 and cells.where("inside").count() > 100
 
 
+def test_regions_of_all_sizes_are_found_by_squares_of_theirs(spark):
+    """Small rings are a cell or two and not a grid of a thousand; boxes from metres to a hemisphere, across zero, points on no square's edge or on it."""
+    rng = random.Random(3)
+    square = lambda x, y, r: [[x - r, y - r], [x + r, y - r], [x + r, y + r], [x - r, y + r]]
+    shapes = {f"s{i}": [square(rng.uniform(-0.5, 0.5), rng.uniform(-0.5, 0.5), r)] for i, r in enumerate([0.0003, 0.004, 0.02, 0.1, 0.25, 3.0, 50.0] * 6)}
+    shapes["line"] = [[[0.1, 0.1], [0.1, 0.1], [0.1, 0.1]]]
+    regions = spark.createDataFrame([(k, "c", v) for k, v in shapes.items()], "name string, category string, rings array<array<array<double>>>")
+    points = [(i, rng.uniform(-0.6, 0.6), rng.uniform(-0.6, 0.6)) for i in range(1500)] + [(1500 + i, v[0][0][0] + 0.0001, v[0][0][1] + 0.0001) for i, v in enumerate(shapes.values())] + [(9000, 0.0, 0.0), (9001, 0.25, -0.25), (9002, None, 0.0)]
+    inside = lambda x, y, v: sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * ((y - a[1]) / (b[1] - a[1])) + a[0] for a, b in zip(v, v[1:] + v[:1], strict=True)) % 2
+    want = {(i, k) for i, x, y in points if x is not None for k, v in shapes.items() if inside(x, y, v[0])}
+    px = spark.createDataFrame(points, "id int, longitude double, latitude double")
+    for most in (500_000, 0):
+        assert {(r.id, r.name) for r in spatial.in_region(px, regions, most=most).collect()} == want and len(want) > 5000
+    assert spatial.region_cells(regions)[1].count() <= 9 * len(shapes)
+
+
 def test_match_lake_prefers_the_exact_name(spark):
     lakes = spark.createDataFrame([(1, "Ulsoor Lake", 1), (2, "ULSOOR", 2), (3, "Ulsoor", 3)], "lake_id int, lake string, ord int")
     bodies = spark.createDataFrame([(1, "Ulsoor"), (2, "ulsoor reservoir"), (3, None), (4, "x")], "id int, name string")
