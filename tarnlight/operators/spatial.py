@@ -146,21 +146,26 @@ def point_metrics(points: DataFrame, pixels: DataFrame, as_of: str, lookback: in
 
     pixels: latitude, longitude, pixel_id, scene_id, sensed_date, cloudy_pct, b3, b4, b5, b8, scl. Per-pixel band medians of
     the unmasked scenes of the lookback, then water (NDWI > 0), then the mean index, for all radii in one pass. Points
-    without a good radius have no index and a reason.
+    without a good radius have no index and a reason. What lies around a place is counted once, however many points are there.
     """
     from tarnlight.operators.satellite import composite, scenes
 
     end = F.lit(as_of).cast("timestamp").cast("date")
     seen = scenes(pixels, max_cloud).where((F.col("sensed_date") >= F.date_sub(end, lookback)) & (F.col("sensed_date") < end))
-    met = within_radius(seen, points.select("id", "latitude", "longitude"), float(K.BUFFERS[-1]), DENSE)
-    met = met.withColumn("buffer_m", F.explode(F.filter(F.lit(list(K.BUFFERS)), lambda b: b >= F.col("distance"))))
-    counts = met.groupBy("o_id", "buffer_m").agg(F.count_distinct("scene_id").alias("n_scenes"))
-    water = composite(met.where(~F.col("scl").isin(*K.MASKED_SCL)), "o_id", "buffer_m", "pixel_id").where("ndwi > 0")
-    stats = water.groupBy("o_id", "buffer_m").agg(F.avg("ndci").alias("ndci"), F.count("ndci").alias("px"))
-    stats = counts.join(stats, ["o_id", "buffer_m"], "left")
-    good = stats.where((F.col("px") >= K.MIN_WATER_PIXELS) & F.col("ndci").isNotNull()).groupBy("o_id").agg(F.min(F.struct("buffer_m", "ndci", "px", "n_scenes")).alias("m"))
-    any_ = counts.groupBy("o_id").agg(F.max("n_scenes").alias("most"))
-    out = points.select("id").join(good.withColumnRenamed("o_id", "id"), "id", "left").join(any_.withColumnRenamed("o_id", "id"), "id", "left")
+    at, radii = ["o_latitude", "o_longitude"], F.lit(list(K.BUFFERS))
+    met = within_radius(seen, points.select("latitude", "longitude").distinct(), float(K.BUFFERS[-1]), DENSE)
+    met = met.withColumn("radii", F.filter(radii, lambda b: b >= F.col("distance")))
+    # a scene counts in each radius from the least that has a pixel of it
+    first = met.groupBy(*at, "scene_id").agg(F.min(F.col("radii")[0]).alias("first")).groupBy(*at, "first").agg(F.count("scene_id").alias("n"))
+    counts = first.select(*at, "n", F.explode(F.filter(radii, lambda b: b >= F.col("first"))).alias("buffer_m")).groupBy(*at, "buffer_m").agg(F.sum("n").alias("n_scenes"))
+    clear = met.where(~F.col("scl").isin(*K.MASKED_SCL)).withColumn("buffer_m", F.explode("radii"))
+    water = composite(clear, *at, "buffer_m", "pixel_id").where("ndwi > 0")
+    stats = water.groupBy(*at, "buffer_m").agg(F.avg("ndci").alias("ndci"), F.count("ndci").alias("px"))
+    stats = counts.join(stats, [*at, "buffer_m"], "left")
+    enough = (F.col("px") >= K.MIN_WATER_PIXELS) & F.col("ndci").isNotNull()
+    good = F.min(F.when(enough, F.struct("buffer_m", "ndci", "px", "n_scenes"))).alias("m")
+    places = stats.groupBy(F.col("o_latitude").alias("latitude"), F.col("o_longitude").alias("longitude")).agg(good, F.max("n_scenes").alias("most"))
+    out = points.select("id", "latitude", "longitude").join(places, ["latitude", "longitude"], "left")
     return out.select(
         "id", F.col("m").isNotNull().alias("available"), F.round("m.ndci", 4).alias("live_ndci"), F.col("m.px").alias("water_pixel_count"),
         F.col("m.buffer_m").alias("buffer_m"), R.spatial_confidence(F.col("m.buffer_m")).alias("spatial_confidence"), F.col("m.n_scenes").alias("scenes_used"),
@@ -235,7 +240,7 @@ def in_region(pixels: DataFrame, regions: DataFrame, most: int = 500_000, grid:
     """
     boxed, cells = region_cells(regions, grid)
     extent = F.greatest(F.col("e") - F.col("w"), F.col("n") - F.col("s"))
-    boxed = boxed.withColumn("level", F.greatest(F.lit(LEVELS[0]), F.least(F.lit(LEVELS[1]), F.ceil(F.log2(extent)))).cast("int"))
+    boxed = boxed.withColumn("level", F.greatest(F.lit(LEVELS[0]), F.least(F.lit(LEVELS[1]), F.coalesce(F.ceil(F.log2(extent)), F.lit(LEVELS[0])))).cast("int"))
     boxed = materialize(boxed, "boxes", keep=True)
     levels = F.broadcast(boxed.select(F.col("level").alias("size")).distinct())  # thirty rows at most
     at = lambda c, level: F.floor(F.col(c) / F.pow(F.lit(2.0), level)).cast("bigint")

@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tarnlight.functions import fixed as K
 from tarnlight.operators import alerts, curation, evaluate, fingerprint, founders, photo, reports, satellite, spatial
 from tarnlight.operators.graph import connected_components
 from tarnlight.streaming import alert_states
@@ -322,6 +323,49 @@ def test_holes_and_parts_by_cells(spark, grid):
     assert cells.where("inside and edges is not null").count() == 0 and cells.where("inside").count() > 100
 
 
+def test_point_metrics_count_a_place_once(spark, monkeypatch):
+    """Many points at one place, scenes that only a wider radius has, scenes without a number, points without a place; against a plain count."""
+    from statistics import median
+
+    rng = random.Random(4)
+    places = [(12.9, 77.5), (12.903, 77.5), (13.4, 77.9), (14.0, 78.0)]
+    points = [(i, *places[i % 4]) for i in range(60)] + [(60, None, 77.5)]
+    px = [
+        (12.9 + rng.uniform(-0.005, 0.005), 77.5 + rng.uniform(-0.005, 0.005), rng.randrange(40), rng.choice([None, *range(30)]), "2024-01-10", 10.0, float(rng.randrange(10, 40)), float(rng.randrange(5, 30)), float(rng.randrange(5, 30)), float(rng.randrange(10, 40)), rng.randrange(12))
+        for _ in range(600)
+    ] + [(13.4, 77.9, 1, 5, "2024-01-10", 10.0, 30.0, 5.0, 6.0, 10.0, 6)]
+    names = ["latitude", "longitude", "pixel_id", "scene_id", "sensed_date", "cloudy_pct", "b3", "b4", "b5", "b8", "scl"]
+    pixels = spark.createDataFrame(px, "latitude double, longitude double, pixel_id int, scene_id int, sensed_date string, cloudy_pct double, b3 double, b4 double, b5 double, b8 double, scl int").withColumn("sensed_date", F.to_date("sensed_date"))
+    seen, within = [], spatial.within_radius
+    monkeypatch.setattr(spatial, "within_radius", lambda a, others, *rest: (seen.append(others.count()), within(a, others, *rest))[1])
+    got = {r.id: r for r in spatial.point_metrics(spark.createDataFrame(points, "id int, latitude double, longitude double"), pixels, "2024-01-31 00:00:00").collect()}
+    assert len(got) == 61 and seen[0] <= 5
+
+    def metres(a, b, c, d):
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 2 * K.EARTH_RADIUS * math.asin(min(1, math.sqrt(h)))
+
+    for i, lat, lon in points:
+        want, most = (None,) * 4, 0
+        for radius in K.BUFFERS:
+            near = [dict(zip(names, x, strict=True)) for x in px if lat is not None and metres(lat, lon, x[0], x[1]) <= radius]
+            scenes = len({x["scene_id"] for x in near} - {None})
+            most = max(most, scenes)
+            by = {}
+            for x in near:
+                if x["scl"] not in K.MASKED_SCL:
+                    by.setdefault(x["pixel_id"], []).append(x)
+            m = [[median(x[b] for x in v) for b in ("b3", "b4", "b5", "b8")] for v in by.values()]
+            ndci = [(b5 - b4) / (b5 + b4) for b3, b4, b5, b8 in m if b3 > b8]
+            if want[0] is None and len(ndci) >= K.MIN_WATER_PIXELS:
+                want = (round(sum(ndci) / len(ndci), 4), len(ndci), radius, scenes)
+        r = got[i]
+        assert (r.water_pixel_count, r.buffer_m, r.scenes_used) == want[1:] and (r.live_ndci is None) == (want[0] is None)
+        assert want[0] is None or abs(r.live_ndci - want[0]) < 1e-3
+        assert r.reason == (None if want[0] is not None else "sub_pixel_or_no_water" if most else "cloud_cover_or_timeout")
+    assert {got[0].available, got[2].available, got[60].available} == {True, False} and got[1].scenes_used is not None
+
+
 def test_regions_of_all_sizes_are_found_by_squares_of_theirs(spark):
     """Small rings are a cell or two and not a grid of a thousand; boxes from metres to a hemisphere, across zero, points on no square's edge or on it."""
     rng = random.Random(3)
