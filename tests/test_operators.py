@@ -323,6 +323,23 @@ def test_holes_and_parts_by_cells(spark, grid):
     assert cells.where("inside and edges is not null").count() == 0 and cells.where("inside").count() > 100
 
 
+def test_notes_of_a_task_are_bounded(spark, monkeypatch):
+    """However many bodies and lakes there are, a task makes a stated volume of notes; all notes are there, and whole."""
+    monkeypatch.setattr(satellite, "NOTE_BYTES", 5000)
+    bodies = spark.range(400).select("id", F.concat(F.lit("Body "), "id").alias("name"))
+    lakes = spark.range(60).select((F.col("id") + 1000).alias("lake_id"), F.format_string("Lake %03d", "id").alias("lake"), F.col("id").alias("ord"))
+    matched = spark.range(400).select("id", F.when(F.col("id") % 2 == 0, F.lit(1000)).alias("lake_id"))
+    summary = spark.createDataFrame([(1000, 7)], "lake_id long, n_months long")
+    got = satellite.availability(matched, bodies, summary, lakes)
+    rows = got.select("*", F.spark_partition_id().alias("task")).collect()
+    names = ", ".join(f"Lake {i:03d}" for i in range(60))
+    assert {r.id: (r.available, r.n_months, r.note) for r in rows} == {i: (i % 2 == 0, 7 * (i % 2 == 0), None if i % 2 == 0 else f"'Body {i}' is not tracked. Tracked lakes (60): {names}") for i in range(400)}
+    by_task = {}
+    for r in rows:
+        by_task[r.task] = by_task.get(r.task, 0) + len(r.note or "")
+    assert max(by_task.values()) < 5 * 5000 and len(rows) == 400
+
+
 def test_point_metrics_count_a_place_once(spark, monkeypatch):
     """Many points at one place, scenes that only a wider radius has, scenes without a number, points without a place; against a plain count."""
     from statistics import median
